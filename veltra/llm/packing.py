@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .tokens import WordEncoder, tokenizer_path
+from .tokens import shared_encoder, tokenizer_path
 
 
 @dataclass(frozen=True)
@@ -206,7 +206,7 @@ def pack_texts(
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
 
         def examples():
             for batch in batches:
@@ -247,7 +247,7 @@ def pack_conversations(
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
 
         def examples():
             for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -84,3 +85,9 @@ class WordEncoder:
                 missing = set(words)
             self._fill(list(missing))
         return b"".join(map(cache.__getitem__, words))
+
+
+@functools.lru_cache(maxsize=2)
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for each worker process: its cache outlives a task."""
+    return WordEncoder(path)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_store
+from . import exact_dedup, html_extract, langid, packing, simhash_dedup, token_counts, token_store, toxicity
 
-_MODULES = (packing, token_store, exact_dedup)
+_MODULES = (html_extract, simhash_dedup, packing, token_store, langid, toxicity, token_counts, exact_dedup)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, langid, packing, simhash_dedup, token_counts, token_store, toxicity
+from . import (
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    langid,
+    line_dedup,
+    packing,
+    simhash_dedup,
+    token_counts,
+    token_store,
+    toxicity,
+)
 
-_MODULES = (html_extract, simhash_dedup, packing, token_store, langid, toxicity, token_counts, exact_dedup)
+_MODULES = (
+    line_dedup,
+    html_extract,
+    simhash_dedup,
+    packing,
+    decontaminate,
+    token_store,
+    langid,
+    toxicity,
+    token_counts,
+    exact_dedup,
+)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

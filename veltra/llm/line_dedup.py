@@ -16,6 +16,8 @@ places are shuffled; texts only of lines that match another one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +61,39 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return keys
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _without_common_start(p: Column) -> Column:
+    def longer(found: Column, step: Column) -> Column:
+        same = F.substring(p["x"], found + 1, step) == F.substring(p["y"], found + 1, step)
+        return F.when((found + step <= F.least(F.length(p["x"]), F.length(p["y"]))) & same, found + step).otherwise(found)
+
+    common = F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(15))]), F.lit(0), longer)
+    rest = lambda c, n: F.substring(c, n + 1, F.length(c))
+    return let(common, lambda n: F.struct(rest(p["x"], n).alias("x"), rest(p["y"], n).alias("y")))
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether a and b are at most edits insertions, deletions and substitutions apart (banded, bit-parallel).
+    """Whether a and b are at most edits insertions, deletions and substitutions apart.
+
+    What both start and end with is taken off first; that doesn't change the number of edits.
+    """
+    turned = lambda p: F.struct(F.reverse(p["x"]).alias("x"), F.reverse(p["y"]).alias("y"))
+    whole = F.struct(a.alias("x"), b.alias("y"))
+    return let(
+        whole,
+        lambda p: let(
+            _without_common_start(p),
+            lambda q: let(turned(q), lambda t: let(_without_common_start(t), lambda z: automaton(z["x"], z["y"], edits))),
+        ),
+    )
+
+
+def automaton(a: Column, b: Column, edits: int) -> Column:
+    """The banded bit-parallel edit automaton.
 
     A state has a bit for each diagonal, for each number of errors. Diagonal d after j characters of b stands for
     j + d - edits characters of a.
@@ -68,7 +101,6 @@ def within(a: Column, b: Column, edits: int) -> Column:
     width = 2 * edits + 1
     ones = (1 << width) - 1
     x, y = F.regexp_extract_all(a, F.lit("(?s)."), F.lit(0)), F.regexp_extract_all(b, F.lit("(?s)."), F.lit(0))
-    pair = F.struct(x.alias("x"), y.alias("y"))
 
     def matches(p: Column) -> Column:
         def at(c: Column, j: Column) -> Column:
@@ -101,15 +133,25 @@ def within(a: Column, b: Column, edits: int) -> Column:
     for e in range(edits + 1):
         start |= r << width * e
         r = (r | r << 1) & ones
-    masks = F.element_at(F.transform(F.array(pair), matches), 1)
+    masks = let(F.struct(x.alias("x"), y.alias("y")), matches)
     end = F.aggregate(masks, F.lit(start).cast("long"), step)
     diagonal = F.length(a) - F.length(b) + F.lit(edits)
-    any_level = level(end, 0)
-    for e in range(1, edits + 1):
-        any_level = any_level.bitwiseOR(level(end, e))
-    inside = (diagonal >= 0) & (diagonal < width)
-    reached = F.floor(any_level / F.pow(F.lit(2.0), diagonal)).cast("long")
-    return inside & (reached % 2 == 1)
+
+    def accepted(state: Column) -> Column:
+        any_level = level(state, 0)
+        for e in range(1, edits + 1):
+            any_level = any_level.bitwiseOR(level(state, e))
+        return F.floor(any_level / F.pow(F.lit(2.0), diagonal)).cast("long") % 2 == 1
+
+    return (diagonal >= 0) & (diagonal < width) & let(end, accepted)
+
+
+def parity(line: Column) -> Column:
+    """64 bits: whether an odd number of the line's pairs of characters has that hash. An edit takes away and puts in at
+    most two pairs, so that it turns at most four bits."""
+    pair = lambda i: F.pmod(F.xxhash64(F.substring(line, i, F.lit(2))), F.lit(64)).cast("int")
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(line) - 1))
+    return F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), pair(i))))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -123,21 +165,34 @@ def identity() -> tuple[Column, Column]:
 
 
 def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b): hashes of verified near copies, a < b."""
-    length = F.length("line")
+    """(a, b): hashes of verified near copies, a < b.
+
+    A probe first meets only the summary of a list (its smallest member and their number). Members are gathered only of
+    lists that were found and have several; their pairs with probes are made only within 4 * edits bits of parity, which
+    loses no near copy, so that many variants of one line don't make all their pairs.
+    """
+    k = edits + 1
     line = F.col("line")
-    index, probes = index_keys(line, F.col("length"), edits), probe_keys(line, F.col("length"), edits)
-    keyed = lines.select("line", length.alias("length")).select(
-        F.xxhash64("line").alias("lid"), F.array(*index).alias("index"), F.array(*probes).alias("probes")
-    )
-    distinct = keyed.groupBy("lid").agg(F.first("index").alias("index"), F.first("probes").alias("probes"))
-    stored = distinct.select(F.col("lid").alias("s"), F.explode("index").alias("key"))
-    asked = distinct.select(F.col("lid").alias("r"), F.explode("probes").alias("key"))
-    found = stored.join(asked, "key").where("s != r")
-    pairs = cut(found.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b")).distinct())
-    wanted = cut(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct())
+    keys = F.array(*index_keys(line, F.col("length"), edits), *probe_keys(line, F.col("length"), edits))
+    keyed = lines.select("line", F.length("line").alias("length")).select(F.xxhash64("line").alias("lid"), keys.alias("keys"))
+    distinct = keyed.groupBy("lid").agg(F.first("keys").alias("keys"))
+    stored = distinct.select("lid", F.explode(F.slice("keys", 1, k)).alias("key"))
+    asked = distinct.select("lid", F.explode(F.slice("keys", k + 1, 1000)).alias("key"))
+    lists = stored.groupBy("key").agg(F.min("lid").alias("one"), F.count(F.lit(1)).alias("n"))
+    hits = asked.join(lists, "key").where("n > 1 or lid != one").select("key", "lid", "one", "n", F.lit(True).alias("asks"))
+    members = stored.join(lists.where("n > 1"), "key").select("key", "lid", "one", "n", F.lit(False).alias("asks"))
+    found = cut(hits.unionByName(members))
+    single = found.where("asks and n = 1").select("key", F.col("one").alias("lid"), F.lit(False).alias("asks")).distinct()
+    roles = found.select("key", "lid", "asks").unionByName(single)
+    wanted = cut(roles.select("lid").distinct())
     some = lines.select(F.xxhash64("line").alias("lid"), "line").join(broadcast_if_small(wanted, BROADCAST_ROWS), "lid", "left_semi")
-    texts = cut(some.groupBy("lid").agg(F.first("line").alias("line")))
+    texts = cut(some.groupBy("lid").agg(F.first("line").alias("line")).withColumn("parity", parity(line)))
+    marked = roles.join(texts.select("lid", "parity"), "lid")
+    r = marked.where("asks").select("key", F.col("lid").alias("r"), F.col("parity").alias("rp"))
+    s = marked.where("not asks").select("key", F.col("lid").alias("s"), F.col("parity").alias("sp"))
+    close = F.bit_count(F.col("rp").bitwiseXOR(F.col("sp"))) <= 4 * edits
+    met = r.join(s, (r["key"] == s["key"]) & (F.col("r") != F.col("s")) & close)
+    pairs = met.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
     first = texts.select(F.col("lid").alias("a"), F.col("line").alias("x"))
     second = texts.select(F.col("lid").alias("b"), F.col("line").alias("y"))
     return pairs.join(first, "a").join(second, "b").where(within(F.col("x"), F.col("y"), edits)).select("a", "b")

@@ -1,6 +1,6 @@
 """Queries by family; importing this package registers them all."""
 
-from . import cohort, statistics
+from . import cohort, modelling, statistics
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cohort", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "cohort", "modelling", "statistics"]

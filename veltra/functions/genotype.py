@@ -24,7 +24,7 @@ def info_map(info: Column) -> Column:
         at = F.instr(item, "=")
         key = F.when(at > 0, F.substring(item, F.lit(1), at - 1)).otherwise(item)
         value = F.when(at == 0, F.lit("true")).otherwise(F.substring(item, at + 1, F.length(item)))
-        return F.struct(key.alias("key"), F.nullif(value, F.lit(".")).alias("value"))
+        return F.named_struct(F.lit("key"), key, F.lit("value"), F.nullif(value, F.lit(".")))
 
     entries = F.transform(items, entry)
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))

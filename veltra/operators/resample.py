@@ -13,7 +13,7 @@ PRIME = 2147483647
 
 def mixed(ident: Column, iteration: Column, seed: int = 42) -> Column:
     """A number under PRIME from an id and an iteration."""
-    ident, iteration = ident.cast("long"), iteration.cast("long")
+    ident, iteration = F.pmod(ident.cast("long"), F.lit(PRIME)), iteration.cast("long")
     a = F.pmod(ident * F.lit(1103515245) + iteration * F.lit(40503) + F.lit(seed), F.lit(PRIME))
     return F.pmod(a * F.lit(48271) + F.pmod(a, F.lit(65537)) * (iteration + F.lit(1)), F.lit(PRIME))
 

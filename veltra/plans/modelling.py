@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bundles
 from ..operators import burden as B
 from ..operators import characterize as CH
 from ..operators import clustering as CL
@@ -179,3 +180,35 @@ def stream_burden_equals_batch(spark, sf):
 def _is_dir(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+@query("benchmark_sweep")
+def benchmark_sweep(spark, sf):
+    return bundles.sweep_summary(bundles.benchmark_sweep(spark, (1.0, 2.0), (60,), 6))
+
+
+@query("framework_validation")
+def framework_validation(spark, sf):
+    return bundles.validate_framework(spark, 60, 6, 3, 3.0, 6)
+
+
+@query("recovery")
+def recovery(spark, sf):
+    c, scores = _cohort(spark)
+    return bundles.recovery(CL.assign(scores, 3).join(c.truth, "sample_id"))
+
+
+@query("all_cohort_pairs")
+def all_cohort_pairs(spark, sf):
+    made = {name: _cohort(spark, 60, seed)[1] for name, seed in (("a", 1), ("b", 2), ("c", 3))}
+    return bundles.compare_all_cohorts({n: (s, CL.assign(s, 3)) for n, s in made.items()})
+
+
+@query("reference_validation")
+def reference_validation(spark, sf):
+    """Gene sets against a reference made of the parts: symbols with a number of pathogenic variants."""
+    hit = F.count_if((F.col("p_type") == "PROMO") & (F.col("p_size") > 40))
+    summary = table(spark, sf, "part").groupBy(F.col("p_brand").alias("symbol")).agg(hit.alias("n_pathogenic"))
+    sets = A.membership(spark).where("pathway like 'mod5%'")
+    found = bundles.full_validation(spark, sets, summary, A.membership(spark).where("pathway like 'mod3%'"), 60, 3, 2.0)
+    return found["plausibility"].withColumn("synthetic_ari", F.lit(found["synthetic_ari"])).withColumn("passed", F.lit(found["passed"]))

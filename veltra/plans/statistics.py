@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf_even
 from ..operators import agreement as AG
+from ..operators import bundles
 from ..operators import burden as B
 from ..operators import correction as C
 from ..operators import crossref as X
@@ -16,7 +17,7 @@ from ..operators import resample as R
 from ..session import table
 from . import analogue as A
 from .analogue import rounded, with_tables
-from .registry import query
+from .registry import ORACLES, query
 
 RANKED = """, r AS (SELECT sample_id, gene, value, rank() OVER w + (count(*) OVER (PARTITION BY sample_id, value) - 1) / 2.0::DOUBLE AS rank,
  count(*) OVER (PARTITION BY sample_id) AS n FROM expression WINDOW w AS (PARTITION BY sample_id ORDER BY value))"""
@@ -508,3 +509,53 @@ def stratified_downsample(spark, sf):
 @query("kfold_assign", with_tables("samples", f"SELECT sample_id, (ntile(5) OVER (ORDER BY {_mix('sample_id', '0')}, sample_id) - 1)::INT AS fold FROM samples"))
 def kfold_assign(spark, sf):
     return R.folds(A.samples(spark, sf))
+
+
+def _sub(name: str) -> str:
+    return f"({ORACLES[name]})"
+
+
+@query(
+    "statistical_rigor",
+    f"""WITH t AS (SELECT pathway, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, pathway) AS raw FROM {_sub("permutation_pvalues")}),
+ q AS (SELECT pathway, p, least(1, min(raw) OVER (ORDER BY p DESC, pathway DESC ROWS UNBOUNDED PRECEDING)) AS q FROM t)
+ SELECT pathway, p, round(q, 6) AS q, q < 0.05 AS significant, effect_size, lo, hi FROM q JOIN {_sub("max_pairwise_d")} USING (pathway) JOIN {_sub("bootstrap_ci")} USING (pathway)""",
+)
+def statistical_rigor(spark, sf):
+    out = bundles.statistical_rigor(A.scores(spark, sf), A.groups(spark, sf), n_permutations=20, n_bootstrap=20)
+    return rounded(out, "q", "effect_size", "lo", "hi")
+
+
+def _scheme_effects(scheme: str) -> str:
+    from .cohort import _scheme_sql
+
+    burden = f"""SELECT sample_id, gene, sum(dosage * "{scheme}") AS burden FROM genotypes JOIN (SELECT variant_id, gene, {_scheme_sql(scheme)} FROM variants) USING (variant_id) GROUP BY 1, 2"""
+    body = """SELECT a.pathway, max(abs(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2))) AS e FROM g a JOIN g b ON a.pathway = b.pathway AND a.grp < b.grp GROUP BY 1"""
+    sql = with_tables("labelled", ", g AS (SELECT pathway, grp, count(*) AS n, avg(score) AS m, var_samp(score) AS v FROM labelled GROUP BY 1, 2) " + body)
+    return f"SELECT '{scheme}' AS scheme, pathway, round(e, 6) AS effect_size FROM ({sql.replace(A.CTE['burden'], burden)})"
+
+
+@query("weight_sensitivity", " UNION ALL ".join(map(_scheme_effects, ("default", "gnomad_constraint", "acmg_inspired", "cadd_percentile", "uniform"))))
+def weight_sensitivity(spark, sf):
+    out = bundles.weight_sensitivity(A.variants(spark, sf), A.genotypes(spark, sf), A.membership(spark), A.groups(spark, sf))
+    return rounded(out, "effect_size")
+
+
+@query(
+    "heatmap",
+    with_tables("labelled", "SELECT grp, " + ", ".join(f"round(avg(score) FILTER (pathway = 'mod3_{i}'), 9) AS mod3_{i}" for i in range(3)) + " FROM labelled GROUP BY 1"),
+)
+def heatmap(spark, sf):
+    from ..operators.characterize import heatmap as wide
+
+    return wide(A.labelled(spark, sf)).select("grp", *[F.round(f"mod3_{i}", 9).alias(f"mod3_{i}") for i in range(3)])
+
+
+@query(
+    "gene_pathway_map",
+    with_tables("membership", ", o AS (SELECT pathway, gene, (CASE WHEN pathway LIKE 'mod3%' THEN 0 WHEN pathway LIKE 'mod5%' THEN 1 ELSE 2 END) * 1000 + ascii(pathway[-1:]) AS ord FROM membership) SELECT gene, max_by(pathway, ord) AS pathway FROM o GROUP BY 1"),
+)
+def gene_pathway_map(spark, sf):
+    kind = F.when(F.startswith("pathway", F.lit("mod3")), 0).when(F.startswith("pathway", F.lit("mod5")), 1).otherwise(2)
+    ordered = A.membership(spark).withColumn("ord", kind * 1000 + F.ascii(F.substring("pathway", -1, 1)))
+    return X.gene_pathway(ordered)

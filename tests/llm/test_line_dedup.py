@@ -98,3 +98,35 @@ def test_automaton_is_the_edit_distance(spark, k):
     df = spark.createDataFrame(pairs, "a string, b string")
     rows = df.select("a", "b", line_dedup.within(F.col("a"), F.col("b"), k).alias("y")).collect()
     assert all(r.y == (edits(r.a, r.b) <= k) for r in rows)
+
+
+def test_many_variants_of_one_line(spark):
+    """Hot lists: variants a word or two apart, of which few are near copies, among many equal lines."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(300)]
+    base = rng.choices(words, k=12)
+    rows = []
+    for i in range(120):
+        x = list(base)
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            x[rng.randrange(12)] = rng.choice(words)
+        if rng.random() < 0.3:
+            x[3] = x[3] + rng.choice("xyz")
+        rows.append((i, " ".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == plain(spark, rows)
+
+
+def test_parity_bounds_the_edits(spark):
+    rng = random.Random(11)
+    pairs = []
+    for _ in range(200):
+        a = "".join(rng.choices("abcd ", k=rng.randint(20, 60)))
+        b = list(a)
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "e", "a"])
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    bits = F.bit_count(line_dedup.parity(F.col("a")).bitwiseXOR(line_dedup.parity(F.col("b"))))
+    assert df.where(bits > 8).count() == 0

@@ -21,11 +21,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, cut, table
+from .shared import broadcast_if_small, cut, table, written
 
 EDITS = 2
 MIN_CHARS = 20
 BROADCAST_ROWS = 1_000_000
+#: Members of a list that are paired without a look at their parity.
+FEW = 4
 
 
 def normal(line: Column) -> Column:
@@ -164,50 +166,60 @@ def identity() -> tuple[Column, Column]:
     return F.xxhash64("line").alias("lid"), F.xxhash64("line", F.lit(1)).alias("check")
 
 
-def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b): hashes of verified near copies, a < b.
-
-    A probe first meets only the summary of a list (its smallest member and their number). Members are gathered only of
-    lists that were found and have several; their pairs with probes are made only within 4 * edits bits of parity, which
-    loses no near copy, so that many variants of one line don't make all their pairs.
+def survey(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, lid, one, n, asks) from one pass over lines, summed up by line: for each list of the index that was found
+    its key, its smallest member one and their number n; asks for a line that probes it, not asks for a member of a list
+    with several. A probe meets only the summary of a list; members are gathered only of lists with several.
     """
     k = edits + 1
-    line = F.col("line")
-    keys = F.array(*index_keys(line, F.col("length"), edits), *probe_keys(line, F.col("length"), edits))
+    line, length = F.col("line"), F.col("length")
+    keys = F.array(*index_keys(line, length, edits), *probe_keys(line, length, edits))
     keyed = lines.select("line", F.length("line").alias("length")).select(F.xxhash64("line").alias("lid"), keys.alias("keys"))
     distinct = keyed.groupBy("lid").agg(F.first("keys").alias("keys"))
     stored = distinct.select("lid", F.explode(F.slice("keys", 1, k)).alias("key"))
     asked = distinct.select("lid", F.explode(F.slice("keys", k + 1, 1000)).alias("key"))
     lists = stored.groupBy("key").agg(F.min("lid").alias("one"), F.count(F.lit(1)).alias("n"))
-    hits = asked.join(lists, "key").where("n > 1 or lid != one").select("key", "lid", "one", "n", F.lit(True).alias("asks"))
+    asks = asked.join(lists, "key").where("n > 1 or lid != one").select("key", "lid", "one", "n", F.lit(True).alias("asks"))
     members = stored.join(lists.where("n > 1"), "key").select("key", "lid", "one", "n", F.lit(False).alias("asks"))
-    found = cut(hits.unionByName(members))
-    single = found.where("asks and n = 1").select("key", F.col("one").alias("lid"), F.lit(False).alias("asks")).distinct()
-    roles = found.select("key", "lid", "asks").unionByName(single)
-    wanted = cut(roles.select("lid").distinct())
-    some = lines.select(F.xxhash64("line").alias("lid"), "line").join(broadcast_if_small(wanted, BROADCAST_ROWS), "lid", "left_semi")
-    texts = cut(some.groupBy("lid").agg(F.first("line").alias("line")).withColumn("parity", parity(line)))
-    marked = roles.join(texts.select("lid", "parity"), "lid")
-    r = marked.where("asks").select("key", F.col("lid").alias("r"), F.col("parity").alias("rp"))
-    s = marked.where("not asks").select("key", F.col("lid").alias("s"), F.col("parity").alias("sp"))
-    close = F.bit_count(F.col("rp").bitwiseXOR(F.col("sp"))) <= 4 * edits
+    return asks.unionByName(members)
+
+
+def near_pairs(lines: DataFrame, found: DataFrame, edits: int) -> DataFrame:
+    """(a, b, check): hashes of verified near copies, a < b, and b's second hash.
+
+    Members of a list with more than FEW are paired with probes only within 4 * edits bits of parity. That loses no near
+    copy, and many variants of one line don't make all their pairs.
+    """
+    single = found.where("asks and n = 1").select("key", F.col("one").alias("lid"), "n", F.lit(False).alias("asks")).distinct()
+    roles = found.select("key", "lid", "n", "asks").unionByName(single)
+    wanted = cut(roles.groupBy("lid").agg(F.max("n").alias("most")))
+    some = lines.select(*identity(), "line").join(broadcast_if_small(wanted, BROADCAST_ROWS), "lid")
+    texts = some.groupBy("lid", "check").agg(F.first("line").alias("line"), F.first("most").alias("most"))
+    texts = cut(texts.withColumn("parity", F.when(F.col("most") > FEW, parity(F.col("line")))))
+    marked = roles.join(texts.groupBy("lid").agg(F.min("parity").alias("parity"), F.count(F.lit(1)).alias("texts")), "lid")
+    r = marked.where("asks").select("key", F.col("lid").alias("r"), F.col("parity").alias("rp"), F.col("texts").alias("rt"))
+    s = marked.where("not asks").select("key", F.col("lid").alias("s"), F.col("parity").alias("sp"), F.col("texts").alias("st"))
+    close = F.coalesce(F.bit_count(F.col("rp").bitwiseXOR(F.col("sp"))) <= 4 * edits, F.lit(True)) | (F.col("rt") + F.col("st") > 2)
     met = r.join(s, (r["key"] == s["key"]) & (F.col("r") != F.col("s")) & close)
     pairs = met.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
     first = texts.select(F.col("lid").alias("a"), F.col("line").alias("x"))
-    second = texts.select(F.col("lid").alias("b"), F.col("line").alias("y"))
-    return pairs.join(first, "a").join(second, "b").where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
+    second = texts.select(F.col("lid").alias("b"), "check", F.col("line").alias("y"))
+    return pairs.join(first, "a").join(second, "b").where(within(F.col("x"), F.col("y"), edits)).select("a", "b", "check")
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
     """(id, drops): marks of the lines to drop, for the documents that have any."""
     lines = lines_of(docs, id_col, text_col, min_chars)
-    near = near_pairs(lines, edits).select(F.col("b").alias("lid")).distinct().withColumn("near", F.lit(True))
-    places = lines.select("id", "no", *identity())
-    copies = places.groupBy("lid", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "no")).alias("first"))
-    judged = copies.join(cut(near), "lid", "left").where("n > 1 or near")
-    again = F.col("near").isNotNull() | ~(F.struct("id", "no").eqNullSafe(F.col("first")))
+    near = near_pairs(lines, cut(survey(lines, edits)), edits).select(F.col("b").alias("lid"), "check").distinct()
+    # 28 bytes a line, read twice.
+    places = written(lines.select(F.struct("id", "no").alias("place"), *identity()), "line-places")
+    copies = places.groupBy("lid", "check").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")).where("n > 1")
+    copies = copies.select("lid", "check", "place", F.lit(False).alias("near"))
+    near = near.select("lid", "check", F.lit(None).cast(places.schema["place"].dataType).alias("place"), F.lit(True).alias("near"))
+    judged = copies.unionByName(near).groupBy("lid", "check").agg(F.max("place").alias("first"), F.max("near").alias("near"))
+    again = F.col("near") | ~F.col("place").eqNullSafe(F.col("first"))
     drops = places.join(judged, ["lid", "check"]).where(again)
-    return drops.groupBy("id").agg(F.collect_set(F.xxhash64("no", "lid")).alias("drops"))
+    return drops.groupBy("place.id").agg(F.collect_set(F.xxhash64("place.no", "lid")).alias("drops"))
 
 
 def dedup_lines(

@@ -185,7 +185,7 @@ def test_marginals_are_those_of_all_states():
     for states in itertools.product((0, 1), repeat=len(nodes)):
         p = 1.0
         for i, s in enumerate(states):
-            q = 1 / (1 + math.exp(-max(-12.0, min(12.0, own[i]))))
+            q = 1 / (1 + math.exp(-max(-30.0, min(30.0, own[i]))))
             p *= q if s else 1 - q
             if i:
                 p *= model.edges[html_extract.kind(nodes[i])][states[nodes[i].parent]][s]

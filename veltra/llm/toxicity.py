@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .numeric import minimise
 from .shared import table
 
 MIN_Z = 4.0
@@ -100,33 +101,7 @@ def fit_logistic(x: Design, dense: np.ndarray, y: np.ndarray, use: np.ndarray, l
         value = (use * (np.logaddexp(0.0, z) - y * z)).sum() + 0.5 * (penalty * w * w).sum()
         return value, np.concatenate([x.transposed(r), dense.T @ r, [r.sum()]]) + penalty * w
 
-    w = np.zeros(n + k + 1)
-    value, grad = loss(w)
-    past: list[tuple[np.ndarray, np.ndarray, float]] = []
-    for _ in range(steps):
-        if np.abs(grad).max(initial=0.0) < 1e-3:
-            break
-        q, kept = grad.copy(), []
-        for s, d, rho in reversed(past):
-            a = rho * (s @ q)
-            kept.append(a)
-            q -= a * d
-        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1.0 / max(1.0, np.abs(grad).sum())
-        for (s, d, rho), a in zip(past, reversed(kept), strict=True):
-            q += (a - rho * (d @ q)) * s
-        slope, step = grad @ q, 1.0
-        while step > 1e-8:
-            new_value, new_grad = loss(w - step * q)
-            if new_value <= value - 1e-4 * step * slope:
-                break
-            step /= 2
-        else:
-            break
-        s, d = -step * q, new_grad - grad
-        if s @ d > 1e-10:
-            past = [*past[-9:], (s, d, 1.0 / (s @ d))]
-        w, value, grad = w + s, new_value, new_grad
-    return w
+    return minimise(loss, np.zeros(n + k + 1), steps)
 
 
 def fit_chain(texts: list[set[str]], labels: dict[str, np.ndarray], folds: int = 5, min_docs: int = 3, max_words: int = 200_000, l2: float = 0.3) -> Chain:

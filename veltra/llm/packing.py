@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .tokens import shared_encoder, tokenizer_path
+from .tokens import WordEncoder, shared_encoder, tokenizer_path
 
 
 @dataclass(frozen=True)
@@ -199,14 +199,19 @@ def pack_texts(
     text_col: str = "text",
     limits: Limits = Limits(),
     with_ids: bool = False,
+    keep_words: bool = True,
 ) -> DataFrame:
-    """Encode and pack texts, all of whose tokens bear loss; with_ids adds the ids of each piece."""
+    """Encode and pack texts, all of whose tokens bear loss; with_ids adds the ids of each piece.
+
+    keep_words: whether a worker process keeps its cache of words from task to task, which is faster; without, its
+    memory is free for what runs next.
+    """
     key_field = docs.select(id_col).schema[0]
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, end = shared_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = (shared_encoder if keep_words else WordEncoder)(tokenizer), np.array([end_id], "<u4").tobytes()
 
         def examples():
             for batch in batches:

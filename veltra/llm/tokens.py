@@ -14,6 +14,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Punctuation that the tokenizer cuts from letters before it and keeps in one run; not the apostrophe.
+TAILS = ".,;:!?#$%&*"
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all letters are their own composed form, and lower case has the same length and is the same everywhere."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, word by word through a bounded cache.
 
@@ -36,27 +49,26 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _fill(self, words: list[str]) -> None:
+        """Put words into the cache, and the parts that they are made of."""
         cache = self.cache
         if self.mark is None:
             for w in words:
                 cache[w] = self._ids(w)
             return
-        odd = [w for w in words if "\x01" in w or "<|" in w]
+        odd = {w for w in words if "\x01" in w or "<|" in w}
         for w in odd:
             cache[w] = self._ids(w)
-        # A word of letters with one full stop or comma behind it is the word and then the mark.
-        tailed, cores = [], {}
-        for w in words:
-            if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and "<|" not in w and "\x01" not in w:
-                tailed.append(w)
-                if w[:-1] not in cache:
-                    cores[w[:-1]] = None
-            elif w not in cache:
-                cores[w] = None
-        for w in (".", ","):
-            if w not in cache:
-                cores[w] = None
-        cores = list(cores)
+        # Most words are letters with a tail of punctuation: the lower-case letters and the tail, each encoded once.
+        latin = _is_latin("".join(words))
+        lows = [w.rstrip(TAILS).lower() for w in words]
+        tailed = [
+            (w, low, w[len(low) :])
+            for w, low in zip(words, lows, strict=True)
+            if low != w and low.isalpha() and (latin or _is_latin(w))
+        ]
+        whole = {w for w, low in zip(words, lows, strict=True) if low == w or not low.isalpha() or not (latin or _is_latin(w))}
+        parts = whole.union([low for _, low, _ in tailed], [tail for _, _, tail in tailed])
+        cores = list(parts.difference(cache, odd))
         for at in range(0, len(cores), 4096):
             part = cores[at : at + 4096]
             ids = self.tokenizer.encode_batch_fast([" \x01 ".join(part)], add_special_tokens=False)[0].ids
@@ -68,23 +80,20 @@ class WordEncoder:
             for w, end in zip(part, [*ends, len(raw)], strict=True):
                 cache[w] = raw[start:end]
                 start = end + 4
-        for w in tailed:
-            cache[w] = cache[w[:-1]] + cache[w[-1]]
+        for w, low, tail in tailed:
+            cache[w] = cache[low] + cache[tail]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null counts as empty."""
         split = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        return [self._one(words) for words in split]
-
-    def _one(self, words: list[str]) -> bytes:
         cache = self.cache
-        missing = set(words).difference(cache)
+        missing = set().union(*split).difference(cache)
         if missing:
             if len(cache) + len(missing) > self.cache_words:
                 cache.clear()
-                missing = set(words)
+                missing = set().union(*split)
             self._fill(list(missing))
-        return b"".join(map(cache.__getitem__, words))
+        return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
 @functools.lru_cache(maxsize=2)

@@ -271,8 +271,8 @@ def gmt_explode(spark, sf):
 
 @query(
     "annotation_fallback_join",
-    """, a AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'rs' || p_partkey WHEN 1 THEN p_brand || ':' || p_partkey ELSE p_brand || '_' || p_partkey END AS key, p_type AS note FROM part WHERE p_partkey % 5 > 0
- UNION ALL SELECT p_brand || '_' || p_partkey, 'late' FROM part WHERE p_partkey % 6 = 0)
+    """, a AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'rs' || p_partkey WHEN 1 THEN p_brand || ':' || p_partkey ELSE p_brand || '_' || p_partkey END AS key, p_type AS note FROM part WHERE p_size > 10
+ UNION ALL SELECT p_brand || '_' || p_partkey, 'late' FROM part WHERE p_size <= 5)
  SELECT p_partkey AS variant_id, coalesce(x.note, y.note, z.note) AS note FROM part
  LEFT JOIN a x ON x.key = 'rs' || p_partkey LEFT JOIN a y ON y.key = p_brand || ':' || p_partkey LEFT JOIN a z ON z.key = p_brand || '_' || p_partkey""".replace(", a AS", "WITH a AS", 1),
 )
@@ -280,8 +280,8 @@ def annotation_fallback_join(spark, sf):
     p = table(spark, sf, "part").withColumn("k", F.col("p_partkey").cast("string"))
     rs, colon, low = F.concat(F.lit("rs"), "k"), F.concat("p_brand", F.lit(":"), "k"), F.concat("p_brand", F.lit("_"), "k")
     key = F.when(F.col("p_partkey") % 3 == 0, rs).when(F.col("p_partkey") % 3 == 1, colon).otherwise(low)
-    notes = p.where("p_partkey % 5 > 0").select(key.alias("key"), F.col("p_type").alias("note"))
-    notes = notes.union(p.where("p_partkey % 6 = 0").select(low, F.lit("late")))
+    notes = p.where("p_size > 10").select(key.alias("key"), F.col("p_type").alias("note"))
+    notes = notes.union(p.where("p_size <= 5").select(low, F.lit("late")))
     rows = p.select(F.col("p_partkey").alias("variant_id"), "p_brand", "k")
     return X.lookup_by_keys(rows, notes, [rs, colon, low], ["note"]).select("variant_id", "note")
 

@@ -49,7 +49,8 @@ def test_close_sizes_are_rejected():
 
 
 def test_toxicity_of_unseen_documents(spark):
-    docs_, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    """On the table with some thousand labels: the smaller ones have two dozen toxic documents to learn from."""
+    docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     seen = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(3)) != 0
     chain = toxicity.fit(docs_, labels.where(seen), toxicity.CATEGORIES)
     assert [x.category for x in chain.links] == ["low_quality", "toxic"] and len(chain.links[1].earlier) == 1
@@ -59,9 +60,9 @@ def test_toxicity_of_unseen_documents(spark):
     insults = re.compile(r"idiot|worthless|pathetic|clown|trash|disgusting|stupid|scum|loser|moron")
     marked = [r for r in rows if r.toxic and len(insults.findall(r.text.lower())) >= 2]
     clean = [r for r in rows if not r.toxic]
-    assert len(marked) > 5
-    assert sum(r.pred for r in marked) >= 0.9 * len(marked)
-    assert sum(r.pred for r in clean) <= 0.02 * len(clean)
+    assert len(marked) > 50
+    assert sum(r.pred for r in marked) >= 0.95 * len(marked)
+    assert sum(r.pred for r in clean) <= 0.005 * len(clean)
 
 
 def test_chain_feeds_earlier_categories_forward():

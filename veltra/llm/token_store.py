@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, new_dir, table
-from .tokens import WordEncoder, tokenizer_path
+from .shared import broadcast_if_small, cut, new_dir, table
+from .tokens import shared_encoder, tokenizer_path
 
 WINDOW = 16
 MEAN_BITS = 9
@@ -58,11 +58,11 @@ def cut_points(ids: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash over WINDOW ids allows a cut."""
     if len(ids) < WINDOW:
         return np.zeros(0, np.int64)
-    x, h, power = ids.astype(np.uint64) + np.uint64(1), np.zeros(len(ids) - WINDOW + 1, np.uint64), np.uint64(1)
+    h, power, covered = ids.astype(np.uint64) + np.uint64(1), BASE, 1
     with np.errstate(over="ignore"):
-        for back in range(WINDOW):
-            h += x[WINDOW - 1 - back : len(x) - back] * power
-            power = power * BASE
+        while covered < WINDOW:  # two hashes of so many ids, side by side, are one of twice as many
+            h = h[:-covered] * power + h[covered:]
+            power, covered = power * power, 2 * covered
     return np.flatnonzero((h >> np.uint64(64 - MEAN_BITS)) == 0) + WINDOW
 
 
@@ -91,7 +91,7 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int, width: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        encoder, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         row = key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -161,12 +161,14 @@ def write_store(
     spark = docs.sparkSession
     staging = f"{path}/staging"
     _staged(docs.select(F.col(id_col).cast("long"), F.col(text_col)), tokenizer, end_id, width).write.option(
-        "compression", "zstd"
+        "compression", "none"
     ).parquet(staging)
     staged = spark.read.schema(STAGED).parquet(staging)
 
     # Which chunks are stored already: digests and keys move, payloads stay. A hot digest is summed up in each task.
     shared = staged.groupBy("digest").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Materialised: beyond the bound both sides are plain exchanges, whose hot digests adaptive execution splits.
+    shared = broadcast_if_small(cut(shared), BROADCAST_KEYS // 8)
     again = staged.join(shared, "digest").where(F.col("key") != F.col("owner")).select("key")
     again_path = f"{path}/again"
     again.write.parquet(again_path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 
 import numpy as np
@@ -14,6 +15,8 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: How the pattern of such a tokenizer ends: runs of letters, single numerals, runs of anything else but white space.
+RUNS = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Punctuation that the tokenizer cuts from letters before it and keeps in one run; not the apostrophe.
 TAILS = ".,;:!?#$%&*"
 
@@ -44,6 +47,23 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {}
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.plain = self._plain() or self.tokenizer
+
+    def _plain(self):
+        """The same model without normalizer and pattern, for words that either leaves as they are: lower-case letters of
+        Latin-1, or a tail. None if the tokenizer isn't of the kind that cuts runs of letters and of other marks."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        rules = json.loads(self.tokenizer.to_str())
+        steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [x["type"] for x in steps] != ["Split", "ByteLevel"] or not steps[0]["pattern"].get("Regex", "").endswith(RUNS):
+            return None
+        plain = Tokenizer.from_str(self.tokenizer.to_str())
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        return plain
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -60,18 +80,30 @@ class WordEncoder:
             cache[w] = self._ids(w)
         # Most words are letters with a tail of punctuation: the lower-case letters and the tail, each encoded once.
         latin = _is_latin("".join(words))
-        lows = [w.rstrip(TAILS).lower() for w in words]
-        tailed = [
-            (w, low, w[len(low) :])
-            for w, low in zip(words, lows, strict=True)
-            if low != w and low.isalpha() and (latin or _is_latin(w))
-        ]
-        whole = {w for w, low in zip(words, lows, strict=True) if low == w or not low.isalpha() or not (latin or _is_latin(w))}
-        parts = whole.union([low for _, low, _ in tailed], [tail for _, _, tail in tailed])
-        cores = list(parts.difference(cache, odd))
-        for at in range(0, len(cores), 4096):
-            part = cores[at : at + 4096]
-            ids = self.tokenizer.encode_batch_fast([" \x01 ".join(part)], add_special_tokens=False)[0].ids
+        simple, other, tailed = set(), set(), []
+        for w in words:
+            low = w.rstrip(TAILS).lower()
+            if low.isalpha() and (latin or _is_latin(w)):
+                simple.add(low)
+                if low != w:
+                    tail = w[len(low) :]
+                    simple.add(tail)
+                    tailed.append((w, low, tail))
+            else:
+                other.add(w)
+        simple = simple.difference(cache)  # not difference_update, which goes through all of the cache
+        simple.discard("")
+        other.difference_update(odd)
+        self._encode(self.plain, list(simple))
+        self._encode(self.tokenizer, list(other))
+        for w, low, tail in tailed:
+            cache[w] = cache[low] + cache[tail] if tail else cache[low]
+
+    def _encode(self, tokenizer, words: list[str]) -> None:
+        cache = self.cache
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = tokenizer.encode_batch_fast([" \x01 ".join(part)], add_special_tokens=False)[0].ids
             ids = np.array(ids, "<u4")
             ends = (np.flatnonzero(ids == self.mark) * 4).tolist()
             raw, start = ids.tobytes(), 0
@@ -80,8 +112,6 @@ class WordEncoder:
             for w, end in zip(part, [*ends, len(raw)], strict=True):
                 cache[w] = raw[start:end]
                 start = end + 4
-        for w, low, tail in tailed:
-            cache[w] = cache[low] + cache[tail]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null counts as empty."""

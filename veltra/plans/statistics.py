@@ -248,15 +248,15 @@ REST = """, g AS (SELECT a.pathway, a.grp, count(*) FILTER (b.grp = a.grp) AS n1
     with_tables(
         "labelled",
         REST
-        + """ SELECT pathway, grp, n, round(mean, 9) AS mean, round(overall, 6) AS overall, round(fold, 6) AS fold, round(effect_size, 6) AS effect_size,
+        + """ SELECT pathway, grp, n, round(mean, 9) AS mean, round(overall, 9) AS overall, round(fold, 6) AS fold, round(effect_size, 6) AS effect_size,
  (row_number() OVER (PARTITION BY grp ORDER BY round(abs(effect_size), 9) DESC, pathway))::INT AS place FROM d""",
     ),
 )
 def enrichment(spark, sf):
     from ..operators.characterize import enrichment_order
 
-    out = enrichment_order(I.one_against_rest(A.labelled(spark, sf))).withColumn("mean", F.round("mean", 9))
-    return rounded(out, "overall", "fold", "effect_size")
+    out = enrichment_order(I.one_against_rest(A.labelled(spark, sf))).withColumns({c: F.round(c, 9) for c in ("mean", "overall")})
+    return rounded(out, "fold", "effect_size")
 
 
 @query(
@@ -265,14 +265,14 @@ def enrichment(spark, sf):
         "burden samples",
         """, labelled AS (SELECT s.sample_id, g.gene AS pathway, coalesce(b.burden, 0) AS score, 'g' || (s.sample_id % 3) AS grp FROM samples s CROSS JOIN (SELECT DISTINCT gene FROM burden) g LEFT JOIN burden b ON b.sample_id = s.sample_id AND b.gene = g.gene)"""
         + REST
-        + """ SELECT grp, pathway AS gene, round(mean, 6) AS mean, round(effect_size, 6) AS effect_size, (row_number() OVER (PARTITION BY grp ORDER BY round(abs(effect_size), 9) DESC, pathway))::INT AS place FROM d QUALIFY place <= 5""",
+        + """ SELECT grp, pathway AS gene, round(mean, 9) AS mean, round(effect_size, 6) AS effect_size, (row_number() OVER (PARTITION BY grp ORDER BY round(abs(effect_size), 9) DESC, pathway))::INT AS place FROM d QUALIFY place <= 5""",
     ),
 )
 def gene_contributions_topn(spark, sf):
     from ..operators.characterize import gene_contributions
 
     top = gene_contributions(A.burden(spark, sf), A.groups(spark, sf), top_n=5)
-    return rounded(top.select("grp", "gene", "mean", "effect_size", "place"), "mean", "effect_size")
+    return rounded(top.select("grp", "gene", F.round("mean", 9).alias("mean"), "effect_size", "place"), "effect_size")
 
 
 PCS = """, pcs AS (SELECT c_custkey AS sample_id, 'PC1' AS pc, c_acctbal AS value FROM customer UNION ALL SELECT c_custkey, 'PC2', c_nationkey::DOUBLE FROM customer)"""

@@ -43,6 +43,21 @@ def test_language_of_awkward_rows(spark):
     assert langid.classify(docs(spark, []), model).count() == 0
 
 
+def test_other_languages_and_junk_are_rejected(spark):
+    import base64
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    predict = langid.Classifier(langid.learn_outside_fold(docs)).predict
+    dutch = (
+        "De gemeente heeft gisteren besloten dat er volgend jaar meer geld naar het onderwijs gaat, omdat veel scholen al jaren "
+        "te weinig leraren hebben. Ook de ouders willen graag dat hun kinderen beter leren lezen en schrijven. De wethouder zei "
+        "dat zij binnenkort met een nieuw plan komt, waarin staat hoeveel leraren er bij komen."
+    )
+    junk = base64.b64encode(random.Random(2).randbytes(1500)).decode()
+    assert predict(dutch)[3] and predict(junk)[3]
+
+
 def test_close_sizes_are_rejected():
     model = langid.Model({"a": b"same words here", "b": b"same words here"})
     assert langid.Classifier(model).predict("same words")[3]

@@ -35,6 +35,18 @@ def _reduced(spark: SparkSession, sf: str, k: int = 8) -> DataFrame:
     return spark.createDataFrame(rows, "sample_id long, pathway string, score double")
 
 
+def reduced_large(scores: DataFrame, pathways: list[str], k: int = 8) -> DataFrame:
+    """The first principal components as scores, by pyspark.ml at any size; the driver holds pathways by pathways only."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    wide = scores.groupBy("sample_id").pivot("pathway", pathways).agg(F.first("score")).na.fill(0.0)
+    points = VectorAssembler(inputCols=pathways, outputCol="features").transform(wide)
+    z = PCA(k=k, inputCol="features", outputCol="z").fit(points).transform(points)
+    long = z.select("sample_id", F.posexplode(vector_to_array("z")).alias("j", "score"))
+    return long.select("sample_id", F.concat(F.lit("C"), F.col("j")).alias("pathway"), "score")
+
+
 def _k(spark: SparkSession, sf: str) -> int:
     return table(spark, sf, "embeddings").agg(F.count_distinct("label")).first()[0]
 
@@ -46,7 +58,8 @@ def gmm_assign(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gmm_assign_large")
 def gmm_assign_large(spark, sf):
-    return CL.assign_large(_reduced(spark, sf), [f"C{j}" for j in range(8)], _k(spark, sf))
+    scores = reduced_large(vectors(spark, sf), [f"D{j:02d}" for j in range(64)])
+    return CL.assign_large(scores, [f"C{j}" for j in range(8)], _k(spark, sf))
 
 
 @query("kmeans_large")

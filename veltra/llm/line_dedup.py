@@ -31,7 +31,22 @@ FEW = 4
 
 
 def normal(line: Column) -> Column:
-    return F.trim(line, F.lit(" \t\r"))
+    """The line without blanks at its ends. Most lines have none, which their first and last bytes tell."""
+    blank = lambda at: F.substring(line.cast("binary"), at, 1) <= F.lit(b" ")
+    return F.when(blank(1) | blank(-1), F.trim(line, F.lit(" \t\r"))).otherwise(line)
+
+
+def wide(line: Column) -> Column:
+    """The line in four bytes a character, so that a substring is found by its place and not by counting up to it."""
+    return F.encode(line, "UTF-32")
+
+
+def wide_length(u: Column) -> Column:
+    return F.shiftright(F.octet_length(u), 2)
+
+
+def part(u: Column, start: Column, size: Column) -> Column:
+    return F.substring(u, F.shiftleft(start, 2) - 3, F.shiftleft(size, 2))
 
 
 def segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
@@ -43,23 +58,26 @@ def segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return start, size
 
 
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
+def index_keys(u: Column, length: Column, edits: int) -> list[Column]:
+    """u: the line in wide characters."""
     keys = []
     for i in range(edits + 1):
         start, size = segment(length, i, edits + 1)
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start, size)))
+        keys.append(F.xxhash64(length, F.lit(i), part(u, start, size)))
     return keys
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """For indexed lines shorter by delta: a substring at each place that leaves few enough edits on both sides."""
+def probe_keys(u: Column, length: Column, edits: int) -> list[Column]:
+    """For indexed lines shorter by delta: a substring at each place that leaves few enough edits on both sides. The
+    line's own segments are left out: they are in the index, so that their lists hold it as a member."""
     k, keys = edits + 1, []
     for delta in range(edits + 1):
         shorter = length - F.lit(delta)
         for i in range(k):
             start, size = segment(shorter, i, k)
             for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
-                keys.append(F.xxhash64(shorter, F.lit(i), F.substring(line, start + F.lit(shift), size)))
+                if delta or shift:
+                    keys.append(F.xxhash64(shorter, F.lit(i), part(u, start + F.lit(shift), size)))
     return keys
 
 
@@ -158,8 +176,9 @@ def parity(line: Column) -> Column:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(id, no, line): the trimmed lines that are judged."""
-    split = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("no", "raw"))
-    return split.select("id", "no", normal(F.col("raw")).alias("line")).where(F.length("line") >= min_chars)
+    # Trimmed inside the array: behind the explosion, the filter would trim a second time.
+    trimmed = F.transform(F.split(F.col(text_col), "\n"), normal)
+    return docs.select(F.col(id_col).alias("id"), F.posexplode_outer(trimmed).alias("no", "line")).where(F.length("line") >= min_chars)
 
 
 def identity() -> tuple[Column, Column]:
@@ -171,13 +190,15 @@ def survey(lines: DataFrame, edits: int) -> DataFrame:
     its key, its smallest member one and their number n; asks for a line that probes it, not asks for a member of a list
     with several. A probe meets only the summary of a list; members are gathered only of lists with several.
     """
-    k = edits + 1
-    line, length = F.col("line"), F.col("length")
-    keys = F.array(*index_keys(line, length, edits), *probe_keys(line, length, edits))
-    keyed = lines.select("line", F.length("line").alias("length")).select(F.xxhash64("line").alias("lid"), keys.alias("keys"))
-    distinct = keyed.groupBy("lid").agg(F.first("keys").alias("keys"))
-    stored = distinct.select("lid", F.explode(F.slice("keys", 1, k)).alias("key"))
-    asked = distinct.select("lid", F.explode(F.slice("keys", k + 1, 1000)).alias("key"))
+    k, u = edits + 1, F.col("u")
+    whole = lines.select(*identity(), wide(F.col("line")).alias("u")).withColumn("length", wide_length(u))
+    keys = [*index_keys(u, F.col("length"), edits), *probe_keys(u, F.col("length"), edits)]
+    names = [f"k{i}" for i in range(len(keys))]
+    keyed = whole.select("lid", "check", *[x.alias(name) for name, x in zip(names, keys, strict=True)])
+    distinct = keyed.groupBy("lid", "check").agg(*[F.min(x).alias(x) for x in names])  # all of a line's are equal
+    # All keys in one explosion: else each side would have an exchange of its own columns, and the lines be split twice.
+    each = distinct.select("lid", F.posexplode(F.array(*names)).alias("i", "key"))
+    stored, asked = each.where(F.col("i") < k).drop("i"), each.where(F.col("i") >= k).drop("i")
     lists = stored.groupBy("key").agg(F.min("lid").alias("one"), F.count(F.lit(1)).alias("n"))
     asks = asked.join(lists, "key").where("n > 1 or lid != one").select("key", "lid", "one", "n", F.lit(True).alias("asks"))
     members = stored.join(lists.where("n > 1"), "key").select("key", "lid", "one", "n", F.lit(False).alias("asks"))
@@ -197,10 +218,11 @@ def near_pairs(lines: DataFrame, found: DataFrame, edits: int) -> DataFrame:
     texts = some.groupBy("lid", "check").agg(F.first("line").alias("line"), F.first("most").alias("most"))
     texts = cut(texts.withColumn("parity", F.when(F.col("most") > FEW, parity(F.col("line")))))
     marked = roles.join(texts.groupBy("lid").agg(F.min("parity").alias("parity"), F.count(F.lit(1)).alias("texts")), "lid")
-    r = marked.where("asks").select("key", F.col("lid").alias("r"), F.col("parity").alias("rp"), F.col("texts").alias("rt"))
+    r = marked.where("asks or n > 1").select("key", "asks", F.col("lid").alias("r"), F.col("parity").alias("rp"), F.col("texts").alias("rt"))
     s = marked.where("not asks").select("key", F.col("lid").alias("s"), F.col("parity").alias("sp"), F.col("texts").alias("st"))
     close = F.coalesce(F.bit_count(F.col("rp").bitwiseXOR(F.col("sp"))) <= 4 * edits, F.lit(True)) | (F.col("rt") + F.col("st") > 2)
-    met = r.join(s, (r["key"] == s["key"]) & (F.col("r") != F.col("s")) & close)
+    once = (F.col("r") < F.col("s")) | (F.col("asks") & (F.col("r") != F.col("s")))  # of members, each pair once
+    met = r.join(s, (r["key"] == s["key"]) & once & close)
     pairs = met.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
     first = texts.select(F.col("lid").alias("a"), F.col("line").alias("x"))
     second = texts.select(F.col("lid").alias("b"), "check", F.col("line").alias("y"))

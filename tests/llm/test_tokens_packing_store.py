@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veltra.llm import packing, token_store
 from veltra.llm.tokens import WordEncoder, tokenizer_path
@@ -68,20 +69,70 @@ def test_packing_awkward_rows(spark, plain):
     assert packing.pack_texts(docs(spark, []), PATH, 2).count() == 0
 
 
-def test_packing_holds_all_limits(spark):
-    limits = packing.Limits(tokens=256, segments=3, loss_tokens=100, max_padding=4)
-    out = packing.pack_conversations(spark.read.parquet(f"{SF}/conversations.parquet"), PATH, 2, limits).collect()
+def held(rows):
+    """(segments, tokens, loss-bearing tokens) of each sequence."""
     sequences = {}
-    for r in out:
+    for r in rows:
         n, tokens, loss = sequences.get(r.sequence_id, (0, 0, 0))
         sequences[r.sequence_id] = (n + 1, tokens + r.length, loss + r.loss_tokens)
-    assert all(n <= 3 and t <= 256 and x <= 100 for n, t, x in sequences.values())
+    return list(sequences.values())
+
+
+def test_packing_holds_all_limits(spark):
+    limits = packing.Limits(tokens=256, segments=3, loss_tokens=100, max_padding=4)
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    out = packing.pack_conversations(turns, PATH, 2, limits).collect()
+    found = held(out)
+    assert all(n <= 3 and t <= 256 and x <= 100 for n, t, x in found)
+    assert any(n == 3 for n, _, _ in found) and any(x == 100 for _, _, x in found) and any(t == 256 for _, t, _ in found)
     whole = {}
     for r in out:
         whole[r.conv_id] = whole.get(r.conv_id, 0) + r.length
     assert all(whole[r.conv_id] == r.doc_tokens for r in out)
 
 
+def conversations(turns, plain):
+    """conv_id -> ids and loss marks; rows without an id one by one, as a sorted list."""
+    end = np.array([2], "<u4").tobytes()
+    texts, lone = {}, []
+    for key, turn, role, text in turns:
+        ids = np.frombuffer(plain(text) + end, "<u4")
+        if key is None:
+            lone.append((ids.tolist(), int(len(ids) * (role == "assistant"))))
+        else:
+            texts.setdefault(key, []).append((turn is not None, turn or 0, ids, role == "assistant"))
+    return texts, sorted(lone)
+
+
+def test_packing_conversations_awkward_rows(spark, plain, monkeypatch):
+    """Nulls in any column, repeated rows, a conversation that goes through all tasks, turns beyond a run's tokens."""
+    monkeypatch.setattr(packing, "RUN_TOKENS", 50)
+    turns = [(1, 0, "user", "hello there"), (1, 1, "assistant", "hi"), (None, 0, "user", "one"), (None, 0, "assistant", "two two"), (None, 0, "user", "one")]
+    turns += [(2, None, None, None), (2, 3, "assistant", "x y z"), (3, 0, "user", ""), (4, 5, None, "a role is missing"), (9, 1, "assistant", "word " * 900)]
+    turns += [(7, t, ("user", "assistant")[t % 2], f"turn {t} of a very long talk") for t in range(400)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("start", F.lit("x"))
+    limits = packing.Limits(tokens=64, segments=5, loss_tokens=40, max_padding=4)
+    out = packing.pack_conversations(df.repartition(3), PATH, 2, limits, with_ids=True).collect()
+    assert all(n <= 5 and t <= 64 and x <= 40 for n, t, x in held(out))
+    texts, lone = conversations(turns, plain)
+    for key, parts in texts.items():
+        expected = np.concatenate([x for *_, x, _ in sorted(parts, key=lambda p: p[:2])])
+        pieces = sorted((r for r in out if r.conv_id == key), key=lambda r: r.start)
+        assert [r.start for r in pieces] == [0, *np.cumsum([r.length for r in pieces])[:-1].tolist()]
+        assert [i for r in pieces for i in r.ids] == expected.tolist() and {r.doc_tokens for r in pieces} == {len(expected)}
+        assert sum(r.loss_tokens for r in pieces) == sum(len(x) for *_, x, y in parts if y)
+    assert sorted((r.ids, r.loss_tokens) for r in out if r.conv_id is None) == lone
+    assert packing.pack_conversations(df.limit(0), PATH, 2).count() == 0
+
+
+def test_packing_conversations_whole_table(spark, plain):
+    turns = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    out = packing.packing_conversations(spark, SF).collect()
+    texts, _ = conversations(turns, plain)
+    assert {r.conv_id: r.doc_tokens for r in out} == {k: sum(len(x) for *_, x, _ in v) for k, v in texts.items()}
+    assert all(n <= 64 and t <= 4096 and x <= 2048 for n, t, x in held(out))
+
+
 def test_store_round_trip(spark, plain, tmp_path):
     path, end = str(tmp_path / "store"), np.array([1], "<u4").tobytes()
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
@@ -114,8 +165,6 @@ def test_store_finds_damage(spark, tmp_path):
     path = str(tmp_path / "store")
     token_store.write_store(docs(spark), path, PATH, 1)
     chunks = spark.read.parquet(f"{path}/chunks")
-    from pyspark.sql import functions as F
-
     chunks.withColumn("payload", F.concat("payload", F.lit(b"\0\0"))).write.parquet(f"{path}/worse")
     (tmp_path / "store" / "chunks").rename(tmp_path / "store" / "good")
     (tmp_path / "store" / "worse").rename(tmp_path / "store" / "chunks")
@@ -123,6 +172,53 @@ def test_store_finds_damage(spark, tmp_path):
         token_store.read_digests(spark, path).collect()
 
 
+def test_store_finds_what_is_missing(spark, tmp_path):
+    """A chunk, half of the recipes, a part of the manifest that is gone; a chunk or recipes that stand there twice; a
+    manifest that was changed."""
+    path = tmp_path / "store"
+    root = token_store.write_store(spark.read.parquet(f"{SF}/documents.parquet"), str(path), PATH, 1)
+    chunks, recipes, manifest = (spark.read.parquet(f"{path}/{x}") for x in ("chunks", "recipes", "manifest"))
+    one = bytes(chunks.first().digest)
+    other = manifest.withColumn("n_docs", F.col("n_docs") + 1)
+    worse = {
+        "chunks": [chunks.where(F.col("digest") != one), chunks.unionByName(chunks.where(F.col("digest") == one))],
+        "recipes": [recipes.where("id % 2 = 0"), recipes.where("id != 5"), recipes.unionByName(recipes.where("id = 5"))],
+        "manifest": [manifest.where("part != 1"), other, manifest.limit(0)],
+    }
+    assert token_store.read_digests(spark, str(path), root).count() == 200
+    with pytest.raises(ValueError, match="root"):
+        token_store.read_digests(spark, str(path), b"another")
+    for name, tables in worse.items():
+        for i, table in enumerate(tables):
+            table.write.parquet(f"{path}/worse-{name}-{i}")
+            (path / name).rename(path / "good")
+            (path / f"worse-{name}-{i}").rename(path / name)
+            for read in (token_store.read_digests, token_store.read_documents):
+                with pytest.raises(Exception, match="manifest|root|missing"):
+                    read(spark, str(path), root).collect()
+            (path / name).rename(path / f"worse-{name}-{i}")
+            (path / "good").rename(path / name)
+
+
+def test_store_width(spark, tmp_path):
+    few = docs(spark).limit(3)
+    for end_id, width in ((1, "u2"), (70_000, "<u2")):
+        with pytest.raises(ValueError, match="width"):
+            token_store.write_store(few, str(tmp_path / "none"), PATH, end_id, width=width)
+    path = str(tmp_path / "wide")
+    token_store.write_store(few, path, PATH, 70_000)
+    whole = token_store.read_documents(spark, path).collect()
+    assert all(np.frombuffer(r.payload, "<u4")[-1] == 70_000 for r in whole)
+
+
+def test_long_text_without_spaces(plain):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("语言abc😀é"), 40_000)), "x" * 100_000, "ab,." * 20_000]
+    encoder = WordEncoder(PATH)
+    assert encoder.encode_batch(texts) == [plain(x) for x in texts]
+    assert sum(map(len, encoder.young)) < 1000
+
+
 def test_crc_combination():
     rng = np.random.default_rng(1)
     texts = [[rng.bytes(int(n)) for n in rng.integers(0, 40, int(k))] for k in rng.integers(0, 6, 50)]

@@ -23,11 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
-from .tokens import WordEncoder, shared_encoder, tokenizer_path
+from .shared import table, written
+from .tokens import WordEncoder, shared_encoder, slices, tokenizer_path
+
+
+#: A conversation is packed in runs of about so many tokens.
+RUN_TOKENS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -43,10 +47,11 @@ class Limits:
 class Example:
     """What is left of an example: ids[at:], of which loss marks the loss-bearing ones (None: all)."""
 
-    __slots__ = ("key", "ids", "loss", "at", "total")
+    __slots__ = ("key", "ids", "loss", "at", "total", "base")
 
-    def __init__(self, key, ids: np.ndarray, loss: np.ndarray | None):
-        self.key, self.ids, self.loss, self.at, self.total = key, ids, loss, 0, len(ids)
+    def __init__(self, key, ids: np.ndarray, loss: np.ndarray | None, base: int = 0):
+        """base: how many ids of the same document stand before these."""
+        self.key, self.ids, self.loss, self.at, self.total, self.base = key, ids, loss, 0, len(ids), base
 
     def left(self) -> int:
         return self.total - self.at
@@ -169,7 +174,7 @@ def _pieces(examples: Iterator[Example], limits: Limits, partition: int, key_typ
             for x, start, n in pieces:
                 ids = x.ids[start : start + n]
                 loss = n if x.loss is None else int(x.loss[start : start + n].sum())
-                row = (x.key, start, n, zlib.crc32(ids.tobytes()), x.total, sequence, offset, loss)
+                row = (x.key, x.base + start, n, zlib.crc32(ids.tobytes()), x.total, sequence, offset, loss)
                 rows.append((*row, ids.astype(np.int32)) if with_ids else row)
                 offset, count = offset + n, count + n * with_ids
             sequence += 1
@@ -211,15 +216,14 @@ def pack_texts(
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, end = (shared_encoder if keep_words else WordEncoder)(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = (shared_encoder if keep_words else WordEncoder)(tokenizer)
 
         def examples():
             for batch in batches:
-                for at in range(0, batch.num_rows, 128):
-                    part = batch.slice(at, 128)
-                    ids = encoder.encode_batch(part.column(1).to_pylist())
-                    for key, x in zip(part.column(0).to_pylist(), ids, strict=True):
-                        yield Example(key, np.frombuffer(x + end, "<u4"), None)
+                for at, n in slices(batch.column(1)):
+                    ids, counts = encoder.encode(batch.column(1).slice(at, n), end_id)
+                    for key, x in zip(batch.column(0).slice(at, n).to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                        yield Example(key, x.astype("<u4"), None)  # a copy: a waiting example doesn't hold its neighbours
 
         batch_type = key_type[0]
         yield from _pieces(examples(), limits, TaskContext.get().partitionId(), batch_type, id_col, with_ids)
@@ -241,38 +245,82 @@ def pack_conversations(
 ) -> DataFrame:
     """Pack conversations (conv_id, turn, role, text) as instruction data: only turns of loss_role bear loss.
 
-    Each turn is encoded by itself and ends with end_id; a conversation is its turns in order. One conversation must fit
-    a task's memory.
+    Each turn is encoded by itself and ends with end_id; a conversation is its turns in order. Turns are dealt out by
+    ranges of (conv_id, turn), so that a conversation of any length, or one with a third of all turns, goes through
+    several tasks, each of which packs what it has in runs of RUN_TOKENS; one turn must fit a task's memory. Starts and
+    doc_tokens count over the whole conversation all the same.
+
+    A row without a conv_id is a conversation of its own. A null turn comes first, a null text is empty, a null role bears
+    no loss. Turns with the same number are ordered by a hash of role and text; repeated rows all count. An empty table
+    gives no piece. Other columns are not read.
     """
-    turn = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    conversations = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    conversations = conversations.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
-    key_field = conversations.schema[0]
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    ranges = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("role", "text"))
+    rows = rows.repartitionByRange(ranges, "conv_id", "turn", "tie").sortWithinPartitions("conv_id", "turn", "tie", "role", "text")
+    rows = rows.select("conv_id", "role", "text")
+    id_type = rows.schema[0].dataType
+    key_type = pa.struct([("conv_id", to_arrow_type(id_type)), ("part", pa.int32()), ("lone", pa.int64())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, end = shared_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, part = shared_encoder(tokenizer), TaskContext.get().partitionId()
 
         def examples():
-            for batch in batches:
-                for key, roles, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    parts = [np.frombuffer(x + end, "<u4") for x in encoder.encode_batch(texts)]
-                    loss = [np.full(len(p), r == loss_role) for r, p in zip(roles, parts, strict=True)]
-                    yield Example(key, np.concatenate(parts), np.concatenate(loss))
+            now, base, lone, held, bears = None, 0, 0, [], []
 
-        yield from _pieces(examples(), limits, TaskContext.get().partitionId(), key_type[0], "conv_id", with_ids)
+            def example():
+                key = {"conv_id": now, "part": part, "lone": lone if now is None else None}
+                return Example(key, np.concatenate(held), np.concatenate(bears), base)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    key_type = [to_arrow_type(key_field.dataType)]
-    schema = f"conv_id {key_field.dataType.simpleString()}, {PIECES}" + (", ids array<int>" if with_ids else "")
-    return conversations.mapInArrow(run, schema)
+            for batch in batches:
+                for at, n in slices(batch.column(2)):
+                    ids, counts = encoder.encode(batch.column(2).slice(at, n), end_id)
+                    places = zip(*(batch.column(c).slice(at, n).to_pylist() for c in (0, 1)), strict=True)
+                    for (key, role), x in zip(places, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                        if held and (key != now or key is None):
+                            yield example()
+                            base, lone, held, bears = 0, lone + 1, [], []
+                        now = key
+                        held.append(x.astype("<u4"))
+                        bears.append(np.full(len(x), role == loss_role))
+                        if sum(map(len, held)) >= RUN_TOKENS:
+                            run = example()
+                            base, held, bears = base + run.total, [np.zeros(0, "<u4")], [np.zeros(0, bool)]
+                            yield run
+            if held:
+                yield example()
+
+        yield from _pieces(examples(), limits, part, key_type, "example", with_ids)
+
+    kind = f"struct<conv_id:{id_type.simpleString()},part:int,lone:bigint>"
+    packed = rows.mapInArrow(run, f"example {kind}, {PIECES}" + (", ids array<int>" if with_ids else ""))
+    packed = written(packed, "packed-turns").select("example.*", "*").drop("example", "doc_tokens")
+    # A task's share of a conversation: what lies before it, and the whole.
+    shares = packed.groupBy("conv_id", "part", "lone").agg(F.sum("length").alias("n"))
+    whole = Window.partitionBy("conv_id", F.when(F.col("conv_id").isNull(), F.col("part")), "lone")
+    before = F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shares = shares.select(
+        *[F.col(c).alias(f"__{c}") for c in ("conv_id", "part", "lone")],
+        F.coalesce(before, F.lit(0)).alias("before"),
+        F.sum("n").over(whole).alias("doc_tokens"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("conv_id", "part", "lone")]
+    own = [c for c in packed.columns if c not in ("conv_id", "part", "lone", "start")]
+    return packed.join(shares, same).select("conv_id", (F.col("start") + F.col("before")).alias("start"), "doc_tokens", *own)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {"op4_packing": op4_packing}
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on instruction data: loss only on answers, so that all three limits bind."""
+    return pack_conversations(table(spark, sf_dir, "conversations"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+QUERIES = {"op4_packing": op4_packing, "packing_conversations": packing_conversations}
 ORACLES: dict[str, str] = {}

@@ -4,15 +4,18 @@ Layout, all Parquet in one folder that only Spark needs to reach:
 
 - ``chunks``: digest (BLAKE2b, 16 bytes), n_ids, payload (little-endian ids of 2 or 4 bytes). A digest occurs once.
 - ``recipes``: by ascending document id: id, row, part, local_start, n_tokens, digests of its chunks in order, root.
-- ``manifest``: part, start, n_docs, n_tokens, root: one row for each range of ids, and the store's root over all.
+- ``manifest``: part, start, n_docs, n_tokens, root, width, store_root: one row for each range of ids, and in each of
+  them the store's root over all.
 
 A rolling polynomial hash over the last ``WINDOW`` ids cuts an id stream where its low bits are zero, so that equal
 passages give equal chunks wherever they stand. Each document is cut by itself. A document's root is the Merkle root of
-its chunks' digests, a part's that of its documents' roots, the store's that of its parts' roots. Reading back digests
-every payload again, so a root that agrees proves the reconstruction.
+its chunks' digests, a part's that of its documents' roots, the store's that of its parts' roots. Reading back computes
+all of them anew, from the payloads to the store's root, and raises if one doesn't agree, or if a chunk, a recipe or a
+part is missing or stands there twice.
 
 Null texts are empty: their stream is the end id alone. Rows may repeat an id; each is a document of its own, in the
-order of their rows. Null ids come first. An empty table gives an empty store. Only the named columns are read.
+order of their rows. Null ids come first. An empty table gives an empty store. Only the named columns are read. A text is
+encoded as a whole by one task, which holds its words and ids, some twenty times its bytes; its chunks then go apart.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import broadcast_if_small, cut, new_dir, table
-from .tokens import shared_encoder, tokenizer_path
+from .tokens import id_type, shared_encoder, slices, tokenizer_path
 
 WINDOW = 16
 MEAN_BITS = 9
@@ -37,6 +40,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BROADCAST_KEYS = 2_000_000
 
 STAGED = "id long, row long, ord int, key long, digest binary, n_ids int, payload binary"
+CHUNKS = "digest binary, n_ids int, payload binary"
+RECIPES = "id long, row long, part int, local_start long, n_tokens long, digests array<binary>, root binary"
+MANIFEST = "part int, start long, n_docs long, n_tokens long, root binary, width string, store_root binary"
 
 
 def digest(data: bytes) -> bytes:
@@ -54,16 +60,17 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
+def cut_points(ids: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """Positions after which the rolling hash over WINDOW ids allows a cut."""
-    if len(ids) < WINDOW:
-        return np.zeros(0, np.int64)
-    h, power, covered = ids.astype(np.uint64) + np.uint64(1), BASE, 1
-    with np.errstate(over="ignore"):
-        while covered < WINDOW:  # two hashes of so many ids, side by side, are one of twice as many
-            h = h[:-covered] * power + h[covered:]
-            power, covered = power * power, 2 * covered
-    return np.flatnonzero((h >> np.uint64(64 - MEAN_BITS)) == 0) + WINDOW
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, max(0, len(ids) - WINDOW + 1), block):
+        h, power, covered = ids[at : at + block + WINDOW - 1].astype(np.uint64) + np.uint64(1), BASE, 1
+        with np.errstate(over="ignore"):
+            while covered < WINDOW:  # two hashes of so many ids, side by side, are one of twice as many
+                h = h[:-covered] * power + h[covered:]
+                power, covered = power * power, 2 * covered
+        found.append(np.flatnonzero((h >> np.uint64(64 - MEAN_BITS)) == 0) + (at + WINDOW))
+    return np.concatenate(found)
 
 
 def chunk_ends(cuts: np.ndarray, start: int, end: int) -> list[int]:
@@ -91,26 +98,34 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int, width: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        encoder, end = shared_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = shared_encoder(tokenizer)
         row = key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                raw = [x + end for x in encoder.encode_batch(part.column(1).to_pylist())]
-                ids = np.frombuffer(b"".join(raw), "<u4")
-                cuts, narrow, start = cut_points(ids), ids.astype(width), 0
-                out: list[list] = [[] for _ in range(7)]
-                for doc, x in zip(part.column(0).to_pylist(), raw, strict=True):
-                    stop, first = start + len(x) // 4, start
-                    for o, e in enumerate(chunk_ends(cuts, first, stop)):
-                        payload = narrow[start:e].tobytes()
-                        for column, value in zip(out, (doc, row, o, key, digest(payload), e - start, payload), strict=True):
-                            column.append(value)
-                        key, start = key + 1, e
-                    row += 1
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
-                names = ("id", "row", "ord", "key", "digest", "n_ids", "payload")
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+            for at, n in slices(batch.column(1)):
+                ids, counts = encoder.encode(batch.column(1).slice(at, n), end_id)
+                cuts, ends = cut_points(ids), np.cumsum(counts)
+                chunks = [chunk_ends(cuts, e - c, e) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+                per_doc = np.fromiter(map(len, chunks), np.int64, n)
+                stops = np.fromiter((e for x in chunks for e in x), np.int64, int(per_doc.sum()))
+                sizes = np.diff(stops, prepend=0)
+                first = np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+                total, doc = len(stops), pa.array(np.repeat(np.arange(at, at + n), per_doc))
+                # Chunks lie one behind another in one buffer: a payload is a place in it.
+                raw = ids.astype(width).tobytes()
+                bounds = np.concatenate(([0], stops * np.dtype(width).itemsize))
+                view = memoryview(raw)
+                digests = [digest(view[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                columns = [
+                    batch.column(0).take(doc),
+                    pa.array(row + np.repeat(np.arange(n), per_doc)),
+                    pa.array((np.arange(total) - first).astype(np.int32)),
+                    pa.array(key + np.arange(total)),
+                    pa.array(digests, pa.binary()),
+                    pa.array(sizes.astype(np.int32)),
+                    pa.Array.from_buffers(pa.binary(), total, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)]),
+                ]
+                row, key = row + n, key + total
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "ord", "key", "digest", "n_ids", "payload"])
 
     return docs.mapInArrow(run, STAGED)
 
@@ -155,10 +170,14 @@ def write_store(
     end_id: int,
     id_col: str = "doc_id",
     text_col: str = "text",
-    width: str = "<u2",
+    width: str | None = None,
 ) -> bytes:
-    """Encode the texts and write the store; returns its root. width: "<u2" for vocabularies up to 65,536 ids, else "<u4"."""
-    spark = docs.sparkSession
+    """Encode the texts and write the store; returns its root. width: "<u2" or "<u4"; by default the narrower one that
+    holds all ids of the vocabulary and the end id. One that doesn't hold them raises."""
+    spark, needed = docs.sparkSession, id_type(tokenizer, end_id)
+    width = width or needed
+    if width not in ("<u2", "<u4") or width < needed:
+        raise ValueError(f"ids of this vocabulary need the width {needed}, not {width}")
     staging = f"{path}/staging"
     _staged(docs.select(F.col(id_col).cast("long"), F.col(text_col)), tokenizer, end_id, width).write.option(
         "compression", "none"
@@ -180,28 +199,49 @@ def write_store(
     documents = staged.groupBy("id", "row").agg(F.sum("n_ids").cast("long").alias("n_tokens"), recipe.alias("digests"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = documents.repartitionByRange(ranges, "id", "row").sortWithinPartitions("id", "row")
-    ordered.mapInArrow(
-        _laid_out, "id long, row long, part int, local_start long, n_tokens long, digests array<binary>, root binary"
-    ).write.parquet(f"{path}/recipes")
+    ordered.mapInArrow(_laid_out, RECIPES).write.parquet(f"{path}/recipes")
 
-    # One row for each range: as many as there are partitions.
-    recipes = spark.read.parquet(f"{path}/recipes").select("part", "id", "row", "n_tokens", "root")
-    per_part = recipes.repartition(ranges, "part").sortWithinPartitions("part", "id", "row")
-    parts = sorted(
-        per_part.mapInArrow(_part_roots, "part int, n_docs long, n_tokens long, root binary").collect(), key=lambda r: r.part
-    )
     start, rows = 0, []
-    for r in parts:
-        rows.append((r.part, start, r.n_docs, r.n_tokens, bytes(r.root)))
-        start += r.n_tokens
-    root = merkle_root([r[-1] for r in rows])
-    manifest = spark.createDataFrame(rows, "part int, start long, n_docs long, n_tokens long, root binary")
+    for part, n_docs, n_tokens, root in _part_totals(spark, path):
+        rows.append((part, start, n_docs, n_tokens, root, width))
+        start += n_tokens
+    root = merkle_root([r[4] for r in rows])
+    manifest = spark.createDataFrame(rows, "part int, start long, n_docs long, n_tokens long, root binary, width string")
     manifest.withColumn("store_root", F.lit(root)).coalesce(1).write.parquet(f"{path}/manifest")
     _remove(spark, staging)
     _remove(spark, again_path)
     return root
 
 
+def _part_totals(spark: SparkSession, path: str) -> list[tuple[int, int, int, bytes]]:
+    """(part, n_docs, n_tokens, root) from the recipes as they are. One row for each range: as many as there are partitions."""
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("part", "id", "row", "n_tokens", "root")
+    per_part = recipes.repartition(ranges, "part").sortWithinPartitions("part", "id", "row")
+    found = per_part.mapInArrow(_part_roots, "part int, n_docs long, n_tokens long, root binary").collect()
+    return sorted((r.part, r.n_docs, r.n_tokens, bytes(r.root)) for r in found)
+
+
+def verified_manifest(spark: SparkSession, path: str, root: bytes | None = None) -> tuple[DataFrame, str]:
+    """The manifest (part, start), and the width, once the recipes have been found to agree with it in numbers, starts
+    and roots; with root also with a root kept elsewhere, else a store could be changed together with its manifest."""
+    rows = sorted(spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect(), key=lambda r: r.part)
+    found, start = _part_totals(spark, path), 0
+    if [(r.part, r.n_docs, r.n_tokens, bytes(r.root)) for r in rows] != found:
+        raise ValueError("the recipes are not those of the manifest")
+    for r in rows:
+        if r.start != start:
+            raise ValueError(f"part {r.part} of the manifest doesn't start where the one before ends")
+        start += r.n_tokens
+    whole = merkle_root([bytes(r.root) for r in rows])
+    if any(bytes(r.store_root) != whole for r in rows) or (root is not None and root != whole):
+        raise ValueError("the parts don't have the root of the store")
+    if len({r.width for r in rows}) > 1:
+        raise ValueError("the manifest has several widths")
+    starts = spark.createDataFrame([(r.part, r.start) for r in rows], "part int, part_start long")
+    return starts, rows[0].width if rows else "<u4"
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -240,13 +280,19 @@ def combine_crcs(crcs: list[np.ndarray], lengths: list[np.ndarray]) -> np.ndarra
     return total
 
 
+def _checked(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if digest(payload) != key:
+                raise ValueError(f"chunk {key.hex()} doesn't have its digest")
+        yield batch
+
+
 def _read_chunks(width: str):
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in _checked(batches):
             crcs, sizes = [], []
-            for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if digest(payload) != key:
-                    raise ValueError(f"chunk {key.hex()} doesn't have its digest")
+            for payload in batch.column(1).to_pylist():
                 ids = np.frombuffer(payload, width).astype("<u4")
                 crcs.append(zlib.crc32(ids.tobytes()))
                 sizes.append(len(ids))
@@ -259,54 +305,60 @@ def _read_chunks(width: str):
 def _summed_up(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         parts = batch.column("parts").to_pylist()
+        for x, n, root in zip(parts, batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist(), strict=True):
+            if any(p["crc"] is None for p in x):
+                raise ValueError("a chunk that a recipe names is missing")
+            if merkle_root([p["digest"] for p in x]) != root or sum(p["n"] for p in x) != n:
+                raise ValueError("a document's chunks don't have its root")
         crcs = [np.array([p["crc"] for p in x], np.int64).astype(np.uint32) for x in parts]
         sizes = [np.array([p["n"] for p in x], np.int64) for x in parts]
-        for x, root in zip(parts, batch.column("root").to_pylist(), strict=True):
-            if merkle_root([p["digest"] for p in x]) != root:
-                raise ValueError("a document's chunks don't have its root")
-        columns = [batch.column("id"), batch.column("row"), batch.column("start")]
-        columns += [pa.array([int(x.sum()) for x in sizes], pa.int64())]
+        columns = [batch.column(c) for c in ("id", "row", "start", "n_tokens")]
         columns += [pa.array(combine_crcs(crcs, [4 * x for x in sizes]).astype(np.int64), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["id", "row", "start", "n_tokens", "ids_crc32"])
 
 
-def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each document, with its start among the ids of all. The manifest has a row for each range of ids only."""
-    manifest = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("part_start"))
-    recipes = spark.read.parquet(f"{path}/recipes")
-    joined = recipes.join(F.broadcast(manifest), "part")
+def read_recipes(spark: SparkSession, path: str, starts: DataFrame) -> DataFrame:
+    """A row for each document, with its start among the ids of all. starts has a row for each range of ids only."""
+    joined = spark.read.schema(RECIPES).parquet(f"{path}/recipes").join(F.broadcast(starts), "part")
     return joined.withColumn("start", F.col("part_start") + F.col("local_start"))
 
 
-def read_digests(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
-    """id, row, start, n_tokens and ids_crc32 of each document, from the files; every payload is digested and checked.
+def read_digests(spark: SparkSession, path: str, root: bytes | None = None) -> DataFrame:
+    """id, row, start, n_tokens and ids_crc32 of each document, from the files, all of whose roots are checked on the way.
 
     The CRC of a document is combined from those of its chunks, so that payloads aren't shuffled.
     """
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "payload")
+    starts, width = verified_manifest(spark, path, root)
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("digest", "payload")
     sums = chunks.mapInArrow(_read_chunks(width), "digest binary, crc long, n long")
-    pieces = read_recipes(spark, path).select("id", "row", "start", "root", F.posexplode("digests").alias("ord", "digest"))
-    found = pieces.join(sums, "digest")
+    own = ("id", "row", "start", "n_tokens", "root")
+    pieces = read_recipes(spark, path, starts).select(*own, F.posexplode("digests").alias("ord", "digest"))
+    found = pieces.join(sums, "digest", "left")
     part = F.struct("ord", "digest", "crc", "n")
-    documents = found.groupBy("id", "row", "start", "root").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    documents = found.groupBy(*own).agg(F.array_sort(F.collect_list(part)).alias("parts"))
     return documents.mapInArrow(_summed_up, "id long, row long, start long, n_tokens long, ids_crc32 long")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """id, row, start and payload (the ids in the store's width) of each document, put together from its chunks."""
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "payload")
-    pieces = read_recipes(spark, path).select("id", "row", "start", F.posexplode("digests").alias("ord", "digest"))
+def read_documents(spark: SparkSession, path: str, root: bytes | None = None) -> DataFrame:
+    """id, row, start and payload (the ids in the store's width) of each document, put together from its chunks, each of
+    which is digested anew."""
+    starts, width = verified_manifest(spark, path, root)
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("digest", "payload").mapInArrow(_checked, "digest binary, payload binary")
+    own = ("id", "row", "start", "n_tokens")
+    pieces = read_recipes(spark, path, starts).select(*own, F.posexplode("digests").alias("ord", "digest"))
     ordered = F.array_sort(F.collect_list(F.struct("ord", "payload")))
-    found = pieces.join(chunks, "digest").groupBy("id", "row", "start").agg(ordered.alias("parts"))
-    return found.select(
-        "id", "row", "start", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["payload"])).alias("payload")
-    )
+    found = pieces.join(chunks, "digest", "left").groupBy(*own).agg(ordered.alias("parts"))
+    whole = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, F.coalesce(x["payload"], F.lit(b""))))
+    found = found.select("id", "row", "start", "n_tokens", whole.alias("payload"))
+    right = F.octet_length("payload") == F.col("n_tokens") * int(width[-1])
+    wrong = F.raise_error(F.lit("a chunk that a recipe names is missing or stands there twice")).cast("binary")
+    return found.select("id", "row", "start", F.when(right, F.col("payload")).otherwise(wrong).alias("payload"))
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "token-store")
-    write_store(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
-    return read_digests(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    root = write_store(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return read_digests(spark, path, root).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op6_token_store": op6_token_store}

@@ -31,7 +31,8 @@ from .shared import table
 
 # HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select datalist".split())
+#: What they hold is no text of the page: scripts, styles, form controls, another document, names of drawings.
+RAW = frozenset("script style template textarea title iframe select datalist desc metadata annotation annotation-xml".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote button center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr label legend li main menu nav ol option p pre search section summary "
@@ -50,15 +51,24 @@ CLOSED_BY = {
 }
 SCOPE = frozenset("ul ol dl table select menu".split())
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL
-)
-LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
-NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
+#: Open elements that an end tag doesn't reach across, and the ones whose end tags do.
+CELLS = ("td", "th", "table")
+ROWS = frozenset("tr table tbody thead tfoot body html".split())
+CLOSES = {tag: [k for k, v in CLOSED_BY.items() if tag in v] for tag in set().union(*CLOSED_BY.values())}
+
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: One attribute, or what stands in the place of one: name, value with its quotes. A quote without an end is no value.
+ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)?)?")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 SPACES = re.compile(r"[\s\x00]+")
 
 
+@lru_cache(maxsize=None)
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE)
+
+
 @dataclass
 class Node:
     parent: int
@@ -70,16 +80,59 @@ class Node:
     text: str = ""
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, dict[str, str], bool]]:
+    """(start, end, name, whether an end tag, attributes, whether closed by itself) of each tag; of comments and
+    declarations name is empty. Each character is looked at a bounded number of times, however bad the markup.
+
+    A quoted value ends at its own quote; where a quote has no end, the tag ends at the next ">". A "<" that no name
+    follows, or no ">", is text. The caller may send a place to go on from, behind what a tag holds.
+    """
+    at, last = page.find("<"), page.rfind(">")
+    while 0 <= at <= last:
+        start = at
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            found = (start, end, "", False, {}, False)
+        elif page.startswith(("<!", "<?", "</"), at) and not NAME.match(page, at):
+            end = page.find(">", at) + 1
+            if page.startswith("</", at) and not page.startswith("</>", at) and page[at + 2 : at + 3].isspace():
+                at = page.find("<", at + 1)
+                continue
+            found = (start, end, "", False, {}, False)
+        elif m := NAME.match(page, at):
+            at, attributes, alone = m.end(), {}, False
+            while at < len(page) and page[at] != ">":
+                x = ATTRIBUTE.match(page, at)
+                alone = page[x.end() - 1] == "/"
+                at = x.end()
+                if x[1] is not None:
+                    attributes.setdefault(x[1].lower(), (x[2] or "").strip("\"'"))
+                if page.startswith(("'", '"'), at):  # a quote without an end
+                    break
+            end = page.find(">", at) + 1
+            if not end:  # the rest has no end of a tag
+                return
+            found = (start, end, m[2].lower(), bool(m[1]), attributes, alone)
+        else:
+            at = page.find("<", at + 1)
+            continue
+        sent = yield found
+        at = page.find("<", found[1] if sent is None else sent)
+
+
 def parse(page: str) -> list[Node]:
-    """Nodes in page order; the first is the root, a parent stands before its children."""
+    """Nodes in page order; the first is the root, a parent stands before its children. What an element with the attribute
+    hidden, or with a style that hides it, holds is not on the page. The work is linear in the page's length."""
     nodes = [Node(-1, "#root")]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, with the node that their text belongs under
-    links, run, at = 0, None, 0
-    tags = TAG if page.count('"') % 2 == 0 and page.count("'") < 2000 else LOOSE
+    open_at: dict[str, list[int]] = {}  # for each tag the depths at which it is open
+    blocks: list[int] = []  # the depths of open block elements
+    run, unseen = None, 0  # unseen: the depth of the outermost hidden element
 
     def text(raw: str) -> None:
         nonlocal run
-        if not raw:
+        if not raw or unseen:
             return
         if run is None:
             if not raw.strip():
@@ -88,44 +141,52 @@ def parse(page: str) -> list[Node]:
             nodes.append(run)
         raw = html.unescape(raw)
         run.parts.append(raw)
-        if links:
+        if open_at.get("a"):
             run.link_chars += len(raw)
 
+    def push(tag: str, node: int) -> None:
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocks.append(len(stack))
+        stack.append((tag, node))
+
     def pop_to(depth: int) -> None:
-        nonlocal run, links
-        for tag, _ in stack[depth:]:
-            if tag == "a":
-                links -= 1
+        nonlocal run, unseen
+        while len(stack) > depth:
+            tag, _ = stack.pop()
+            open_at[tag].pop()
             if tag in BLOCK:
+                blocks.pop()
                 run = None
-        del stack[depth:]
-
-    n = len(page)
-    while at < n:
-        m = tags.search(page, at)
-        if m is None:
-            text(page[at:])
+        if unseen >= depth:
+            unseen = 0
+
+    def nearest(names) -> int:
+        """The depth of the innermost open element of those names, 0 if there is none."""
+        return max((open_at[x][-1] for x in names if open_at.get(x)), default=0)
+
+    found, done, go_on = tags(page), 0, None
+    while True:
+        try:
+            start, end, tag, closing, attributes, alone = found.send(go_on)
+        except StopIteration:
+            text(page[done:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m.group(2) is None:
+        text(page[done:start])
+        done, go_on = end, None
+        if not tag:
             continue
-        tag = m.group(2).lower()
-        if m.group(1):
+        if closing:
+            depth = nearest((tag,))
             if tag == "br":
                 text(" ")
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            elif depth and (tag in ROWS or depth >= nearest(CELLS)):
+                pop_to(depth)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            if not m.group(3).endswith("/"):
-                at = end.end() if end else n
+            if not alone:
+                close = raw_end(tag).search(page, end)
+                done = go_on = (page.find(">", close.end()) + 1 if close else 0) or len(page)
             text(" ")
             continue
         if tag in VOID:
@@ -134,40 +195,31 @@ def parse(page: str) -> list[Node]:
             else:
                 text(" ")
             continue
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in BLOCK:
-                    break
-        for depth in range(len(stack) - 1, 0, -1):
-            open_ = stack[depth][0]
-            if tag in CLOSED_BY.get(open_, ()):
-                pop_to(depth)
-                if open_ not in ("td", "th"):
-                    break
-            elif open_ in SCOPE:
+        if tag in CLOSES_P and blocks and stack[blocks[-1]][0] == "p":
+            pop_to(blocks[-1])
+        while tag in CLOSES:
+            depth = nearest(CLOSES[tag])
+            if depth <= nearest(SCOPE):
+                break
+            cell = stack[depth][0] in ("td", "th")
+            pop_to(depth)
+            if not cell:
                 break
-        if m.group(3).endswith("/") and tag in BLOCK:
+        if alone and tag in BLOCK:
             run = None
             continue
         if tag in BLOCK:
             run = None
             names = []
-            for key, value in NAMES.findall(m.group(3)):
-                key = key.lower()
-                if key == "hidden" or key == "aria-hidden":
-                    if value.strip("\"'").lower() != "false":
-                        names.append("hidden")
-                else:
-                    names += WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            nodes.append(Node(stack[-1][1], tag, tuple(dict.fromkeys(names))))
-            stack.append((tag, len(nodes) - 1))
+            for key in ("class", "id", "role"):
+                names += WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", attributes.get(key, "")).lower())
+            if not unseen:
+                nodes.append(Node(stack[-1][1], tag, tuple(dict.fromkeys(names))))
+            push(tag, len(nodes) - 1)
         else:
-            if tag == "a":
-                links += 1
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
+        if not unseen and ("hidden" in attributes or UNSEEN.search(attributes.get("style", ""))):
+            unseen = len(stack) - 1
     for x in nodes:
         if x.is_text:
             x.text = SPACES.sub(" ", "".join(x.parts)).strip()
@@ -267,6 +319,11 @@ def extract(page: str | None, model: TreeModel) -> str:
     return "\n".join(t for t in kept if t)
 
 
+def either(logs: np.ndarray) -> np.ndarray:
+    """Log of the sum over the last axis, of both states."""
+    return np.logaddexp(logs[..., 0], logs[..., 1])
+
+
 class Forest:
     """The trees of many pages as arrays; sum-product by depth, over all pages at once."""
 
@@ -282,16 +339,16 @@ class Forest:
         below = np.stack([np.zeros_like(z), z], axis=1)
         up = np.zeros_like(below)
         for nodes in reversed(self.levels[1:]):
-            up[nodes] = np.logaddexp.reduce(theta[self.kinds[nodes]] + below[nodes, None, :], axis=2)
+            up[nodes] = either(theta[self.kinds[nodes]] + below[nodes, None, :])
             np.add.at(below, self.parent[nodes], up[nodes])
         belief, pairs = below.copy(), np.zeros((len(z), 2, 2))
         roots = self.levels[0]
-        total = np.logaddexp.reduce(below[roots], axis=1).sum()
+        total = either(below[roots]).sum()
         for nodes in self.levels[1:]:
             rest = belief[self.parent[nodes]] - up[nodes]
             joint = rest[:, :, None] + theta[self.kinds[nodes]] + below[nodes, None, :]
-            belief[nodes] = np.logaddexp.reduce(joint, axis=1)
-            pairs[nodes] = np.exp(joint - np.logaddexp.reduce(belief[nodes], axis=1)[:, None, None])
+            belief[nodes] = np.logaddexp(joint[:, 0], joint[:, 1])
+            pairs[nodes] = np.exp(joint - either(belief[nodes])[:, None, None])
         return total, 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -500, 500))), pairs
 
 

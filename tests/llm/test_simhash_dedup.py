@@ -87,7 +87,8 @@ def test_links_connect_what_all_pairs_connect(spark, block):
     assert [found.get(i, i) for i in ids] == plain_components(ids, fps)
 
 
-def test_every_pair_in_reach_shares_a_posting_list(spark):
+@pytest.mark.parametrize("radius", [3, 4, 5, 6])
+def test_every_pair_in_reach_shares_enough_posting_lists(spark, radius):
     from pyspark.sql import functions as F
 
     rng = random.Random(1)
@@ -95,12 +96,19 @@ def test_every_pair_in_reach_shares_a_posting_list(spark):
     for _ in range(300):
         x = rng.getrandbits(64)
         y = x
-        for b in rng.sample(range(64), rng.randint(0, 4)):
+        for b in rng.sample(range(64), rng.randint(0, radius)):
             y ^= 1 << b
         rows.append(tuple(np.array([x, y], np.uint64).view(np.int64).tolist()))
     df = spark.createDataFrame(rows, "x long, y long")
-    a, b = (F.array(*simhash_dedup.posting_keys(F.col(c), 4)) for c in "xy")
-    assert df.where(~F.arrays_overlap(a, b)).count() == 0
+    a, b = (F.array(*simhash_dedup.posting_keys(F.col(c), radius)) for c in "xy")
+    assert df.where(F.size(F.array_intersect(a, b)) < simhash_dedup.fewest_lists(radius)).count() == 0
+    assert {3: 10, 4: 4, 5: 1, 6: 1}[radius] == simhash_dedup.fewest_lists(radius)
+
+
+def test_the_tally_drops_pairs_that_share_too_few_bytes(spark):
+    """Three shared bytes are one list of triples, four are four: only the second pair reaches the minimum."""
+    df = spark.createDataFrame([(0x0101010101010101,), (0x0202020202010101,), (0x4040404040404040,), (0x4141414140404040,)], "fp long")
+    assert {(r.lo, r.hi) for r in simhash_dedup.links(df, 4).collect()} == {(0x4040404040404040, 0x4141414140404040)}
 
 
 def test_components_of_a_long_chain_and_a_star(spark):

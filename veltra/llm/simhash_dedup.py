@@ -1,15 +1,18 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A fingerprint of 64 bits is 8 positional bytes. Two fingerprints at most ``radius`` bits apart differ in at most radius
-bytes, so they share at least 8 - radius positional bytes: the guaranteed minimum matches. The tally of shared bytes is
-taken for the pairs of a posting list, those reaching the minimum are kept and verified by their bits.
+bytes, so they share at least 8 - radius positional bytes: the guaranteed minimum matches.
 
-Posting lists of single bytes would hold a 256th of all fingerprints each. A list is therefore keyed by several
-positional bytes at once: of 8 positions of which at least 4 agree, at least 3 of the first 7 agree, so the 35 triples of
-the first seven positions miss no pair; lists then hold a 2**24th each. Lists with one member end in an aggregate, those
-with two are one pair in that aggregate, and only longer lists are gathered. Those are searched breadth first: a list of
-m fingerprints gives at most m - 1 links, its spanning forest, never all pairs. Longer lists than ``block`` are dealt out
-by pairs of blocks to several tasks, so that no task holds more than two blocks.
+Posting lists of single bytes would hold a 256th of all fingerprints each, and tallying them would take a 256th of all
+pairs. A list is therefore keyed by ``WIDTH`` positional bytes at once, for each choice of positions. A pair that shares m
+bytes meets in as many lists as there are choices among m, so that the tally of lists counts shared bytes: a pair with
+the minimum of 4 meets in at least 4 lists of triples, one that shares only 3 bytes in a single one. Pairs are tallied
+over the lists with two members, which are most; only those reaching the minimum are verified by their bits.
+
+Longer lists are never paired up. They are searched breadth first, and bytes are compared there: a list of m
+fingerprints gives at most m - 1 links, its spanning forest. A pair that meets in a longer list is linked or connected
+there, so that its tally need not be whole. Lists longer than ``block`` are dealt out by pairs of blocks to several
+tasks, so that no task holds more than two blocks.
 
 Equal fingerprints are one node from the start. Components are those of all links within the radius.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,7 @@ from .components import components
 from .shared import cut, table
 
 BLOCK = 2048
+WIDTH = 3
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -68,12 +73,15 @@ def _byte(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255))
 
 
+def width_of(radius: int) -> int:
+    """Bytes in a key: no more than are shared for sure."""
+    return min(WIDTH, 8 - radius)
+
+
 def posting_keys(fp: Column, radius: int) -> list[Column]:
-    """Keys of the posting lists: 8 - radius bytes are shared, so min(3, 8 - radius) are among the first ones."""
-    width = min(3, 8 - radius)
-    positions = 8 - (8 - radius - width)
-    keys = []
-    for k, chosen in enumerate(combinations(range(positions), width)):
+    """Keys of the posting lists: the bytes at each choice of positions."""
+    width, keys = width_of(radius), []
+    for k, chosen in enumerate(combinations(range(8), width)):
         key = F.lit(k << 8 * width).cast("long")
         for place, i in enumerate(chosen):
             key = key + F.shiftleft(_byte(fp, i), 8 * place)
@@ -81,9 +89,9 @@ def posting_keys(fp: Column, radius: int) -> list[Column]:
     return keys
 
 
-def tally(a: Column, b: Column) -> Column:
-    """How many positional bytes agree."""
-    return sum((_byte(a.bitwiseXOR(b), i) == 0).cast("int") for i in range(8))
+def fewest_lists(radius: int) -> int:
+    """In how many lists a pair meets at least that shares the guaranteed minimum of bytes."""
+    return comb(8 - radius, width_of(radius))
 
 
 def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +163,8 @@ def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame
     postings = distinct.select("fp", F.explode(F.array(*posting_keys(fp, radius))).alias("key"))
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     lists = cut(lists.where("n > 1"))
-    two = lists.where("n = 2").where(tally(F.col("lo"), F.col("hi")) >= 8 - radius)
-    two = two.where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius).select("lo", "hi")
+    tally = lists.where("n = 2").groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("met"))
+    two = tally.where(F.col("met") >= fewest_lists(radius)).where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius).select("lo", "hi")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     longer = lists.where("n > 2").select("key", blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")

@@ -102,7 +102,10 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.score(docs(spark), chain).count() == len(AWKWARD)
     assert toxicity.score(docs(spark, []), chain).count() == 0
     none = toxicity.fit(docs(spark, []), labels, toxicity.CATEGORIES)
-    assert none.links == [] and toxicity.score(docs(spark), none).columns == ["doc_id"]
+    assert none.links == [] and toxicity.score(docs(spark), none).schema == toxicity.score(docs(spark), chain).schema
+    some = toxicity.fit(docs(spark), labels.withColumn("quality", F.lit(None)), toxicity.CATEGORIES)
+    found = toxicity.score(docs(spark), some).first()
+    assert found.p_low_quality is None and found.low_quality is None and found.p_toxic is not None
 
 
 @pytest.fixture(scope="module")
@@ -222,3 +225,30 @@ def test_extraction_of_awkward_rows(spark):
     found = html_extract.extract_pages(pages, html_extract.default_model()).collect()
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in found) == [("1", "", 0), ("2", "", 0), ("None", "Some words here.", 16)]
     assert html_extract.extract_pages(pages.limit(0), html_extract.default_model()).count() == 0
+
+
+def runs(page):
+    return [x.text for x in html_extract.parse(page) if x.is_text]
+
+
+def test_markup_is_read_by_its_own_rules():
+    assert runs("<p>a \" b</p><a title='x > y' href=/z>the chart</a>") == ['a " b', "the chart"]
+    assert runs("<p>The area is <math><mi>x</mi></math> squared") == ["The area is x squared"]
+    assert runs("<div>x<div hidden>no<p>no</p></div>y<p style='display: none'>no</p><p style='overflow: hidden'>z") == ["x", "y", "z"]
+    assert runs("<noscript>a</noscript> <object>b</object> <canvas>c</canvas>") == ["a b c"]
+    assert runs("1 < 2 <!-- > --><p title=\"it's\">ok</p>z</ p>") == ["1 < 2", "ok", "z</ p>"]
+    assert runs('<i b="c>no end of a quote</i>') == ["no end of a quote"]
+    names = [x.names for x in html_extract.parse("<div data-id=menu style='overflow: hidden' class='siteHeader top'>x") if x.tag == "div"]
+    assert names == [("site", "header", "top")]
+
+
+@pytest.mark.parametrize(
+    "page", ["a<b " * 60000, "<p>x<i>y" * 20000, "<div>" * 40000 + "x", "<i>" * 60000, "<a b='" * 40000, "</script " * 30000, "<" * 300000,
+             "<a " + " " * 300000, "<table><tr><td>a" * 20000, "<div>" * 30000 + "</p>" * 30000, "<script>" * 20000, "<!--" * 60000]
+)
+def test_bad_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.parse(page)
+    assert time.process_time() - began < 3

@@ -6,7 +6,8 @@ the best total score, and characters that no piece covers fall back to their UTF
 enumerates all vocabulary matches of a word in one pass; the dynamic programme keeps, for each position, the best score
 and the number of pieces on the way there, and no path. Ties go as in the ``tokenizers`` library, which extends positions
 from left to right and replaces a best score only by a greater one: among equal scores the longest last piece stays.
-Counts of words are kept in a bounded cache.
+Only as many positions back as the longest piece has characters are kept, so that a text without spaces takes no more
+memory than its own. Counts of words up to LONGEST characters are kept in a cache of ``cache_words``.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .tokens import tokenizer_path
 SPACE = "▁"
 BLANKS = re.compile(r"[\t-\r ]+")
 UNKNOWN_PENALTY = 10.0
+LONGEST = 48
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -45,6 +47,7 @@ class UnigramCounter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         names = {p for p, _ in pieces}
+        self.longest = max(map(len, names), default=1)
         self.single = {p for p in names if len(p) == 1}
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
@@ -53,29 +56,30 @@ class UnigramCounter:
 
     def word(self, w: str) -> int:
         """Pieces of one word, which is not cut any further."""
-        n, single, unknown = len(w), self.single, self.unknown
-        score, count, open_ = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        matches: list[list] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(w):
-            matches[end].append(match)
-        for end in range(n):
+        single, unknown, size = self.single, self.unknown, self.longest + 1
+        score, count, open_ = [0.0] * size, [0] * size, [False] * size  # at position modulo size
+        matches = self.automaton.iter(w)
+        match = next(matches, None)
+        for end, c in enumerate(w):
             best, start = None, 0
-            for length, s in matches[end]:
+            while match is not None and match[0] == end:
+                length, s = match[1]
                 at = end + 1 - length
-                s = s + score[at]
+                s = s + score[at % size]
                 if best is None or s > best or (s == best and at < start):
                     best, start = s, at
-            c = w[end]
-            if c not in single and (best is None or unknown + score[end] > best):
-                score[end + 1] = unknown + score[end]
+                match = next(matches, None)
+            now, last = (end + 1) % size, end % size
+            if c not in single and (best is None or unknown + score[last] > best):
+                score[now] = unknown + score[last]
                 if self.bytes:
-                    count[end + 1] = count[end] + len(c.encode())
+                    count[now] = count[last] + len(c.encode())
                 else:
-                    count[end + 1] = count[end] + (not open_[end])
-                open_[end + 1] = True
+                    count[now] = count[last] + (not open_[last])
+                open_[now] = True
             else:
-                score[end + 1], count[end + 1] = best, count[start] + 1
-        return count[n]
+                score[now], count[now], open_[now] = best, count[start % size] + 1, False
+        return count[len(w) % size]
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -83,14 +87,16 @@ class UnigramCounter:
         words = BLANKS.split(text) if SPACE not in text else BLANKS.sub(" ", text).replace(SPACE, " ").split(" ")
         if not words[0]:
             words = words[1:]
-        cache = self.cache
+        cache, long = self.cache, {}
         missing = set(words).difference(cache)
         if missing:
             if len(cache) + len(missing) > self.cache_words:
                 cache.clear()
                 missing = set(words)
             for w in missing:
-                cache[w] = self.word(SPACE + w)
+                (cache if len(w) <= LONGEST else long)[w] = self.word(SPACE + w)
+        if long:
+            return sum(cache[w] if len(w) <= LONGEST else long[w] for w in words)
         return sum(map(cache.__getitem__, words))
 
 
@@ -101,7 +107,9 @@ def shared_counter(model_path: str) -> UnigramCounter:
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: id and n_tokens (long). Null and empty texts have none; other columns aren't read."""
+    """A row for each row of docs: id and n_tokens (long). Null and empty texts have none, repeated rows and ids are each
+    counted, an empty table gives an empty result; other columns aren't read. A text is counted by one task, which holds
+    its words."""
     key_field = docs.select(id_col).schema[0]
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -6,7 +6,10 @@ ones: each training document's come from a model that didn't see it, so that the
 predictions, not labels. At prediction, the earlier links trained on all folds feed the later ones.
 
 Fitted on a bounded sample: about ``max_docs`` labelled documents (by a hash of their id) and ``max_words`` features, those
-in most sampled documents. Prediction covers every row and whole texts.
+in most sampled documents, which are counted on the cluster; only their numbers come to the driver. Prediction covers
+every row and whole texts; a text is read by one task, which holds its words.
+
+A category without any label is unknown: its probability and its flag are null in every row.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .numeric import minimise
-from .shared import table
+from .shared import broadcast_if_small, table, written
 
 MIN_Z = 4.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -56,9 +59,10 @@ class Link:
 @dataclass
 class Chain:
     links: list[Link] = field(default_factory=list)
+    categories: list[str] = field(default_factory=list)
 
     def predict(self, text: str | None) -> list[float]:
-        """The probability of each category, in the chain's order."""
+        """The probability of each category that has a link, in the chain's order."""
         words, odds = features_of(text), []
         for link in self.links:
             known = words & link.weights.keys()
@@ -104,16 +108,25 @@ def fit_logistic(x: Design, dense: np.ndarray, y: np.ndarray, use: np.ndarray, l
     return minimise(loss, np.zeros(n + k + 1), steps)
 
 
-def fit_chain(texts: list[set[str]], labels: dict[str, np.ndarray], folds: int = 5, min_docs: int = 3, max_words: int = 200_000, l2: float = 0.3) -> Chain:
-    """labels: for each category in the chain's order an array of 0 and 1 (NaN: not labelled, not used for that link)."""
+def vocabulary_of(texts: list[set[str]], min_docs: int, max_words: int) -> list[str]:
     df = Counter(w for t in texts for w in t)
-    vocabulary = sorted((w for w, c in df.items() if c >= min_docs), key=lambda w: (-df[w], w))[:max_words]
+    return sorted((w for w, c in df.items() if c >= min_docs), key=lambda w: (-df[w], w))[:max_words]
+
+
+def fit_chain(texts: list[set[str]], labels: dict[str, np.ndarray], min_docs: int = 3, max_words: int = 200_000, **options) -> Chain:
+    """labels: for each category in the chain's order an array of 0 and 1 (NaN: not labelled, not used for that link)."""
+    vocabulary = vocabulary_of(texts, min_docs, max_words)
     index = {w: i for i, w in enumerate(vocabulary)}
-    pairs = [(i, index[w]) for i, t in enumerate(texts) for w in t if w in index]
+    return fit_numbered([[index[w] for w in t if w in index] for t in texts], vocabulary, labels, **options)
+
+
+def fit_numbered(texts: list[list[int]], vocabulary: list[str], labels: dict[str, np.ndarray], folds: int = 5, l2: float = 0.3) -> Chain:
+    """texts: the numbers, in the vocabulary, of each document's features."""
+    pairs = [(i, j) for i, t in enumerate(texts) for j in t]
     rows, cols = np.array(pairs, np.int64).reshape(-1, 2).T
     x = Design(rows, cols, len(texts), len(vocabulary))
     fold = np.arange(len(texts)) % folds
-    odds, chain = np.zeros((len(texts), 0)), Chain()
+    odds, chain = np.zeros((len(texts), 0)), Chain(categories=list(labels))
     for category, y in labels.items():
         known = ~np.isnan(y)
         y = np.nan_to_num(y)
@@ -141,11 +154,14 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_docs: int = 5000,
+    min_docs: int = 3,
+    max_words: int = 200_000,
     **options,
 ) -> Chain:
     """categories: name -> SQL expression over labels that is 1, 0 or null, in the chain's order.
 
-    Repeated labels of a document count as their largest; labels of unknown documents and null ids are left out.
+    Repeated labels of a document count as their largest; labels of unknown documents and null ids are left out. A
+    document that stands in docs twice is learned from twice.
     """
     spark, whole = docs.sparkSession, 1 << 30
     rows = labels.where(F.col(id_col).isNotNull()).select(
@@ -160,39 +176,50 @@ def fit(
 
     def distinct_features(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            words = pa.array([" ".join(sorted(features_of(x))) for x in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), words, *batch.columns[2:]], schema=pa.schema(
-                [("id", pa.int64()), ("words", pa.string()), *[(f"y{i}", pa.float64()) for i in range(len(categories))]]
-            ))
+            for at in range(batch.num_rows):
+                part = batch.slice(at, 1)
+                words = pa.array([sorted(features_of(part.column(1)[0].as_py()))], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), words, *part.columns[2:]], ["id", "words", *(f"y{i}" for i in range(len(categories)))])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     joined = texts.join(F.broadcast(chosen), "id")  # max_docs rows at most, but for chance
-    found = joined.mapInArrow(distinct_features, f"id long, words string, {schema[9:]}").collect()
-    found = sorted(found, key=lambda r: (r["id"], r["words"]))
+    found = written(joined.mapInArrow(distinct_features, f"id long, words array<string>, {schema[9:]}"), "labelled-words")
+    each = found.select("id", F.xxhash64("words").alias("text"), F.explode("words").alias("word"))
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    vocabulary = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(max_words).collect()]
+    numbers = spark.createDataFrame(list(enumerate(vocabulary)), "number int, word string")
+    known = each.distinct().join(broadcast_if_small(numbers, max_words), "word").groupBy("id", "text").agg(F.collect_list("number").alias("numbers"))
+    known = {(r.id, r.text): r.numbers for r in known.collect()}
+    found = found.select("id", F.xxhash64("words").alias("text"), *[f"y{i}" for i in range(len(categories))]).collect()
+    found = sorted(found, key=lambda r: (r.id, r.text))
     ys = {c: np.array([np.nan if r[f"y{i}"] is None else r[f"y{i}"] for r in found], float) for i, c in enumerate(categories)}
-    return fit_chain([set(r["words"].split()) for r in found], ys, **options)
+    return fit_numbered([sorted(known.get((r.id, r.text), [])) for r in found], vocabulary, ys, **options)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """A row for each row of docs: id, p_<category> and <category> (whether p is over the threshold) for each link.
+    """A row for each row of docs: id, p_<category> and <category> (whether p is over the threshold) for each category.
 
-    Null and empty texts have no feature and get the bias alone. Without links there are no more columns than the id.
+    Null and empty texts have no feature and get the bias alone. Of a category without labels both columns are null, so
+    that the schema is the same whatever is labelled. An empty table gives an empty result.
     """
     key_field = docs.select(id_col).schema[0]
-    names = [x.category for x in chain.links]
+    link = {x.category: i for i, x in enumerate(chain.links)}
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]):
+        predict = shared.value.predict
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                p = np.array([chain.predict(x) for x in part.column(1).to_pylist()]).reshape(part.num_rows, len(names))
+                p = np.array([predict(x) for x in part.column(1).to_pylist()]).reshape(part.num_rows, len(link))
                 columns, heads = [part.column(0)], [id_col]
-                for i, name in enumerate(names):
-                    columns += [pa.array(p[:, i]), pa.array(p[:, i] > threshold)]
+                for name in chain.categories:
+                    i = link.get(name)
+                    columns += [pa.nulls(len(p), pa.float64()), pa.nulls(len(p), pa.bool_())] if i is None else [pa.array(p[:, i]), pa.array(p[:, i] > threshold)]
                     heads += [f"p_{name}", name]
                 yield pa.RecordBatch.from_arrays(columns, heads)
 
-    more = "".join(f", `p_{x}` double, `{x}` boolean" for x in names)
+    more = "".join(f", `p_{x}` double, `{x}` boolean" for x in chain.categories)
     schema = f"`{id_col}` {key_field.dataType.simpleString()}{more}"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 

@@ -95,3 +95,16 @@ def silhouette(points: DataFrame, block: int = 512) -> DataFrame:
     ab = by_label.groupBy("id").agg(own.alias("a"), other.alias("b"))
     s = F.when(F.col("a") < 0, d(0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), d(0)))
     return ab.select("id", s.alias("silhouette"))
+
+
+def profiles(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """cluster, n, share, pathway, mean_score: the size of each cluster and its mean scores."""
+    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.join(F.broadcast(labels.agg(F.count(F.lit(1)).alias("total"))))  # one row
+    means = scores.join(labels, "sample_id").groupBy("cluster", "pathway").agg(F.avg("score").alias("mean_score"))
+    return means.join(sizes, "cluster").select("cluster", "n", (F.col("n") / F.col("total")).alias("share"), "pathway", "mean_score")
+
+
+def with_truth(assignments: DataFrame, truth: DataFrame, column: str = "planted_subtype") -> DataFrame:
+    """All assignments, with what is planted where it is known."""
+    return assignments.join(truth.select("sample_id", column), "sample_id", "left")

@@ -51,3 +51,10 @@ def gene_contributions(burden: DataFrame, groups: DataFrame, top_n: int = 20) ->
 def heatmap(labelled: DataFrame) -> DataFrame:
     """Mean scores, a row for each group and a column for each pathway."""
     return labelled.groupBy("grp").pivot("pathway").agg(F.avg("score"))
+
+
+def top_variance(scores: DataFrame, n: int = 10) -> DataFrame:
+    """pathway, variance, place of the n pathways of largest variance, equals by name."""
+    found = scores.groupBy("pathway").agg(F.var_samp("score").alias("variance"))
+    order = Window.orderBy(F.round("variance", 9).desc(), "pathway")  # a row a pathway
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)

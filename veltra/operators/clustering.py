@@ -8,6 +8,7 @@ broadcast of that checked size. Beyond it, ``assign_large`` fits with pyspark.ml
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distributions import adjusted_rand
+from ..session import broadcast_if_small, cut
 from . import mlkit as K
 
 MAX_CELLS = 20_000_000
@@ -74,8 +76,9 @@ def _bic(x: np.ndarray, k: int, seed: int) -> tuple[float, bool]:
     return m.bic(x), m.converged
 
 
-def assign_large(scores: DataFrame, pathways: list[str], k: int, algorithm: str = "gmm", seed: int = 42) -> DataFrame:
-    """sample_id, cluster (and confidence): pyspark.ml over the whole table; nothing is collected."""
+def assign_large(scores: DataFrame, pathways: list[str], k: int, algorithm: str = "gmm", seed: int = 42, n_init: int = 5) -> DataFrame:
+    """sample_id, cluster (and confidence): pyspark.ml over the whole table; nothing is collected. Of n_init mixtures the
+    one with the largest likelihood."""
     from pyspark.ml.clustering import GaussianMixture, KMeans
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -85,7 +88,9 @@ def assign_large(scores: DataFrame, pathways: list[str], k: int, algorithm: str
     if algorithm == "kmeans":
         out = KMeans(k=k, seed=seed, maxIter=300).fit(points).transform(points)
         return out.select("sample_id", F.col("prediction").alias("cluster"))
-    out = GaussianMixture(k=k, seed=seed).fit(points).transform(points)
+    points = cut(points)
+    fits = [GaussianMixture(k=k, seed=seed + i).fit(points) for i in range(n_init)]
+    out = max(fits, key=lambda m: m.summary.logLikelihood).transform(points)
     return out.select("sample_id", F.col("prediction").alias("cluster"), F.array_max(vector_to_array("probability")).alias("confidence"))
 
 
@@ -103,18 +108,37 @@ def select_k(scores: DataFrame, ks: Iterable[int] = range(2, 9), method: str = "
     return table.join(F.broadcast(best)).select("k", "bic", "silhouette", (F.col("k") == F.col("__k")).alias("chosen"))
 
 
-def compare_algorithms(scores: DataFrame, k: int, seed: int = 42, algorithms: Iterable[str] = K.ALGORITHMS) -> DataFrame:
-    """algorithm, other, ari for each pair, and quality of the first."""
-    _, _, x = matrix(scores)
+def labels_by_algorithm(scores: DataFrame, k: int, seed: int = 42, algorithms: Iterable[str] = K.ALGORITHMS) -> DataFrame:
+    """algorithm, sample_id, cluster: each algorithm fitted once."""
+    ids, _, x = matrix(scores)
+    fitted = _labels_by_algorithm(scores.sparkSession, x, k, seed, algorithms)
+    rows = pd.concat([pd.DataFrame({"algorithm": a, "sample_id": ids, "cluster": y}) for a, y in fitted.items()])
+    return scores.sparkSession.createDataFrame(rows)
 
-    def fit(d, r):
-        a, b = (K.cluster(d, k, name, seed)[0] for name in r)
-        return *r, adjusted_rand(a, b), *K.quality(d, a)
 
+def _labels_by_algorithm(spark: SparkSession, x: np.ndarray, k: int, seed: int, algorithms: Iterable[str]) -> dict[str, np.ndarray]:
     names = list(algorithms)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    fits = run_all(spark, x, [(a,) for a in names], "a string", lambda d, r: (r[0], K.cluster(d, k, r[0], seed)[0].tolist()), "algorithm string, labels array<int>")
+    found = {r["algorithm"]: np.array(r["labels"]) for r in fits.collect()}  # a label vector of a matrix under MAX_CELLS each
+    return {a: found[a] for a in names}
+
+
+def compare_algorithms(scores: DataFrame, k: int, seed: int = 42, algorithms: Iterable[str] = K.ALGORITHMS) -> DataFrame:
+    """algorithm, other, ari for each pair, and quality of the first. Each algorithm is fitted once."""
+    _, _, x = matrix(scores)
+    fitted = _labels_by_algorithm(scores.sparkSession, x, k, seed, algorithms)
+    names = list(fitted)
+    quality = {a: K.quality(x, fitted[a]) for a in names[:-1]}
+    rows = [(a, b, adjusted_rand(fitted[a], fitted[b]), *quality[a]) for i, a in enumerate(names) for b in names[i + 1 :]]
     out = "algorithm string, other string, ari double, silhouette double, calinski_harabasz double, davies_bouldin double"
-    return run_all(scores.sparkSession, x, pairs, "a string, b string", fit, out)
+    return scores.sparkSession.createDataFrame(rows, out)
+
+
+def combined(cohorts: dict[str, DataFrame]) -> DataFrame:
+    """cohort, sample_id, pathway, score of {name: scores}: one below the other, with the pathways that all have."""
+    every = reduce(DataFrame.unionByName, [s.select(F.lit(name).alias("cohort"), "sample_id", "pathway", "score") for name, s in cohorts.items()])
+    common = every.groupBy("pathway").agg(F.count_distinct("cohort").alias("n")).where(F.col("n") == len(cohorts)).select("pathway")
+    return every.join(broadcast_if_small(common, 100_000), "pathway", "left_semi")
 
 
 def cross_validate(scores: DataFrame, k: int, algorithm: str = "gmm", n_folds: int = 5, seed: int = 42) -> DataFrame:

@@ -1,12 +1,15 @@
-"""Synthetic cohorts. Random numbers are a hash of seed and ids, so that a cohort is the same on any cluster."""
+"""Synthetic cohorts. Random numbers are arithmetic on seed and numbers of samples and genes: the same on every engine."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .resample import PRIME, mixed
+
 
 @dataclass(frozen=True)
 class Cohort:
@@ -18,9 +21,26 @@ class Cohort:
 
 
 def uniform(seed: int, *ids: Column | str) -> Column:
-    """In (0, 1), by a hash."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(1 << 40))
-    return (h + 0.5) / float(1 << 40)
+    """In (0, 1), from whole numbers, mixed one after another."""
+    h = F.lit(seed).cast("long")
+    for x in ids:
+        # Each number is bound once: written out, the expression would grow threefold with every step.
+        h = let(let(mixed_once(F.col(x) if isinstance(x, str) else x, h), squared), squared)
+    return (h + 0.5) / float(PRIME)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def mixed_once(ident: Column, h: Column) -> Column:
+    return let(F.struct(ident.alias("i"), h.alias("h")), lambda p: mixed(p["i"], p["h"]))
+
+
+def squared(h: Column) -> Column:
+    """Takes apart numbers whose mixing went side by side, as for neighbouring seeds."""
+    return F.pmod(h * h + h * 69621 + 7, F.lit(PRIME))
 
 
 def normal(seed: int, *ids: Column | str) -> Column:
@@ -33,7 +53,8 @@ def exponential(scale: float, seed: int, *ids: Column | str) -> Column:
 
 
 def _samples(spark: SparkSession, n: int, proportions: list[float], seed: int) -> DataFrame:
-    """Samples numbered from 0 and their subtypes: the first shares of a shuffled order."""
+    """Samples numbered from 0 (s) and their subtypes: the first shares of a shuffled order. One window over all samples
+    of a simulation, which are a parameter."""
     total, edges, so_far = sum(proportions), [], 0.0
     for p in proportions:
         so_far += p / total
@@ -42,7 +63,7 @@ def _samples(spark: SparkSession, n: int, proportions: list[float], seed: int) -
     truth = F.lit(len(edges) - 1)
     for i in reversed(range(len(edges) - 1)):
         truth = F.when(F.col("share") < edges[i], i).otherwise(truth)
-    return spark.range(n).withColumn("share", share).select(F.format_string("S%05d", F.col("id")).alias("sample_id"), truth.alias("truth"))
+    return spark.range(n).withColumn("share", share).select(F.format_string("S%05d", F.col("id")).alias("sample_id"), F.col("id").alias("s"), truth.alias("truth"))
 
 
 def _by(column: Column):
@@ -70,20 +91,20 @@ def cohort(
     subtype in a share of samples."""
     truth = _samples(spark, n_samples, proportions or [1.0] * n_subtypes, seed)
     if n_ancestry > 1:
-        free = F.floor(uniform(seed + 9, "sample_id") * n_ancestry).cast("int")
-        group = F.when(uniform(seed + 8, "sample_id") < confounding, F.col("truth") % n_ancestry).otherwise(free)
+        free = F.floor(uniform(seed + 9, "s") * n_ancestry).cast("int")
+        group = F.when(uniform(seed + 8, "s") < confounding, F.col("truth") % n_ancestry).otherwise(free)
         truth = truth.withColumn("ancestry", group)
     pathways = spark.range(n_pathways).select(F.col("id").cast("int").alias("p"), F.format_string("PATHWAY_%02d", F.col("id")).alias("pathway"))
     size = F.greatest(F.lit(5), F.round(F.lit(genes_per_pathway) + 5 * normal(seed + 2, "p"))).cast("int")
     members = pathways.withColumn("n", size).select("p", "pathway", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("g"))
-    members = members.select("p", "pathway", F.format_string("G%02d_%03d", F.col("p"), F.col("g")).alias("gene"))
+    members = members.select("p", "g", "pathway", F.format_string("G%02d_%03d", F.col("p"), F.col("g")).alias("gene"))
     cells = truth.join(F.broadcast(members))
-    shift = F.when(F.col("p") % n_subtypes == F.col("truth"), effect * noise + 0.1 * normal(seed + 4, "sample_id", "gene")).otherwise(0.0)
-    value = exponential(0.5, seed + 3, "sample_id", "gene") + shift + noise * 0.1 * normal(seed + 6, "sample_id", "gene")
+    shift = F.when(F.col("p") % n_subtypes == F.col("truth"), effect * noise + 0.1 * normal(seed + 4, "s", "p", "g")).otherwise(0.0)
+    value = exponential(0.5, seed + 3, "s", "p", "g") + shift + noise * 0.1 * normal(seed + 6, "s", "p", "g")
     if n_ancestry > 1:
-        value = value + ancestry_effect * F.col("ancestry") * uniform(seed + 7, "gene")
+        value = value + ancestry_effect * F.col("ancestry") * uniform(seed + 7, "p", "g")
     burden = cells.select("sample_id", "gene", F.greatest(F.lit(0.0), value).alias("burden"))
-    return Cohort(truth, members.select("pathway", "gene"), burden)
+    return Cohort(truth.drop("s"), members.select("pathway", "gene"), burden)
 
 
 def expression_cohort(
@@ -97,9 +118,9 @@ def expression_cohort(
     membership = genes.where(pathway < n_pathways).select(F.format_string("PATHWAY_%02d", pathway).alias("pathway"), "gene")
     cells = truth.join(F.broadcast(genes))
     shift = F.when((pathway < n_pathways) & (pathway % n_subtypes == F.col("truth")), effect).otherwise(0.0)
-    value = mean + sd * normal(seed + 2, "gene") + shift + 0.3 * noise * normal(seed + 3, "sample_id", "gene")
-    value = F.when(uniform(seed + 5, "sample_id", "gene") < dropout, 0.0).otherwise(F.greatest(F.lit(0.0), value))
-    return cells.select("sample_id", "gene", value.alias("value")), membership, truth
+    value = mean + sd * normal(seed + 2, "g") + shift + 0.3 * noise * normal(seed + 3, "s", "g")
+    value = F.when(uniform(seed + 5, "s", "g") < dropout, 0.0).otherwise(F.greatest(F.lit(0.0), value))
+    return cells.select("sample_id", "gene", value.alias("value")), membership, truth.drop("s")
 
 
 def clinvar_cohort(spark: SparkSession, membership: DataFrame, summary: DataFrame, n_samples: int = 100, n_subtypes: int = 3, effect: float = 1.0, noise: float = 1.0, seed: int = 42) -> Cohort:
@@ -111,7 +132,15 @@ def clinvar_cohort(spark: SparkSession, membership: DataFrame, summary: DataFram
     genes = membership.join(F.broadcast(ordinal), "pathway").join(known, F.upper("gene") == F.col("symbol"), "left")
     base = 0.3 + F.least(F.coalesce("n_pathogenic", F.lit(0)), F.lit(100)) / 100.0 * 0.7
     genes = genes.groupBy("gene").agg(F.collect_set("p").alias("ps"), F.max(base).alias("base"))
-    cells = truth.join(genes)
+    numbers = {r["gene"]: i for i, r in enumerate(membership.select("gene").distinct().orderBy("gene").collect())}
+    numbered = spark.createDataFrame(list(numbers.items()), "gene string, g int")
+    # A row for each sample and gene is what is asked for; gene sets are few rows.
+    cells = truth.crossJoin(F.broadcast(genes.join(F.broadcast(numbered), "gene")))
     mine = F.exists("ps", lambda p: p % n_subtypes == F.col("truth"))
-    value = F.col("base") * exponential(0.5, seed + 3, "sample_id", "gene") + F.when(mine, effect * noise).otherwise(0.0) + 0.1 * noise * normal(seed + 4, "sample_id", "gene")
-    return Cohort(truth, membership, cells.select("sample_id", "gene", F.greatest(F.lit(0.0), value).alias("burden")))
+    value = F.col("base") * exponential(0.5, seed + 3, "s", "g") + F.when(mine, effect * noise).otherwise(0.0) + 0.1 * noise * normal(seed + 4, "s", "g")
+    return Cohort(truth.drop("s"), membership, cells.select("sample_id", "gene", F.greatest(F.lit(0.0), value).alias("burden")))
+
+
+def cohort_pair(spark: SparkSession, n_a: int = 100, n_b: int = 80, seed: int = 42, **options) -> tuple[Cohort, Cohort]:
+    """Two cohorts of the same subtypes and pathways, with draws of their own."""
+    return cohort(spark, n_a, seed=seed, **options), cohort(spark, n_b, seed=seed + 1000, **options)

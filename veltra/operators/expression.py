@@ -27,6 +27,21 @@ def filter_genes(expression: DataFrame, min_samples: int = 3) -> DataFrame:
     return expression.join(good, "gene", "left_semi")
 
 
+def filter_samples(expression: DataFrame, min_genes: int = 1) -> DataFrame:
+    """Samples with at least min_genes genes over zero."""
+    good = expression.groupBy("sample_id").agg(F.count_if(F.col("value") > 0).alias("n")).where(F.col("n") >= min_genes)
+    return expression.join(good.select("sample_id"), "sample_id", "left_semi")
+
+
+def expression_report(expression: DataFrame, min_genes: int = 1, min_samples: int = 2) -> DataFrame:
+    """One row: n_samples, n_kept (with at least min_genes genes over zero), n_genes, pct_zero of the cells, usable: enough
+    samples are kept."""
+    kept = filter_samples(expression, min_genes).agg(F.count_distinct("sample_id").alias("n_kept"))
+    zero = 100.0 * F.count_if(F.col("value") == 0) / F.greatest(F.lit(1), F.count(F.lit(1)))
+    whole = expression.agg(F.count_distinct("sample_id").alias("n_samples"), F.count_distinct("gene").alias("n_genes"), zero.alias("pct_zero"))
+    return whole.join(F.broadcast(kept)).select("n_samples", "n_kept", "n_genes", "pct_zero", (F.col("n_kept") >= min_samples).alias("usable"))
+
+
 def members_of(expression: DataFrame, membership: DataFrame, min_genes: int) -> DataFrame:
     genes = expression.select("gene").distinct()
     known = membership.join(genes, "gene").select("pathway", "gene").distinct()

@@ -1,6 +1,6 @@
 """Queries by family; importing this package registers them all."""
 
-from . import cohort, modelling, planted, statistics
+from . import cohort, files, modelling, planted, statistics
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cohort", "modelling", "planted", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "cohort", "files", "modelling", "planted", "statistics"]

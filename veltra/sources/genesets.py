@@ -13,7 +13,7 @@ class GmtError(ValueError):
 def parse_gmt(lines: DataFrame) -> DataFrame:
     """lines (value) -> pathway, gene, ord. Blank lines, comments and lines under three fields are skipped."""
     f = lines.where("trim(value) != '' and not startswith(ltrim(value), '#')").select(F.split(F.rtrim("value"), "\t").alias("f")).where("size(f) >= 3")
-    return f.select(F.col("f")[0].alias("pathway"), F.posexplode(F.slice("f", 3, 1_000_000)).alias("ord", "gene"))
+    return f.select(F.col("f")[0].alias("pathway"), F.posexplode(F.slice("f", F.lit(3), F.size("f") - 2)).alias("ord", "gene"))
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +34,7 @@ def validate_gmt(spark: SparkSession, path: str) -> DataFrame:
     """Like read_gmt, strictly: raises GmtError with the first five problems."""
     lines = _numbered(spark, path).where("trim(value) != '' and not startswith(ltrim(value), '#')")
     f = F.split("value", "\t")
-    genes = F.filter(F.transform(F.slice(f, 3, 1_000_000), F.trim), lambda g: g != "")
+    genes = F.filter(F.transform(F.slice(f, F.lit(3), F.greatest(F.lit(0), F.size(f) - 2)), lambda g: F.trim(g)), lambda g: g != "")
     rows = lines.select("line", f.alias("f"), F.trim(f[0]).alias("name"), F.when(F.size(f) >= 3, genes).otherwise(F.array().cast("array<string>")).alias("genes"))
     repeated = F.count(F.lit(1)).over(Window.partitionBy("name")) > 1
     problem = (

@@ -252,3 +252,104 @@ def test_bad_pages_take_linear_time(page):
     began = time.process_time()
     html_extract.parse(page)
     assert time.process_time() - began < 3
+
+
+def test_languages_against_plain_compression(spark):
+    """Every document once more with the library's own calls, one at a time."""
+    import zstandard
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn_outside_fold(table)
+    learned = [r for r in table.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.text is not None and r.lang is not None]
+    for lang, words in model.dictionaries.items():
+        own = [r.text.lower() for r in learned if r.lang == lang and len(r.text) <= 1000]
+        assert sorted(words.decode().split("\n")) == sorted("\n".join(own).split("\n"))  # few enough to be all of them
+
+    def size(text, lang):
+        raw = text.lower().encode()
+        raw = b" ".join([raw] * 4) if len(raw) < 256 else raw
+        d = zstandard.ZstdCompressionDict(model.dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        total = 0
+        for at in range(0, len(raw), 4096):
+            c = zstandard.ZstdCompressor(level=11, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            total += len(c.compress(raw[at : at + 4096]))
+        return total
+
+    same = 0
+    rows = table.collect()
+    found = {r.doc_id: r for r in langid.classify(table, model).collect()}
+    for r in rows:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert found[r.doc_id].lang_pred == "und"
+            same += 1
+            continue
+        sizes = {lang: size(r.text, lang) for lang in sorted(model.dictionaries)}
+        best, second = sorted(sizes.values())[:2]
+        same += sizes[found[r.doc_id].lang_pred] == best
+        assert found[r.doc_id].rejected == ((second - best) / second < langid.MIN_MARGIN) or abs((second - best) / second - langid.MIN_MARGIN) < 0.01
+    assert same >= 0.99 * len(rows)
+
+
+def plain_logistic(x, y, l2):
+    """Newton's method on a dense matrix; the last column is the bias."""
+    w = np.zeros(x.shape[1])
+    penalty = np.append(np.full(x.shape[1] - 1, l2), 1e-6)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        w = w - np.linalg.solve(h, x.T @ (p - y) + penalty * w)
+    return w
+
+
+def test_chain_against_a_plain_one():
+    """Two links by Newton's method on dense matrices, the second with log-odds of models that didn't see the document."""
+    rng = np.random.default_rng(4)
+    texts = [{f"w{k}" for k in range(6) if rng.random() < 0.4} for _ in range(300)]
+    a = np.array([("w0" in t) ^ (rng.random() < 0.2) for t in texts], float)
+    b = np.array([((a[i] > 0) or "w1" in t) ^ (rng.random() < 0.15) for i, t in enumerate(texts)], float)
+    words = toxicity.vocabulary_of(texts, 3, 100)
+    x = np.array([[w in t for w in words] for t in texts], float)
+
+    def fit(x, y, use, extra):
+        total, positive, share = use.sum(), (use * y).sum(), (x * use[:, None]).sum(0) / use.sum()
+        spread = np.sqrt(positive * (1 - positive / total) * share * (1 - share))
+        good = np.abs((x * (use * y)[:, None]).sum(0) - positive * share) >= toxicity.MIN_Z * spread
+        m = np.column_stack([x * good, extra, np.ones(len(x))])
+        w = plain_logistic(m[use > 0], y[use > 0], 0.3)
+        w[: x.shape[1]] *= good
+        return w
+
+    none, every, fold = np.zeros((300, 0)), np.ones(300), np.arange(300) % 5
+    first = fit(x, a, every, none)
+    odds = np.zeros(300)
+    for f in range(5):
+        w = fit(x, a, (fold != f).astype(float), none)
+        odds[fold == f] = (np.column_stack([x, np.ones(300)]) @ w)[fold == f]
+    second = fit(x, b, every, odds[:, None])
+    chain = toxicity.fit_chain(texts, {"a": a, "b": b})
+    for r in texts[:100]:
+        row = np.array([w in r for w in words], float)
+        own = min(30, max(-30, row @ first[: len(words)] + first[-1]))
+        # A document's words as the library sees them.
+        text = " ".join(sorted(r))
+        z = row @ second[: len(words)] + second[len(words)] * own + second[-1]
+        got = [own_ for own_ in predict_words(chain, r)]
+        assert got[0] == pytest.approx(1 / (1 + np.exp(-own)), abs=1e-3) and got[1] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-3), text
+
+
+def predict_words(chain, words):
+    """A chain's probabilities of a set of features."""
+    odds = []
+    for link in chain.links:
+        z = link.bias + sum(link.weights.get(w, 0.0) for w in words) + sum(w * o for w, o in zip(link.earlier, odds))
+        odds.append(max(-30.0, min(30.0, z)))
+    return [1 / (1 + np.exp(-z)) for z in odds]
+
+
+def test_tokens_of_a_text_without_spaces(unigram):
+    """The ring of positions holds as far back as the longest piece."""
+    rng = np.random.default_rng(6)
+    counter = token_counts.UnigramCounter(token_counts.vocabulary(tokenizer_path("piece_bpe_32k.model")))
+    for text in ("".join(rng.choice(list("abcdefghitnoe語言é"), 5000)), "thequickbrownfox" * 400):
+        assert counter.count(text) == len(unigram.encode(text, add_special_tokens=False).ids)
+    assert not any(len(w) > token_counts.LONGEST for w in counter.cache)

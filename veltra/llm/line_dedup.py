@@ -1,8 +1,12 @@
 """Line deduplication by a segment-partition edit join. DataFrame functions only.
 
 Lines that are equal after trimming are copies: the first (by document id, then place) stays. Lines at most ``edits``
-edits apart are near copies: of two such lines the one with the smaller 64-bit hash stays, so of every set of linked
-lines the smallest stays. Lines under ``min_chars`` characters are left alone.
+edits apart are near copies: of two such lines the one with the smaller 64-bit hash stays. A line goes if any near copy
+has a smaller hash: of a set of linked lines the smallest stays, and others too that have no smaller neighbour; where a is
+near b and b near c, but not a near c, c goes even if b does. Lines under ``min_chars`` characters are left alone.
+
+A list of the index whose members are all variants of one line is met member by member: only their parities are compared,
+and what they allow is verified, but that is a comparison for each pair of the list.
 
 Join: a line of length l is cut into edits + 1 even segments. If another line of length L is within ``edits`` edits, one
 of the segments occurs in it, shifted by no more than the edits on either side allow. Each distinct line puts its
@@ -256,7 +260,8 @@ def dedup_lines(
     table gives an empty result. All columns of docs stay; one named n_lines or n_dropped is replaced.
     """
     drops = cut(dropped_lines(docs, id_col, text_col, edits, min_chars))
-    drops = broadcast_if_small(drops.select(F.col("id").alias("__id"), F.col("drops").alias("__drops")), BROADCAST_ROWS // 4)
+    drops = drops.select(F.col("id").alias("__id"), F.col("drops").alias("__drops"))
+    drops = broadcast_if_small(drops, 2 * BROADCAST_ROWS, F.size("__drops") + 4)  # eight bytes each
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*own).join(drops, F.col(id_col).eqNullSafe(F.col("__id")), "left")
     all_lines = F.split(F.col(text_col), "\n")

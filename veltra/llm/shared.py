@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veltra-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -41,6 +43,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint only if the (already materialised) side has at most max_rows rows; beyond it a shuffle join."""
+def broadcast_if_small(df: DataFrame, max_rows: int, weight: Column | None = None) -> DataFrame:
+    """A broadcast hint only if the (already materialised) side has at most max_rows rows, or a weight of that in all for
+    rows of any size; beyond it a shuffle join."""
+    if weight is not None:
+        total = df.agg(F.sum(weight)).first()[0] or 0
+        return F.broadcast(df) if total <= max_rows else df
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -51,7 +51,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = id_type(path)
+        self.dtype = _narrowest(self.tokenizer)
         self.most = max(1, cache_words // 2)
         self.old: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
@@ -165,7 +165,7 @@ class WordEncoder:
         return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
 
 
-def laid_out(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def laid_out(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """The runs of ids of the given numbers one after another; run i has sizes[i] ids. By blocks, to bound the indices."""
     starts, out = np.cumsum(sizes) - sizes, [ids[:0]]
     for at in range(0, len(which), block):
@@ -182,7 +182,7 @@ def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets[:-1].astype(np.int64)
 
 
-def slices(texts: pa.Array, max_bytes: int = 8 << 20, max_rows: int = 8192) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, max_bytes: int = 4 << 20, max_rows: int = 8192) -> Iterator[tuple[int, int]]:
     """(start, number) of runs of rows with at most max_bytes bytes of text, or one row with more."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
     at = 0
@@ -197,7 +197,11 @@ def id_type(path: str, *ids: int) -> str:
     """The narrower of "<u2" and "<u4" that holds all ids of a tokenizer and those given."""
     from tokenizers import Tokenizer
 
-    most = max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+    return _narrowest(Tokenizer.from_file(path), *ids)
+
+
+def _narrowest(tokenizer, *ids: int) -> str:
+    most = max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
     return "<u2" if max(most, *ids, 0) < 1 << 16 else "<u4"
 
 

@@ -1,4 +1,4 @@
-"""Command line: python -m veltra.cli --config run.yaml [--output folder] [--seed 1] [--input-type vcf|expression]."""
+"""Command line: python -m veltra.cli --config run.yaml [--output folder] [--seed 1] [--input-type vcf|expression] [--master url]."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ def main(arguments: list[str] | None = None) -> int:
     p.add_argument("--expression-method", choices=["ssgsea", "gsva", "mean_z"])
     p.add_argument("--verbose", action=argparse.BooleanOptionalAction, default=None)
     p.add_argument("--quiet", action="store_true")
+    p.add_argument("--master", help="Spark master; by default the environment's, or local cores where it sets none")
     a = p.parse_args(arguments)
     from .config import ConfigError, load_yaml, validate
 
@@ -30,9 +31,9 @@ def main(arguments: list[str] | None = None) -> int:
     over = {"output_dir": a.output, "seed": a.seed, "expression_scoring_method": a.expression_method, "verbose": False if a.quiet else a.verbose}
     config = dataclasses.replace(config, **{k: v for k, v in over.items() if v is not None})
     from .pipeline import markdown, run
-    from .session import local_session
+    from .session import session
 
-    result = run(local_session(), config)
+    result = run(session(a.master), config)
     if config.verbose:
         print(markdown(result.report))
     return 0

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import d
+from ..session import cut
 
 
 
@@ -78,18 +79,17 @@ def cluster_quality(points: DataFrame) -> DataFrame:
 
 
 def silhouette(points: DataFrame, block: int = 512) -> DataFrame:
-    """id, silhouette with plain distances: every point against all, in blocks of ``block`` points.
+    """id, silhouette with plain distances: every point against all, in blocks of at most about ``block`` points of a label.
 
-    Sums by block and label come out of each pair of a point and a block, not a row for each pair of points. The work
-    grows with the square of the number of points, as the measure's definition does.
+    A point and a block give one sum: not a row for each pair of points. The work grows with the square of the number of
+    points, as the measure's definition does.
     """
-    blocks = points.groupBy(F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.lit(points.count()) / block))).alias("blk")).agg(
-        F.collect_list(F.struct("label", "features")).alias("members")
-    )
-    sums = points.join(blocks).select(
-        "id", "label", F.explode(F.transform("members", lambda m: F.struct(m["label"].alias("l"), F.sqrt(squared_distance(F.col("features"), m["features"])).alias("d")))).alias("p")
-    )
-    by_label = sums.groupBy("id", "label", F.col("p.l").alias("l")).agg(F.sum("p.d").alias("s"), F.count(F.lit(1)).alias("n"))
+    points = cut(points.select("id", "label", "features"))
+    number = F.greatest(F.lit(1), F.ceil(F.lit(points.count()) / block)).cast("long")
+    blocks = points.groupBy(F.col("label").alias("l"), F.pmod(F.xxhash64("id"), number).alias("blk")).agg(F.collect_list("features").alias("members"))
+    far = F.aggregate("members", d(0), lambda s, m: s + F.sqrt(squared_distance(F.col("features"), m)))
+    sums = points.crossJoin(blocks).select("id", "label", "l", far.alias("s"), F.size("members").alias("n"))
+    by_label = sums.groupBy("id", "label", "l").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.max(F.when(F.col("l") == F.col("label"), F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise(d(-1))))
     other = F.min(F.when(F.col("l") != F.col("label"), F.col("s") / F.col("n")))
     ab = by_label.groupBy("id").agg(own.alias("a"), other.alias("b"))

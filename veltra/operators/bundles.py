@@ -91,6 +91,15 @@ def cohort_report(comparisons: DataFrame) -> str:
     return "\n".join(lines)
 
 
+def write_cohort_report(comparisons: DataFrame, path: str) -> None:
+    """The report, with what the figures say, as one text file."""
+    from ..pipeline import text
+
+    means = comparisons.agg(F.avg("transfer_ari").alias("t"), F.avg("projection_ari").alias("p")).first()
+    found = "replicate" if min(means["t"], means["p"]) >= 0.7 else "replicate in part" if max(means["t"], means["p"]) >= 0.3 else "don't replicate"
+    text(comparisons.sparkSession, path, f"# Cohorts\n\n{cohort_report(comparisons)}\n\nOn the mean the subtypes {found}.\n")
+
+
 def shared_subtypes(a: DataFrame, b: DataFrame, column: str = "cluster_label") -> DataFrame:
     return a.select(column).intersect(b.select(column))
 

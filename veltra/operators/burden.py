@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import d, pipeline_weight
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut
 
 BROADCAST_ROWS = 1_000_000
 
@@ -43,8 +43,9 @@ def pathway_names(known: DataFrame) -> list[str]:
 
 
 def pathway_scores(burden: DataFrame, membership: DataFrame, samples: DataFrame, method: str = "mean", min_genes: int = 2) -> DataFrame:
-    """Scores of all samples: mean, size_normalized (mean over the root of the number of genes) or median of the burdens."""
-    known = known_membership(membership, burden, min_genes)
+    """Scores of all samples: mean, size_normalized (mean over the root of the number of genes) or median of the burdens.
+    burden is read twice: materialise it first."""
+    known = cut(known_membership(membership, burden, min_genes))  # read three times
     names = pathway_names(known)
     members = broadcast_if_small(known, BROADCAST_ROWS)
     joined = burden.join(members, "gene")

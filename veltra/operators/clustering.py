@@ -2,16 +2,17 @@
 
 A score matrix of at most MAX_CELLS cells is fitted in NumPy with the settings that the methods define (starts,
 regularisation). Many fits are rows of a table of runs, spread over the cluster, each task with the matrix by a
-broadcast of that checked size. Beyond it, ``assign_large`` fits with pyspark.ml on the whole table.
+broadcast of that checked size. Beyond it, ``assign_large`` fits on the whole table by passes that give sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +59,14 @@ def labels_table(spark: SparkSession, ids: list, labels: np.ndarray, **more) ->
 
 
 def assign(scores: DataFrame, k: int | None = None, k_range: Iterable[int] = range(2, 9), seed: int = 42) -> DataFrame:
-    """sample_id, cluster, confidence: a Gaussian mixture; without k the least BIC of the mixtures that converge."""
+    """sample_id, cluster, confidence: a Gaussian mixture; without k the least BIC of the mixtures that converge. Scores
+    over MAX_CELLS go to assign_large."""
     spark = scores.sparkSession
-    ids, _, x = matrix(scores)
+    try:
+        ids, _, x = matrix(scores)
+    except TooLarge:
+        pathways = sorted(r["pathway"] for r in scores.select("pathway").distinct().collect())
+        return assign_large(scores, pathways, k, seed=seed, k_range=k_range)
     if k is None:
         ks = [j for j in k_range if j < len(ids)]
         table = run_all(spark, x, [(j,) for j in ks], "k int", lambda d, r: (r[0], *_bic(d, r[0], seed)), "k int, bic double, converged boolean")
@@ -76,22 +82,82 @@ def _bic(x: np.ndarray, k: int, seed: int) -> tuple[float, bool]:
     return m.bic(x), m.converged
 
 
-def assign_large(scores: DataFrame, pathways: list[str], k: int, algorithm: str = "gmm", seed: int = 42, n_init: int = 5) -> DataFrame:
-    """sample_id, cluster (and confidence): pyspark.ml over the whole table; nothing is collected. Of n_init mixtures the
-    one with the largest likelihood."""
-    from pyspark.ml.clustering import GaussianMixture, KMeans
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def assign_large(
+    scores: DataFrame, pathways: list[str], k: int | None, algorithm: str = "gmm", seed: int = 42, k_range: Iterable[int] = range(2, 9)
+) -> DataFrame:
+    """sample_id, cluster (and confidence) over a table of any size; only sums over it reach the driver. Without k the
+    mixture with the least BIC."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
 
     wide = scores.groupBy("sample_id").pivot("pathway", pathways).agg(F.first("score")).na.fill(0.0)
-    points = VectorAssembler(inputCols=pathways, outputCol="features").transform(wide).select("sample_id", "features")
+    points = cut(wide.select("sample_id", F.array(*[F.col(f"`{p}`") for p in pathways]).alias("x")))
     if algorithm == "kmeans":
-        out = KMeans(k=k, seed=seed, maxIter=300).fit(points).transform(points)
+        features = points.select("sample_id", array_to_vector("x").alias("features"))
+        out = KMeans(k=k, seed=seed, maxIter=300).fit(features).transform(features)
         return out.select("sample_id", F.col("prediction").alias("cluster"))
-    points = cut(points)
-    fits = [GaussianMixture(k=k, seed=seed + i).fit(points) for i in range(n_init)]
-    out = max(fits, key=lambda m: m.summary.logLikelihood).transform(points)
-    return out.select("sample_id", F.col("prediction").alias("cluster"), F.array_max(vector_to_array("probability")).alias("confidence"))
+    n = points.count()
+    fits = [mixture_large(points, n, j, seed) for j in ([k] if k else [j for j in k_range if j < n])]
+    model = min([m for m in fits if m.converged] or fits, key=lambda m: m.bic(range(n)))
+    key = points.schema["sample_id"].dataType.simpleString()
+
+    def label(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            labels, confidence = model.predict(_values(batch, 1, len(pathways)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.int32()), pa.array(confidence)], ["sample_id", "cluster", "confidence"])
+
+    return points.mapInArrow(label, f"sample_id {key}, cluster int, confidence double")
+
+
+def _values(batch: pa.RecordBatch, column: int, width: int) -> np.ndarray:
+    return np.asarray(batch.column(column).flatten(), float).reshape(-1, width)
+
+
+def mixture_large(points: DataFrame, n: int, k: int, seed: int = 42, reg: float = 1e-6, max_iter: int = 100, tol: float = 1e-3) -> K.Mixture:
+    """points (sample_id, x): expectation and maximisation, starting from k-means. A step is one pass, whose sums of
+    weights, values and products are taken up on the cluster: k * (1 + d + d * d) numbers come back."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    features = points.select(array_to_vector("x").alias("features"))
+    centres = np.array(KMeans(k=k, seed=seed, maxIter=300).fit(features).clusterCenters())
+    d, model, last = centres.shape[1], None, -np.inf
+
+    def step(model: K.Mixture | None) -> np.ndarray:
+        def sums(batches: Iterator[pa.RecordBatch]):
+            total = np.zeros(1 + k + k * d + k * d * d)
+            for batch in batches:
+                x = _values(batch, 0, d)
+                if model is None:
+                    r, loglik = np.eye(k)[((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)], 0.0
+                else:
+                    joint = model.log_joint(x)
+                    top = joint.max(1, keepdims=True)
+                    norm = top[:, 0] + np.log(np.exp(joint - top).sum(1))
+                    r, loglik = np.exp(joint - norm[:, None]), norm.sum()
+                y = x - shift
+                products = np.einsum("nk,ni,nj->kij", r, y, y, optimize=True)
+                total += np.concatenate([[loglik], r.sum(0), (r.T @ y).ravel(), products.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["v"])
+
+        found = points.select("x").mapInArrow(sums, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+        return np.array([r["v"] for r in sorted(found.collect(), key=lambda r: r["i"])])
+
+    shift = centres.mean(0)  # products about a point among the data lose no digits
+    total = step(None)
+    for _ in range(max_iter):
+        nk = total[1 : 1 + k] + 10 * np.finfo(float).eps
+        means = total[1 + k : 1 + k + k * d].reshape(k, d) / nk[:, None]
+        products = total[1 + k + k * d :].reshape(k, d, d) / nk[:, None, None]
+        chols = np.linalg.cholesky(products - means[:, :, None] * means[:, None, :] + reg * np.eye(d))
+        model = K.Mixture(nk / n, means + shift, chols, -np.inf, False)
+        total = step(model)
+        model.loglik = float(total[0])
+        model.converged = abs(model.loglik - last) / n < tol
+        if model.converged:
+            break
+        last = model.loglik
+    return model
 
 
 def select_k(scores: DataFrame, ks: Iterable[int] = range(2, 9), method: str = "bic", seed: int = 42) -> DataFrame:
@@ -286,6 +352,17 @@ def calibrate(spark: SparkSession, n: int, k: int, alpha: float = 0.05, method:
     return out.select((F.col("null_ari") * ratio).alias("null_ari"), (1 - (1 - F.col("stability")) * ratio).alias("stability"))
 
 
+#: The thresholds that held before there was a table of them.
+LEGACY = {"null_ari": 0.15, "stability": 0.8}
+
+
+def threshold_table(spark: SparkSession, samples: Iterable[int], clusters: Iterable[int], **options) -> DataFrame:
+    """n, k, null_ari, stability by simulation of each pair: what the grid was made from. A pair is a row of its own; the
+    simulations of one are spread over the cluster."""
+    out = [simulate_thresholds(spark, n, k, **options).select(F.lit(n).alias("n"), F.lit(k).alias("k"), "null_ari", "stability") for n in samples for k in clusters]
+    return reduce(DataFrame.unionByName, out)
+
+
 def sensitivity(scores: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """parameter, config, other, ari: all pairs of clusterings with another algorithm, number of clusters, set of
     pathways or normalisation."""

@@ -12,28 +12,28 @@ from ..functions.weights import d
 from .burden import average_ranks
 
 
-def group_stats(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("pathway", "grp").agg(
+def group_stats(labelled: DataFrame, by: tuple[str, ...] = ("pathway",)) -> DataFrame:
+    return labelled.groupBy(*by, "grp").agg(
         F.count("score").alias("n"), F.avg("score").alias("mean"), F.var_samp("score").alias("var")
     )
 
 
-def anova(labelled: DataFrame) -> DataFrame:
-    """pathway, k, n, f_stat and eta2; 0 where there is no spread or are too few groups or samples."""
-    stats = group_stats(labelled)
-    total = stats.groupBy("pathway").agg(
+def anova(labelled: DataFrame, by: tuple[str, ...] = ("pathway",)) -> DataFrame:
+    """pathway (or all of by), k, n, f_stat and eta2; 0 where there is no spread or are too few groups or samples."""
+    stats = group_stats(labelled, by)
+    total = stats.groupBy(*by).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand")
     )
-    both = stats.drop("n").join(total.select("pathway", "grand"), "pathway").join(stats.select("pathway", "grp", F.col("n").alias("ng")), ["pathway", "grp"])
+    both = stats.withColumnRenamed("n", "ng").join(total.select(*by, "grand"), list(by))
     within = F.when(F.col("ng") > 1, F.col("var") * (F.col("ng") - 1)).otherwise(d(0))
-    parts = both.groupBy("pathway").agg(
+    parts = both.groupBy(*by).agg(
         F.sum(F.col("ng") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("ssb"), F.sum(within).alias("ssw")
     )
-    out = parts.join(total, "pathway")
+    out = parts.join(total, list(by))
     usable = (F.col("k") > 1) & (F.col("n") > F.col("k")) & (F.col("ssw") > 0)
     f = F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k")))
     eta = F.when(F.col("ssb") + F.col("ssw") > 0, F.col("ssb") / (F.col("ssb") + F.col("ssw"))).otherwise(d(0))
-    return out.select("pathway", "k", "n", F.when(usable, f).otherwise(d(0)).alias("f_stat"), eta.alias("eta2"))
+    return out.select(*by, "k", "n", F.when(usable, f).otherwise(d(0)).alias("f_stat"), eta.alias("eta2"))
 
 
 def cohens_d(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column) -> Column:
@@ -41,12 +41,15 @@ def cohens_d(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Col
     return F.when((n1 < 2) | (n2 < 2) | (F.coalesce(pooled, d(0)) <= 0), d(0)).otherwise((m1 - m2) / F.sqrt(pooled))
 
 
-def max_pairwise_d(labelled: DataFrame) -> DataFrame:
-    """pathway, effect_size: the largest absolute d over all pairs of groups."""
-    a, b = group_stats(labelled).alias("a"), group_stats(labelled).alias("b")
-    pairs = a.join(b, (F.col("a.pathway") == F.col("b.pathway")) & (F.col("a.grp") < F.col("b.grp")))
+def max_pairwise_d(labelled: DataFrame, by: tuple[str, ...] = ("pathway",)) -> DataFrame:
+    """pathway (or all of by), effect_size: the largest absolute d over all pairs of groups."""
+    a, b = group_stats(labelled, by).alias("a"), group_stats(labelled, by).alias("b")
+    same = F.col("a.grp") < F.col("b.grp")
+    for c in by:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    pairs = a.join(b, same)
     size = F.abs(cohens_d(*[F.col(f"{t}.{c}") for t in "ab" for c in ("n", "mean", "var")]))
-    return pairs.groupBy(F.col("a.pathway").alias("pathway")).agg(F.max(size).alias("effect_size"))
+    return pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in by]).agg(F.max(size).alias("effect_size"))
 
 
 def one_against_rest(labelled: DataFrame) -> DataFrame:

@@ -7,6 +7,15 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Ward and spectral clustering hold rows by rows.
+MAX_PAIRS = 100_000_000
+
+
+def pairs_fit(x: np.ndarray) -> None:
+    if len(x) ** 2 > MAX_PAIRS:
+        raise ValueError(f"{len(x)} rows are too many for a method that compares all pairs of them")
+
+
 @dataclass
 class Mixture:
     weights: np.ndarray
@@ -93,6 +102,7 @@ def gmm(x: np.ndarray, k: int, seed: int = 0, n_init: int = 10, reg: float = 1e-
 
 def ward(x: np.ndarray, k: int) -> np.ndarray:
     """Agglomerative clustering by the smallest growth of the sum of squares, by nearest-neighbour chains."""
+    pairs_fit(x)
     n = len(x)
     d = ((x[:, None] - x[None]) ** 2).sum(2) if n <= 2000 else np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0)
     d = d.astype(float)
@@ -130,6 +140,7 @@ def ward(x: np.ndarray, k: int) -> np.ndarray:
 
 def spectral(x: np.ndarray, k: int, seed: int = 0, gamma: float = 1.0) -> np.ndarray:
     """k-means on the leading eigenvectors of the normalised rbf affinity."""
+    pairs_fit(x)
     sq = (x * x).sum(1)
     a = np.exp(-gamma * np.maximum(sq[:, None] + sq[None] - 2 * x @ x.T, 0))
     root = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12))

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.weights import d
+from ..session import broadcast_if_small, cut, numbered
 from .inference import anova, max_pairwise_d
 
 PRIME = 2147483647
+BROADCAST_ROWS = 1_000_000
 
 
 def mixed(ident: Column, iteration: Column, seed: int = 42) -> Column:
@@ -19,23 +21,25 @@ def mixed(ident: Column, iteration: Column, seed: int = 42) -> Column:
 
 
 def permuted(labels: DataFrame, n_permutations: int, seed: int = 42) -> DataFrame:
-    """labels (sample_id, grp) -> (it, sample_id, grp): for each iteration the labels dealt anew in a mixed order."""
+    """labels (sample_id, grp) -> (it, sample_id, grp): for each iteration the labels dealt anew in a mixed order.
+
+    The order is one over all iterations, whose equal shares are numbered range by range: no task holds an iteration.
+    """
+    own = cut(numbered(labels.select("sample_id"), "sample_id"))
+    n = max(1, own.count())
     its = labels.select("sample_id", "grp", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))).alias("it"))
-    by_id = Window.partitionBy("it").orderBy("sample_id")
-    by_mix = Window.partitionBy("it").orderBy(mixed(F.col("sample_id"), F.col("it"), seed), "sample_id")
-    ranked = its.withColumn("i", F.row_number().over(by_id)).withColumn("j", F.row_number().over(by_mix))
-    own = ranked.select("it", "sample_id", "i")
-    return own.join(ranked.select("it", F.col("j").alias("i"), "grp"), ["it", "i"]).select("it", "sample_id", "grp")
+    dealt = numbered(its.withColumn("__mix", mixed(F.col("sample_id"), F.col("it"), seed)), "it", "__mix", "sample_id", name="j")
+    dealt = dealt.select("it", (F.col("j") % n).alias("i"), "grp")
+    return dealt.join(broadcast_if_small(own, BROADCAST_ROWS), "i").select("it", "sample_id", "grp")
 
 
 def permutation_p(scores: DataFrame, labels: DataFrame, n_permutations: int = 100, seed: int = 42) -> DataFrame:
     """pathway, f_stat, p = (1 + permutations with at least that F) / (1 + permutations)."""
-    seen = anova(scores.join(labels, "sample_id")).select("pathway", "f_stat")
+    scores = cut(scores)
+    seen = cut(anova(scores.join(labels, "sample_id")).select("pathway", "f_stat"))
     drawn = scores.join(permuted(labels, n_permutations, seed), "sample_id")
-    key = F.concat_ws("\u0001", F.col("it").cast("string"), F.col("pathway"))
-    null = anova(drawn.select(key.alias("pathway"), "sample_id", "grp", "score"))
-    null = null.select(F.element_at(F.split("pathway", "\u0001"), 2).alias("pathway"), F.col("f_stat").alias("f"))
-    hits = null.join(F.broadcast(seen), "pathway").groupBy("pathway").agg(F.count_if(F.round("f", 9) >= F.round("f_stat", 9)).alias("hits"))
+    null = anova(drawn, ("it", "pathway")).select("pathway", F.col("f_stat").alias("f"))
+    hits = null.join(broadcast_if_small(seen, BROADCAST_ROWS), "pathway").groupBy("pathway").agg(F.count_if(F.round("f", 9) >= F.round("f_stat", 9)).alias("hits"))
     return seen.join(hits, "pathway").select("pathway", "f_stat", ((F.col("hits") + 1) / d(n_permutations + 1)).alias("p"))
 
 
@@ -45,15 +49,13 @@ def bootstrap_ci(labelled: DataFrame, n_bootstrap: int = 100, level: float = 0.9
     Draw i of an iteration is the sample whose number is the mixed one modulo the number of samples. Groups under two
     draws have no d.
     """
-    samples = labelled.select("sample_id").distinct()
-    numbered = samples.withColumn("i", F.row_number().over(Window.orderBy("sample_id")) - 1)
-    n = numbered.count()
-    draws = numbered.select("i", F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("it"))
+    labelled = cut(labelled)
+    each = cut(numbered(labelled.select("sample_id").distinct(), "sample_id"))
+    n = each.count()
+    draws = each.select("i", F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("it"))
     draws = draws.select("it", F.pmod(mixed(F.col("i"), F.col("it"), seed), F.lit(max(1, n))).alias("i"))
-    drawn = draws.join(numbered, "i").join(labelled, "sample_id")
-    key = F.concat_ws("\u0001", F.col("it").cast("string"), F.col("pathway"))
-    sizes = max_pairwise_d(drawn.select(key.alias("pathway"), "grp", "score"))
-    sizes = sizes.select(F.element_at(F.split("pathway", "\u0001"), 2).alias("pathway"), "effect_size")
+    drawn = draws.join(broadcast_if_small(each, BROADCAST_ROWS), "i").join(labelled, "sample_id")
+    sizes = max_pairwise_d(drawn, ("it", "pathway"))
     tail = (1 - level) / 2
     q = F.percentile("effect_size", F.array(d(tail), d(1 - tail)))
     return sizes.groupBy("pathway").agg(q.alias("q")).select("pathway", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
@@ -72,5 +74,10 @@ def stratified_downsample(phenotypes: DataFrame, target: int, stratum: str, seed
 
 def folds(samples: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """sample_id, fold from 0: equal shares in a mixed order, the first folds one larger."""
-    order = Window.orderBy(mixed(F.col("sample_id"), F.lit(0), seed), "sample_id")
-    return samples.select("sample_id", (F.ntile(k).over(order) - 1).alias("fold"))
+    mixed_order = samples.select("sample_id", mixed(F.col("sample_id"), F.lit(0), seed).alias("__mix"))
+    ordered = cut(numbered(mixed_order, "__mix", "sample_id"))
+    size, larger = divmod(ordered.count(), k)
+    edge = larger * (size + 1)
+    late = larger + F.floor((F.col("i") - edge) / max(1, size))
+    fold = F.when(F.col("i") < edge, F.floor(F.col("i") / (size + 1))).otherwise(late)
+    return ordered.select("sample_id", fold.cast("int").alias("fold"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
+import platform
+import subprocess
 import time
 from dataclasses import asdict, dataclass
 from typing import Any
@@ -85,7 +89,7 @@ def run(spark: SparkSession, config: RunConfig, write: bool = True) -> RunResult
             ancestry = {"r_squared": {r["pathway"]: round(r["r2"], 4) for r in rows}, "confounded": sorted(r["pathway"] for r in rows if r["confounded"])}
             scores = adjusted.select("sample_id", "pathway", "score")
         elif config.ancestry_correction == "stratified":
-            raise ValueError("stratified is an analysis of its own: operators.clustering.stratified")
+            ancestry = {"strata": [r.asDict() for r in stratified_run(scores, pcs, config).collect()]}
     seed = config.seed if config.seed is not None else 0
     clusters = CL.assign(scores, config.n_clusters, range(low, high + 1), seed)
     labelled = scores.join(clusters.select("sample_id", F.col("cluster").cast("string").alias("grp")), "sample_id")
@@ -111,8 +115,12 @@ def run(spark: SparkSession, config: RunConfig, write: bool = True) -> RunResult
         calibration = {"null_ari": round(null_ari, 4), "stability": round(stability, 4)}
     null_ari = config.validation_null_ari_max if config.validation_null_ari_max is not None else null_ari
     stability = config.validation_stability_threshold if config.validation_stability_threshold is not None else stability
-    gate_rows = None
-    if config.validation_run_gates and burden is not None:
+    gate_rows, gates_left_out = None, None
+    if config.validation_run_gates and burden is None:
+        gates_left_out = "gates need burdens, which an expression matrix doesn't have"
+    elif config.validation_run_gates and n * len(names) > CL.MAX_CELLS:
+        gates_left_out = f"{n} samples by {len(names)} pathways are too many for the fits of the gates"
+    elif config.validation_run_gates:
         gate_rows = CL.gates(scores, clusters, burden, membership, k, config.validation_n_permutations, config.validation_n_bootstrap, null_ari, stability, seed, pcs)
     enriched = CH.enrichment(labelled)
     genes = None if burden is None else CH.gene_contributions(burden, clusters.select("sample_id", F.col("cluster").cast("string").alias("grp")))
@@ -121,6 +129,7 @@ def run(spark: SparkSession, config: RunConfig, write: bool = True) -> RunResult
         "data_quality": quality, "ancestry": ancestry, "calibration": calibration, "ground_truth": truth,
         "clusters": [r.asDict() for r in assignments.groupBy("cluster_id", "cluster_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence")).orderBy("cluster_id").collect()],
         "validation_gates": [] if gate_rows is None else [r.asDict() for r in gate_rows.collect()],
+        "validation_gates_left_out": gates_left_out,
         "disclaimer": config.disclaimer,
     }
     result = RunResult(scores, assignments, gate_rows, enriched, genes, report)
@@ -129,6 +138,41 @@ def run(spark: SparkSession, config: RunConfig, write: bool = True) -> RunResult
     return result
 
 
+def stratified_run(scores: DataFrame, pcs: DataFrame, config: RunConfig) -> DataFrame:
+    """Clusters in each half of the first component, beside those of all samples."""
+    number = F.regexp_extract("pc", r"(\d+)$", 1).try_cast("int")
+    first = pcs.where(F.coalesce(number, F.lit(1)) == 1)
+    middle = first.agg(F.percentile("value", 0.5).alias("middle"))
+    groups = first.join(F.broadcast(middle)).select("sample_id", F.when(F.col("value") < F.col("middle"), "low").otherwise("high").alias("grp"))
+    return CL.stratified(scores, groups, config.n_clusters or config.n_clusters_range[0], config.seed or 0)
+
+
+def file_digests(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """For each file or folder the SHA-256 of the sorted digests of its lines, summed up in ranges: the same for the same
+    lines, wherever they stand; files of any size."""
+    out = {}
+    for path in paths:
+        lines = spark.read.text(path).select(F.sha2("value", 256).alias("h"))
+        ranges = lines.groupBy(F.substring("h", 1, 2).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring("h", 3, 8), 16, 10).cast("decimal(38,0)")).alias("s"))
+        rows = sorted((r["r"], r["n"], str(r["s"])) for r in ranges.collect())  # 256 at most
+        out[path] = hashlib.sha256(repr(rows).encode()).hexdigest()
+    return out
+
+
+def versions() -> dict[str, str | None]:
+    """Versions of what a result depends on, and the commit of this repository if it is one."""
+    import numpy
+    import pyspark
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    try:
+        done = subprocess.run(["git", "-C", root, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10)
+        commit = done.stdout.strip() if done.returncode == 0 else None
+    except OSError:
+        commit = None
+    return {"python": platform.python_version(), "pyspark": pyspark.__version__, "numpy": numpy.__version__, "commit": commit}
+
+
 def chi2_threshold(p: float) -> float:
     """The statistic whose chi-square tail (one degree of freedom) is p, by bisection; 0 turns the test off."""
     from .functions.distributions import chi2_tail
@@ -155,7 +199,8 @@ def write_outputs(spark: SparkSession, config: RunConfig, result: RunResult, sta
     csv(heat, "subtype_heatmap")
     text(spark, f"{out}/report.json", json.dumps(result.report, indent=1, default=str))
     text(spark, f"{out}/report.md", markdown(result.report))
-    meta = {"seed": config.seed, "runtime_seconds": round(time.time() - started, 2), "config": asdict(config)}
+    inputs = [p for p in (config.vcf_path, config.expression_path, config.phenotype_path, config.pathway_db, config.ancestry_pcs_path) if p]
+    meta = {"seed": config.seed, "runtime_seconds": round(time.time() - started, 2), "config": asdict(config), "inputs": file_digests(spark, inputs), "versions": versions()}
     text(spark, f"{out}/metadata.json", json.dumps(meta, indent=1, default=str))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import burden as B
-from ..session import table
+from ..session import cut, table
 
 # The consequence that stands for each type of part.
 CONSEQUENCES = {
@@ -59,7 +59,7 @@ def burden(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str, method: str = "mean") -> DataFrame:
-    return B.pathway_scores(burden(spark, sf), membership(spark), samples(spark, sf), method)
+    return B.pathway_scores(cut(burden(spark, sf)), membership(spark), samples(spark, sf), method)
 
 
 def groups(spark: SparkSession, sf: str) -> DataFrame:

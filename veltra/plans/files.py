@@ -105,7 +105,7 @@ def vcf_sample_subset(spark, sf):
 )
 def vcf_quality_report(spark, sf):
     report = variants.quality_report(variants.read_vcf(spark, vcf_file(spark, sf)))
-    counts = {k: v for k, v in vars(report).items() if isinstance(v, int)} | {"is_usable": int(report.is_usable)}
+    counts = {k: v for k, v in vars(report).items() if isinstance(v, int) and k != "min_gene_coverage"} | {"is_usable": int(report.is_usable)}
     return spark.createDataFrame(list(counts.items()), "name string, v long")
 
 

@@ -8,6 +8,8 @@ planted groups.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..operators import clustering as CL
 from ..session import table
 from .analogue import rounded
 from .registry import query
+from .statistics import ORACLES
 
 PATHWAYS = 6
 NAMES = [f"P{j}" for j in range(PATHWAYS)]
@@ -61,12 +64,17 @@ def gmm_assign(spark: SparkSession, sf: str) -> DataFrame:
     return first_members(CL.assign(scores(spark, sf, *CUSTOMERS), 3))
 
 
-@query("gmm_assign_large")
+@query("gmm_assign_large", _partition(*CUSTOMERS))
 def gmm_assign_large(spark, sf):
-    """The mixture of pyspark.ml starts from random samples and need not find the groups."""
     return first_members(CL.assign_large(scores(spark, sf, *CUSTOMERS), NAMES, 3))
 
 
+@query("gmm_large_chooses_k", _partition(*CUSTOMERS))
+def gmm_large_chooses_k(spark, sf):
+    """Without a number of clusters, by the criterion."""
+    return first_members(CL.assign_large(scores(spark, sf, *CUSTOMERS), NAMES, None, k_range=(2, 3)))
+
+
 @query("kmeans_large", _partition(*CUSTOMERS))
 def kmeans_large(spark, sf):
     return first_members(CL.assign_large(scores(spark, sf, *CUSTOMERS), NAMES, 3, "kmeans"))
@@ -310,3 +318,23 @@ def top_variance_pathways(spark, sf):
     from ..operators.characterize import top_variance
 
     return rounded(top_variance(planted(spark, sf, *CUSTOMERS, 14)), "variance")
+
+
+@query(
+    "calibrated_thresholds",
+    f"""SELECT n, k, alpha, round(null_ari * alpha / 0.05, 9)::DOUBLE AS null_ari, round(1 - (1 - stability) * alpha / 0.05, 9)::DOUBLE AS stability FROM ({ORACLES["calib_interpolation"]}), (VALUES (0.05::DOUBLE), (0.01)) a(alpha)
+ WHERE (n, k) IN ((75, 3), (125, 4), (300, 2))""",
+)
+def calibrated_thresholds(spark, sf):
+    rows = [
+        CL.calibrate(spark, n, k, alpha).select(F.lit(n).alias("n"), F.lit(k).alias("k"), F.lit(alpha).alias("alpha"), F.round("null_ari", 9).alias("null_ari"), F.round("stability", 9).alias("stability"))
+        for n, k in ((75, 3), (125, 4), (300, 2)) for alpha in (0.05, 0.01)
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("threshold_table", "SELECT n::INT AS n, k::INT AS k, true AS in_bounds FROM (VALUES (90), (150)) a(n), (VALUES (2), (3)) b(k)")
+def threshold_table(spark, sf):
+    """The generator of a calibration table: percentiles of draws, of which the bounds are known."""
+    found = CL.threshold_table(spark, (90, 150), (2, 3), d=6, n_simulations=40, effect=8.0)
+    return found.select("n", "k", ((F.col("null_ari") < 0.3) & (F.col("stability") > 0.8)).alias("in_bounds"))

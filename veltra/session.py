@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,33 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def session(master: str | None = None) -> SparkSession:
+    """The session that is active, or one on the given master, or on the one that the environment sets (as spark-submit
+    does); a local one only where none is set."""
+    from pyspark import SparkConf
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    if master is None and SparkConf().get("spark.master") is None:
+        return local_session()
+    builder = SparkSession.builder.appName("veltra")
+    return (builder.master(master) if master else builder).getOrCreate()
+
+
+def numbered(df: DataFrame, *by: str, name: str = "i") -> DataFrame:
+    """df with the number of each row, from 0, in the order of by: ranges are sorted apart, and what lies before a range
+    is added, so that no task sees all rows. by must tell rows apart, or equal ones are numbered in any order."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    placed = cut(ranges.withColumn("__at", F.monotonically_increasing_id()))  # the range in the upper bits
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")  # a row a range
+    sizes = F.broadcast(sizes.select("__part", before.alias("__before")))
+    return placed.withColumn("__part", part).join(sizes, "__part").withColumn(name, F.col("__before") + place).drop("__part", "__at", "__before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         return named
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veltra-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -40,7 +40,8 @@ def read_vcf(spark: SparkSession, path: str, sample_subset: list[str] | None = N
     names = header[0]["value"].split("\t")[9:]
     if not names:
         raise VcfError("no sample in the #CHROM line")
-    chosen = [(i, n) for i, n in enumerate(names) if sample_subset is None or n in set(sample_subset)]
+    wanted = None if sample_subset is None else set(sample_subset)
+    chosen = [(i, n) for i, n in enumerate(names) if wanted is None or n in wanted]
     body = lines.where("trim(value) != '' and not startswith(value, '#')").select(F.split("value", "\t").alias("f"))
     site_key = F.xxhash64("f")
     info = G.info_map(F.col("f")[7])
@@ -64,11 +65,13 @@ def read_vcf(spark: SparkSession, path: str, sample_subset: list[str] | None = N
         G.safe_double(f[5]).alias("qual"), f[6].alias("filter"),
         G.clean_annotation(F.col("g")).alias("gene"), G.clean_annotation(F.col("c")).alias("consequence"), G.safe_double(F.col("s")).alias("cadd"),
     )
-    order = F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in chosen]), lambda x: F.struct(x["s"].alias("sample_id"), F.get("f", x["i"] + 9).alias("gt")))
-    calls = rows.select("variant_id", "allele", F.split(f[8], ":").alias("format"), F.explode(order).alias("x"))
-    part = F.split(F.col("x.gt"), ":")
+    # A row for each name of the header: a line, so that the table is as small as one.
+    header_names = F.broadcast(spark.createDataFrame(chosen, "at int, sample_id string"))
+    fields = F.slice("f", F.lit(10), F.least(F.size("f") - 9, F.lit(len(names))))
+    calls = rows.select("variant_id", "allele", F.split(f[8], ":").alias("format"), F.posexplode(fields).alias("at", "gt")).join(header_names, "at")
+    part = F.split("gt", ":")
     at = lambda k: F.get(part, F.array_position("format", k).cast("int") - 1).try_cast("double")
-    parsed = calls.select("variant_id", F.col("x.sample_id").alias("sample_id"), G.genotype(F.col("x.gt"), F.col("allele")).alias("g"), at("GQ").alias("gq"), at("DP").alias("dp"))
+    parsed = calls.select("variant_id", "sample_id", G.genotype(F.col("gt"), F.col("allele")).alias("g"), at("GQ").alias("gq"), at("DP").alias("dp"))
     dosage = F.when(F.col("g.valid"), F.col("g.dosage")).otherwise(F.lit(None) if missing_as_null else F.lit(0)).cast("int")
     genotypes = parsed.select("variant_id", "sample_id", dosage.alias("dosage"), F.col("g.valid").alias("valid"), "gq", "dp")
     if sparse:
@@ -87,16 +90,18 @@ class DataQuality:
     variants_with_consequence: int = 0
     variants_with_cadd: int = 0
     missing_genotypes: int = 0
+    min_gene_coverage: float = 50.0
     warnings: list[str] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
 
     @property
     def is_usable(self) -> bool:
-        return not self.errors and self.parsed_variants > 0 and 2 * self.variants_with_gene >= self.parsed_variants
+        return not self.errors and self.parsed_variants > 0 and 100 * self.variants_with_gene >= self.min_gene_coverage * self.parsed_variants
 
 
-def quality_report(tables: VcfTables) -> DataQuality:
-    """Counts over the tables, in one pass over each."""
+def quality_report(tables: VcfTables, min_gene_coverage: float = 50.0, strict: bool = False) -> DataQuality:
+    """Counts over the tables, in one pass over each. At least min_gene_coverage percent of the variants must have a gene.
+    strict: raises VcfError if the file will not do, or has lines that can't be read."""
     s = tables.sites.agg(
         F.count(F.lit(1)).alias("total"), F.count_if("parsed").alias("parsed"), F.count_if(F.col("parsed") & (F.col("n_alts") > 1)).alias("multi")
     ).first()
@@ -105,13 +110,15 @@ def quality_report(tables: VcfTables) -> DataQuality:
         F.count_if(F.col("consequence") != "").alias("consequence"), F.count_if(F.col("cadd") > 0).alias("cadd"),
     ).first()
     missing = tables.genotypes.where("not valid").count()
-    report = DataQuality(s["total"], v["n"], s["total"] - s["parsed"], s["multi"], v["expanded"], v["gene"], v["consequence"], v["cadd"], missing)
+    report = DataQuality(s["total"], v["n"], s["total"] - s["parsed"], s["multi"], v["expanded"], v["gene"], v["consequence"], v["cadd"], missing, min_gene_coverage)
     if report.skipped_variants:
         report.warnings.append(f"{report.skipped_variants} lines have fewer than 9 fields")
     if not report.parsed_variants:
         report.errors.append("no variant could be parsed")
     elif not report.is_usable:
-        report.errors.append("fewer than half of the variants have a gene")
+        report.errors.append("fewer than half of the variants have a gene" if min_gene_coverage == 50.0 else f"under {min_gene_coverage} % of the variants have a gene")
+    if strict and (report.errors or report.skipped_variants):
+        raise VcfError("; ".join([*report.errors, *report.warnings]))
     return report
 
 

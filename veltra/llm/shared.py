@@ -36,9 +36,9 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Compute once into a Parquet table of the shared folder and read it back; the planner then knows its size."""
-    path = new_dir(df.sparkSession, name)
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Compute once into a Parquet table of the shared folder (or at path) and read it back; the planner then knows its size."""
+    path = path or new_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,3 +50,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int, weight: Column | None = Non
         total = df.agg(F.sum(weight)).first()[0] or 0
         return F.broadcast(df) if total <= max_rows else df
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, cut, new_dir, table
+from .shared import broadcast_if_small, cut, new_dir, remove, table
 from .tokens import id_type, shared_encoder, slices, tokenizer_path
 
 WINDOW = 16
@@ -208,8 +208,8 @@ def write_store(
     root = merkle_root([r[4] for r in rows])
     manifest = spark.createDataFrame(rows, "part int, start long, n_docs long, n_tokens long, root binary, width string")
     manifest.withColumn("store_root", F.lit(root)).coalesce(1).write.parquet(f"{path}/manifest")
-    _remove(spark, staging)
-    _remove(spark, again_path)
+    remove(spark, staging)
+    remove(spark, again_path)
     return root
 
 
@@ -242,12 +242,6 @@ def verified_manifest(spark: SparkSession, path: str, root: bytes | None = None)
     return starts, rows[0].width if rows else "<u4"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _shift_tables() -> np.ndarray:
     """tables[k, b, v]: the effect of 2**k zero bytes on a CRC-32 whose byte b is v."""
     tables = np.zeros((32, 4, 256), np.uint32)

@@ -101,7 +101,7 @@ def test_metadata_of_a_run(spark, tmp_path):
 
     rng = np.random.default_rng(0)
     genes = [f"{p}{i}" for p in "ABC" for i in range(4)]
-    samples = [f"S{i}" for i in range(36)]
+    samples = [f"sample-{i}" for i in range(36)]
     lines = ["id," + ",".join(f"GEN{g}" for g in genes)]
     lines += [s + "," + ",".join(f"{5 * (g[0] == 'ABC'[i % 3]) + rng.random():.3f}" for g in genes) for i, s in enumerate(samples)]
     (tmp_path / "e.csv").write_text("\n".join(lines) + "\n")

@@ -12,6 +12,7 @@ class ConfigError(ValueError):
         self.where, self.suggestions = where, suggestions or []
 
 
+# Keys and their defaults.
 @dataclass
 class RunConfig:
     name: str = "demo_run"

@@ -226,9 +226,8 @@ def stream_burden_equals_batch(spark, sf):
     carried = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("sample_id", F.col("l_partkey").alias("variant_id"))
     # Dosages are at most 2 for a sample and variant: counted in the stream, capped and weighted on what it gives.
     counts = carried.groupBy("sample_id", "variant_id").count()
-    name = "stream_dosages"
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    found = run_once(counts, name, folder)
+    found = run_once(counts, ["sample_id", "variant_id"], folder)
     dosages = found.select("sample_id", "variant_id", F.least(F.lit(2), F.col("count")).cast("int").alias("dosage"))
     return A.rounded(B.gene_burden(A.variants(spark, sf), dosages), "burden")
 

@@ -378,18 +378,19 @@ def silhouette(spark, sf):
     return rounded(AG.silhouette(A.points(spark, sf)), "silhouette")
 
 
-SETS = """s AS (SELECT DISTINCT 'S' || l_suppkey AS pathway, p_brand AS gene FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45),
- m AS (SELECT DISTINCT 'M' || c_mktsegment || '_' || c_nationkey AS pathway, p_brand AS gene FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 45)"""
+SETS = """s AS (SELECT DISTINCT 'S' || l_suppkey AS pathway, p_brand || p_type AS gene FROM lineitem JOIN part ON l_partkey = p_partkey),
+ m AS (SELECT DISTINCT 'M' || c_mktsegment || '_' || c_nationkey AS pathway, p_brand || p_type AS gene FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 
 def _sets(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_partkey", "l_suppkey")  # noqa: E741
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")  # noqa: E741
     p, o, c = (table(spark, sf, t) for t in ("part", "orders", "customer"))
     lp = l.join(p, l.l_partkey == p.p_partkey)
-    own = lp.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("pathway"), F.col("p_brand").alias("gene"))
+    gene = F.concat("p_brand", "p_type").alias("gene")
+    own = lp.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("pathway"), gene)
     market = lp.join(o, lp.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
     name = F.concat(F.lit("M"), "c_mktsegment", F.lit("_"), F.col("c_nationkey").cast("string"))
-    return own.distinct(), market.select(name.alias("pathway"), F.col("p_brand").alias("gene")).distinct()
+    return own.distinct(), market.select(name.alias("pathway"), gene).distinct()
 
 
 @query(
@@ -418,14 +419,14 @@ def coverage_report(spark, sf):
     "clinvar_coverage",
     with_tables(
         "membership",
-        """, c AS (SELECT upper(p_brand) AS gene, count(*) FILTER (p_type = 'PROMO' AND p_size > 47) AS p FROM part WHERE p_size > 30 GROUP BY 1)
+        """, c AS (SELECT upper(p_brand) AS gene, count(*) FILTER (p_type = 'PROMO' AND p_size > 47) AS p FROM part GROUP BY 1)
  SELECT pathway, count(*) AS n_genes, count(p) AS in_clinvar, count(*) FILTER (p > 0) AS with_pathogenic, round(count(p) / count(*)::DOUBLE, 6) AS fraction,
  round(count(*) FILTER (p > 0) / count(*)::DOUBLE, 6) AS pathogenic_fraction FROM membership m LEFT JOIN c ON c.gene = upper(m.gene) GROUP BY 1""",
     ),
 )
 def clinvar_coverage(spark, sf):
     hit = F.count_if((F.col("p_type") == "PROMO") & (F.col("p_size") > 47))
-    summary = table(spark, sf, "part").where("p_size > 30").groupBy(F.col("p_brand").alias("symbol")).agg(hit.alias("n_pathogenic"))
+    summary = table(spark, sf, "part").groupBy(F.col("p_brand").alias("symbol")).agg(hit.alias("n_pathogenic"))
     return rounded(X.clinvar_coverage(A.membership(spark), summary), "fraction", "pathogenic_fraction")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.burden import gene_burden
 
@@ -13,10 +14,24 @@ def streaming_burden(variants: DataFrame, genotypes: DataFrame) -> DataFrame:
     return gene_burden(variants, genotypes)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Take in all that is there, to the memory table of that name, and stop."""
+def run_once(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Take in all that is there and stop; returns the latest row of each key.
+
+    Each batch writes the rows it changed to a folder of its own, so that a batch that runs twice overwrites itself.
+    State and results are on the executors and in the shared folder; nothing comes to the driver.
+    """
+    spark, out = stream.sparkSession, f"{folder}/out"
+    values = [c for c in stream.columns if c not in keys]
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
     query = (
-        stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not query.recentProgress and query.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    written = spark.read.schema(stream.schema.add("batch", "int")).parquet(out)
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])

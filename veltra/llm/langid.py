@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import giving_back, short_batches, table
 
 BLOCK = 4096
 SHORT = 256
@@ -121,7 +121,8 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "lang_pred", "score", "margin", "rejected"])
 
     schema = f"`{id_col}` {key_field.dataType.simpleString()}, lang_pred string, score double, margin double, rejected boolean"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    short_batches(docs.sparkSession)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lambda batches: giving_back(run(batches)), schema)
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -136,7 +137,8 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 keep = [not predict(x)[3] for x in part.column(text_col).to_pylist()]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    short_batches(docs.sparkSession)
+    return docs.mapInArrow(lambda batches: giving_back(run(batches)), docs.schema)
 
 
 def learn_outside_fold(docs: DataFrame) -> Model:

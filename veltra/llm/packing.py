@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import giving_back, table, written
 from .tokens import WordEncoder, shared_encoder, slices, tokenizer_path
 
 
@@ -232,7 +232,8 @@ def pack_texts(
 
     key_type = [to_arrow_type(key_field.dataType)]
     schema = f"`{id_col}` {key_field.dataType.simpleString()}, {PIECES}" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    whole = run if keep_words else lambda batches: giving_back(run(batches))
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(whole, schema)
 
 
 def pack_conversations(

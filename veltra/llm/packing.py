@@ -209,14 +209,14 @@ def pack_texts(
     """Encode and pack texts, all of whose tokens bear loss; with_ids adds the ids of each piece.
 
     keep_words: whether a worker process keeps its cache of words from task to task, which is faster; without, the cache
-    is a quarter of the size and its memory is free for what runs next.
+    is an eighth of the size and its memory is free for what runs next.
     """
     key_field = docs.select(id_col).schema[0]
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = shared_encoder(tokenizer) if keep_words else WordEncoder(tokenizer, 1 << 18)
+        encoder = shared_encoder(tokenizer) if keep_words else WordEncoder(tokenizer, 1 << 17)
 
         def examples():
             for batch in batches:

@@ -182,7 +182,7 @@ def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets[:-1].astype(np.int64)
 
 
-def slices(texts: pa.Array, max_bytes: int = 4 << 20, max_rows: int = 8192) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, max_bytes: int = 3 << 20, max_rows: int = 8192) -> Iterator[tuple[int, int]]:
     """(start, number) of runs of rows with at most max_bytes bytes of text, or one row with more."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
     at = 0

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .numeric import minimise
-from .shared import broadcast_if_small, table, written
+from .shared import broadcast_if_small, cut, table, written
 
 MIN_Z = 4.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -176,21 +176,26 @@ def fit(
 
     def distinct_features(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for at in range(batch.num_rows):
-                part = batch.slice(at, 1)
-                words = pa.array([sorted(features_of(part.column(1)[0].as_py()))], pa.list_(pa.string()))
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                words = pa.array([sorted(features_of(x)) for x in part.column(1).to_pylist()], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([part.column(0), words, *part.columns[2:]], ["id", "words", *(f"y{i}" for i in range(len(categories)))])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     joined = texts.join(F.broadcast(chosen), "id")  # max_docs rows at most, but for chance
-    found = written(joined.mapInArrow(distinct_features, f"id long, words array<string>, {schema[9:]}"), "labelled-words")
-    each = found.select("id", F.xxhash64("words").alias("text"), F.explode("words").alias("word"))
+    found = joined.mapInArrow(distinct_features, f"id long, words array<string>, {schema[9:]}")
+    # The key is written with the words: beside their explosion it would be made anew for each of them.
+    found = written(found.withColumn("text", F.xxhash64("words")), "labelled-words")
+    each = found.select("id", "text", F.explode("words").alias("word"))
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    vocabulary = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(max_words).collect()]
-    numbers = spark.createDataFrame(list(enumerate(vocabulary)), "number int, word string")
-    known = each.distinct().join(broadcast_if_small(numbers, max_words), "word").groupBy("id", "text").agg(F.collect_list("number").alias("numbers"))
-    known = {(r.id, r.text): r.numbers for r in known.collect()}
-    found = found.select("id", F.xxhash64("words").alias("text"), *[f"y{i}" for i in range(len(categories))]).collect()
+    kept = cut(counts.orderBy(F.desc("n"), "word").limit(max_words).select("word", F.xxhash64("word").alias("key"), "n"))
+    own = kept.toArrow()  # max_words rows at most
+    order = sorted(zip(own["word"].to_pylist(), own["key"].to_pylist(), own["n"].to_pylist(), strict=True), key=lambda x: (-x[2], x[0]))
+    vocabulary, number = [w for w, _, _ in order], {key: i for i, (_, key, _) in enumerate(order)}
+    known = each.distinct().join(broadcast_if_small(kept.select("word", "key"), max_words), "word").groupBy("id", "text").agg(F.collect_list("key").alias("keys"))
+    known = known.toArrow()  # a row for each of max_docs documents, with keys of the vocabulary only
+    known = {(i, t): [number[k] for k in keys] for i, t, keys in zip(*(known[c].to_pylist() for c in ("id", "text", "keys")), strict=True)}
+    found = found.select("id", "text", *[f"y{i}" for i in range(len(categories))]).collect()
     found = sorted(found, key=lambda r: (r.id, r.text))
     ys = {c: np.array([np.nan if r[f"y{i}"] is None else r[f"y{i}"] for r in found], float) for i, c in enumerate(categories)}
     return fit_numbered([sorted(known.get((r.id, r.text), [])) for r in found], vocabulary, ys, **options)

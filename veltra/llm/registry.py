@@ -9,6 +9,7 @@ from . import (
     langid,
     line_dedup,
     packing,
+    ranked_search,
     simhash_dedup,
     token_counts,
     token_store,
@@ -26,6 +27,7 @@ _MODULES = (
     toxicity,
     token_counts,
     exact_dedup,
+    ranked_search,
 )
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    centroid_clusters,
     decontaminate,
     exact_dedup,
     html_extract,
@@ -28,6 +29,7 @@ _MODULES = (
     token_counts,
     exact_dedup,
     ranked_search,
+    centroid_clusters,
 )
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}

@@ -9,6 +9,7 @@ from . import (
     html_extract,
     langid,
     line_dedup,
+    nearest_neighbours,
     packing,
     ranked_search,
     simhash_dedup,
@@ -30,6 +31,7 @@ _MODULES = (
     exact_dedup,
     ranked_search,
     centroid_clusters,
+    nearest_neighbours,
 )
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}

@@ -59,18 +59,19 @@ def test_recall(spark, spread):
 
 def test_tests_abandon_early_and_lose_little():
     draw = np.random.default_rng(1)
-    lists = N.Lists([bytes([i % 256, i // 256]) for i in range(4000)], draw.normal(size=(4000, 64)), 8, 5)
-    turned = lists.turned(draw.normal(size=(4000, 64)))
-    blocks = [turned[:, j : j + 8] for j in range(0, 64, 8)]
-    lost = reached = whole = 0
-    for q in lists.turned(draw.normal(size=(50, 64))):
-        far = ((turned - q) ** 2).sum(axis=1)
+    at = draw.normal(size=(20, 64))
+    vectors = at[draw.integers(0, 20, 4050)] + 0.5 * draw.normal(size=(4050, 64))
+    lists = N.Lists([bytes([i % 256, i // 256]) for i in range(4000)], vectors[:4000], 8, 5)
+    blocks = [lists.sample[:, j : j + 8] for j in range(0, 64, 8)]
+    lost = after_three = 0
+    for q in lists.turned(vectors[4000:]):
+        parts = [q[j : j + 8] for j in range(0, 64, 8)]
+        far = ((lists.sample - q) ** 2).sum(axis=1)
         bound = float(np.partition(far, 5)[5])
-        near = N.scan(blocks, [q[j : j + 8] for j in range(0, 64, 8)], bound)
-        lost += len(set(np.flatnonzero(far <= bound)) - set(near))
-        whole += len(far)
-        reached += len(N.scan(blocks[:2], [q[:8], q[8:16]], bound * 16 / 64 * (1 + N.EPSILON / 4) ** 2))
-    assert lost <= 5 and reached < 0.8 * whole
+        lost += len(set(np.flatnonzero(far <= bound)) - set(N.scan(blocks, parts, bound)))
+        after_three += (((lists.sample[:, :24] - q[:24]) ** 2).sum(axis=1) * 64 / 24 <= bound * (1 + N.EPSILON / np.sqrt(24)) ** 2).sum()
+    assert lost <= 5
+    assert after_three < 0.3 * 50 * 4000
 
 
 def test_scores_do_not_depend_on_the_batch():

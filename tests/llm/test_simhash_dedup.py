@@ -116,3 +116,15 @@ def test_components_of_a_long_chain_and_a_star(spark):
     found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 1000 for i in range(1000, 1101)} | {i: 5 for i in range(5, 200)} | {300: 300, 301: 300}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """1 - null - 3 in steps of four bits; null - null apart from them; null beside 9."""
+    fps = [(1, 0), (None, 0b1111), (3, 0b11111111), (None, 0xFFFF << 40), (None, 0xFFFFF << 40), (9, -1), (None, -1), (-5, 0xFF << 20)]
+    made = spark.createDataFrame(fps, "id long, fp long")
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda *a: made)
+    found = simhash_dedup.near_groups(made).collect()
+    labels = plain_components([x[0] for x in fps], [x[1] & (1 << 64) - 1 for x in fps])
+    expected = Counter((x[0], f"{x[1] & (1 << 64) - 1:016x}", c) for x, c in zip(fps, labels))
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in found) == expected
+    assert labels == [1, 1, 1, None, None, 9, 9, -5]

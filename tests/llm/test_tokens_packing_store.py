@@ -225,3 +225,9 @@ def test_crc_combination():
     crcs = [np.array([zlib.crc32(x) for x in t], np.uint32) for t in texts]
     found = token_store.combine_crcs(crcs, [np.array([len(x) for x in t], np.int64) for t in texts])
     assert found.tolist() == [zlib.crc32(b"".join(t)) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_a_tokenizer_that_keeps_white_space_is_refused(name):
+    with pytest.raises(ValueError, match="white space"):
+        WordEncoder(tokenizer_path(name))

@@ -182,19 +182,20 @@ def near_groups(
 ) -> DataFrame:
     """A row for each row of docs: id, fingerprint (16 hex digits), component_id (smallest id reachable, its own included).
 
-    Null and empty texts have fingerprint zero and are linked like any other. A null id gets the component of its
-    fingerprint, null if no row of that has an id. Rows that repeat an id with another text are judged by their own text.
+    Null and empty texts have fingerprint zero and are linked like any other. Rows without an id link others, too, and get
+    the component that they are in; it is null if no row of it has an id. Ids are under 2**62. Rows that repeat an id with another text are judged by their own text.
     An empty table gives an empty result. Other columns are not read.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("node")))
+    largest = rows.agg(F.max("id")).first()[0] or 0
+    unnamed = F.lit(largest + 1) + F.monotonically_increasing_id()  # fingerprints of rows without an id come last
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("node")).withColumn("node", F.coalesce("node", unnamed)))
     lo = nodes.select(F.col("fp").alias("lo"), F.col("node").alias("b"))
     hi = nodes.select(F.col("fp").alias("hi"), F.col("node").alias("a"))
     by_fp = links(nodes.select("fp"), radius).join(lo, "lo").join(hi, "hi").select("a", "b")
-    found = components(by_fp.where("a is not null and b is not null"))
-    labels = nodes.join(found, nodes["node"] == found["node"], "left").select(
-        "fp", F.coalesce(found["component"], nodes["node"]).alias("component_id")
-    )
+    found = components(by_fp)
+    smallest = F.coalesce(found["component"], nodes["node"])
+    labels = nodes.join(found, nodes["node"] == found["node"], "left").select("fp", F.when(smallest <= largest, smallest).alias("component_id"))
     return rows.join(labels, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -51,6 +51,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._refuse_if_unfit(path)
         self.dtype = _narrowest(self.tokenizer)
         self.most = max(1, cache_words // 2)
         self.old: dict[str, bytes] = {}
@@ -59,6 +60,13 @@ class WordEncoder:
         self.mark = mark[0] if len(mark) == 1 else None
         self.plain = self._plain() or self.tokenizer
 
+    def _refuse_if_unfit(self, path: str) -> None:
+        """An error for a tokenizer that keeps white space in its ids, or whose pieces cross it."""
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        for text in (" ", "\n", " a", "a ", "the end", "a\nb", "of  the\n\nend. "):
+            if ids(text) != [i for word in text.split() for i in ids(word)]:
+                raise ValueError(f"{path} does not drop white space: texts can't be encoded word by word")
+
     def _plain(self):
         """The same model without normalizer and pattern, for words that either leaves as they are: lower-case letters of
         Latin-1, or a tail. None if the tokenizer isn't of the kind that cuts runs of letters and of other marks."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.weights import d, pipeline_weight
 from ..session import broadcast_if_small, cut
+from .order import average_ranks, percentiles
 
 BROADCAST_ROWS = 1_000_000
 
@@ -72,13 +73,14 @@ def column_stats(scores: DataFrame) -> DataFrame:
 
 
 def with_stats(scores: DataFrame, stats: DataFrame, on: str | list[str] = "pathway") -> DataFrame:
-    """Join summary rows back: they are few (one a pathway, or a pathway and group)."""
-    return scores.join(F.broadcast(stats), on)
+    """Join summary rows back: one a pathway, or a pathway and group, broadcast after a check of their number."""
+    return scores.join(broadcast_if_small(cut(stats), BROADCAST_ROWS), on)
 
 
 def drop_constant(scores: DataFrame) -> DataFrame:
     stats = column_stats(scores)
-    return scores.join(F.broadcast(stats.where("sd > 0").select("pathway")), "pathway", "left_semi")
+    spread = cut(stats.where("sd > 0").select("pathway"))
+    return scores.join(broadcast_if_small(spread, BROADCAST_ROWS), "pathway", "left_semi")
 
 
 def zscores(scores: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def normalise(scores: DataFrame, method: str) -> DataFrame:
         span = F.col("hi") - F.col("lo")
         out = with_stats(scores, column_stats(scores)).withColumn("v", F.when(span > 0, (x - F.col("lo")) / span).otherwise(x))
     elif method == "robust":
-        q = scores.groupBy("pathway").agg(F.percentile("score", F.array(d(0.25), d(0.5), d(0.75))).alias("q"))
+        q = percentiles(scores, ["pathway"], "score", [0.25, 0.5, 0.75]).drop("n")
         span = F.col("q")[2] - F.col("q")[0]
         out = with_stats(scores, q).withColumn("v", F.when(span > 0, (x - F.col("q")[1]) / span).otherwise(x))
     elif method == "rank":
@@ -106,18 +108,6 @@ def normalise(scores: DataFrame, method: str) -> DataFrame:
     return out.select("sample_id", "pathway", F.col("v").alias("score"))
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Adds rank (ties get their mean) and n. Equal values are counted before they are ordered, so that the window holds
-    one row for each distinct value of a group, and its counts are joined back."""
-    from pyspark.sql import Window
-
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    upto = F.sum("ties").over(Window.partitionBy(*by).orderBy(value))
-    total = F.sum("ties").over(Window.partitionBy(*by))
-    ranks = counts.select(*by, value, (upto - (F.col("ties") - 1) / 2).cast("double").alias("rank"), total.alias("n"), "ties")
-    return df.join(ranks, [*by, value])
-
-
 def top_pathway(scores: DataFrame) -> DataFrame:
     """The pathway with the largest score of each sample; of equals the first by name."""
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("pathway").alias("p")))

@@ -103,5 +103,6 @@ def interpolate_thresholds(points: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The row of each key that comes last in order; kept while rows are summed up, so that no key's rows meet."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("__last")).select(key, "__last.*").select(*df.columns)

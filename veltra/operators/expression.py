@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.weights import d
-from .burden import average_ranks
+from .order import average_ranks
 
 
 def transform(expression: DataFrame, input_type: str = "tpm") -> DataFrame:

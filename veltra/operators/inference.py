@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.weights import d
-from .burden import average_ranks
+from .order import average_ranks
 
 
 def group_stats(labelled: DataFrame, by: tuple[str, ...] = ("pathway",)) -> DataFrame:

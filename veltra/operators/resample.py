@@ -1,16 +1,31 @@
-"""Resampling whose draws are arithmetic on ids and iterations: the same on every engine, and after a lost executor."""
+"""Resampling whose draws are arithmetic on numbers and iterations: the same on every engine, and after a lost executor.
+
+Nothing is copied for an iteration. Scores become a matrix in blocks of samples and pathways; a task draws the labels or
+the multiplicities of all iterations for its block of samples and multiplies: weights of iterations by samples, times
+samples by pathways, gives counts, sums and sums of squares for each group. Only these, a row for each iteration, group and
+pathway of a task, are shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import d
 from ..session import broadcast_if_small, cut, numbered
-from .inference import anova, max_pairwise_d
+from .inference import anova, cohens_d
+from .order import smallest
 
 PRIME = 2147483647
 BROADCAST_ROWS = 1_000_000
+#: Rounds of a permutation; each swaps half of all pairs of numbers with the same sum.
+ROUNDS = 24
+#: Samples and pathways of a block of the matrix, and parts that the samples of a block of pathways are dealt to.
+SAMPLES, PATHWAYS, PARTS = 1024, 128, 32
 
 
 def mixed(ident: Column, iteration: Column, seed: int = 42) -> Column:
@@ -20,6 +35,27 @@ def mixed(ident: Column, iteration: Column, seed: int = 42) -> Column:
     return F.pmod(a * F.lit(48271) + F.pmod(a, F.lit(65537)) * (iteration + F.lit(1)), F.lit(PRIME))
 
 
+def mixed_numbers(ident: np.ndarray, iteration: np.ndarray, seed: int = 42) -> np.ndarray:
+    """mixed() on arrays of 64-bit integers."""
+    a = (ident % PRIME * 1103515245 + iteration * 40503 + seed) % PRIME
+    return (a * 48271 + a % 65537 * (iteration + 1)) % PRIME
+
+
+def permuted_numbers(i: np.ndarray, iterations: np.ndarray, n: int, seed: int = 42) -> np.ndarray:
+    """iterations by i: where each of the numbers 0 to n - 1 goes in each iteration. A round looks at the pair of numbers
+    with the sum of its key (modulo n) and swaps them or not, by a bit of the larger one: one to one in every round, so
+    that a task can do it for its own numbers alone."""
+    it = iterations.astype(np.int64)[:, None]
+    x = np.broadcast_to(i.astype(np.int64), (len(it), len(i)))
+    for r in range(ROUNDS):
+        turn = np.full_like(it, r)
+        key = mixed_numbers(mixed_numbers(turn, it, seed), turn, seed) % n
+        other = (key - x) % n
+        bit = mixed_numbers(np.maximum(x, other), it * 64 + r, seed) // 65536 % 2
+        x = np.where(bit == 1, other, x)
+    return x
+
+
 def permuted(labels: DataFrame, n_permutations: int, seed: int = 42) -> DataFrame:
     """labels (sample_id, grp) -> (it, sample_id, grp): for each iteration the labels dealt anew in a mixed order.
 
@@ -33,43 +69,194 @@ def permuted(labels: DataFrame, n_permutations: int, seed: int = 42) -> DataFram
     return dealt.join(broadcast_if_small(own, BROADCAST_ROWS), "i").select("it", "sample_id", "grp")
 
 
-def permutation_p(scores: DataFrame, labels: DataFrame, n_permutations: int = 100, seed: int = 42) -> DataFrame:
-    """pathway, f_stat, p = (1 + permutations with at least that F) / (1 + permutations)."""
+_SUMS = pa.schema([("pblock", pa.int64()), ("it", pa.int32()), ("g", pa.int32()), *((c, pa.list_(pa.float64())) for c in ("n", "s", "ss"))])
+_BLOCK = "pblock long, part int, sblock long, i long, g int, places array<int>, xs array<double>, drawn array<long>"
+
+#: (numbers of a block of samples, groups of them, what the block was told) -> iterations by samples for each group.
+Weights = Callable[[np.ndarray, np.ndarray, list], Iterator[np.ndarray]]
+
+
+def _products(weights: Weights, n_groups: int, iterations: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of _BLOCK sorted by pblock, part and sblock -> sums of all that a task has of a block of pathways."""
+
+    def add(sums: np.ndarray, rows: list[tuple]) -> None:
+        told = [r for r in rows if r[3] is not None]
+        rows = [r for r in rows if r[3] is None]
+        if not rows:
+            return
+        x, there = np.zeros((len(rows), PATHWAYS)), np.zeros((len(rows), PATHWAYS))
+        at = np.repeat(np.arange(len(rows)), [len(r[2][0]) for r in rows])
+        places = np.concatenate([r[2][0] for r in rows])
+        x[at, places], there[at, places] = np.concatenate([r[2][1] for r in rows]), 1.0
+        i, g = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        for own, w in enumerate(weights(i, g, told[0][3] if told else [])):
+            for k, m in enumerate((there, x, x * x)):
+                sums[own, :, k] += w @ m
+
+    def result(pblock: int, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for g in range(n_groups):
+            columns = [np.full(iterations, pblock), np.arange(1, iterations + 1, dtype=np.int32), np.full(iterations, g, np.int32)]
+            edges = np.arange(iterations + 1, dtype=np.int32) * PATHWAYS
+            lists = [pa.ListArray.from_arrays(edges, pa.array(np.ascontiguousarray(sums[g, :, k]).ravel())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], schema=_SUMS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sblock, rows, sums = None, None, [], None
+        for batch in batches:
+            places, xs = batch.column(5), batch.column(6)
+            columns = [batch.column(k).to_pylist() for k in (0, 2, 3, 4, 7)]
+            for k, (p, s, i, g, drawn) in enumerate(zip(*columns, strict=True)):
+                if (p, s) != (block, sblock):
+                    if rows:
+                        add(sums, rows)
+                    if p != block:
+                        if sums is not None:
+                            yield from result(block, sums)
+                        sums = np.zeros((n_groups, iterations, 3, PATHWAYS))
+                    block, sblock, rows = p, s, []
+                values = (np.asarray(places[k].values), np.asarray(xs[k].values)) if drawn is None else None
+                rows.append((i, g, values, drawn))
+        if rows:
+            add(sums, rows)
+        if sums is not None:
+            yield from result(block, sums)
+
+    return run
+
+
+def _resampled(scores: DataFrame, labels: DataFrame, told: DataFrame | None, weights: Weights, names: list, iterations: int) -> DataFrame:
+    """(it, pathway, grp, n, s, ss): counts, sums and sums of squares of the scores, less the mean of their pathway.
+
+    labels (sample_id, i, g): numbers of samples and groups. told (sblock, drawn): what a block of samples gets besides.
+    """
+    axis = cut(numbered(scores.groupBy("pathway").agg(F.avg("score").alias("mu")), "pathway", name="p"))
+    small = broadcast_if_small(axis, BROADCAST_ROWS)
+    rows = scores.where("score is not null").join(labels, "sample_id").join(small, "pathway")
+    entry = F.struct((F.col("p") % PATHWAYS).cast("int").alias("at"), (F.col("score").cast("double") - F.col("mu")).alias("x"))
+    block = F.floor(F.col("p") / PATHWAYS).alias("pblock")
+    vectors = rows.groupBy(block, "i", "g").agg(F.collect_list(entry).alias("v"))  # PATHWAYS entries at most
+    sblock = F.floor(F.col("i") / SAMPLES)
+    vectors = vectors.select("pblock", sblock.alias("sblock"), "i", "g", F.col("v.at").alias("places"), F.col("v.x").alias("xs"), F.lit(None).cast("array<long>").alias("drawn"))
+    if told is not None:
+        blocks = axis.select(block).distinct()
+        head = told.join(F.broadcast(blocks)).select("pblock", "sblock", F.lit(-1).cast("long").alias("i"), F.lit(-1).alias("g"), *[F.lit(None).cast(t).alias(c) for c, t in (("places", "array<int>"), ("xs", "array<double>"))], "drawn")
+        vectors = vectors.unionByName(head)
+    vectors = vectors.withColumn("part", F.pmod(F.xxhash64("sblock"), F.lit(PARTS)).cast("int")).select("pblock", "part", "sblock", "i", "g", "places", "xs", "drawn")
+    tasks = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vectors.repartition(tasks, "pblock", "part").sortWithinPartitions("pblock", "part", "sblock")
+    kinds = "pblock long, it int, g int, n array<double>, s array<double>, ss array<double>"
+    parts = dealt.mapInArrow(_products(weights, len(names), iterations), kinds).select("pblock", "it", "g", F.posexplode(F.arrays_zip("n", "s", "ss")).alias("at", "v"))
+    sums = parts.groupBy((F.col("pblock") * PATHWAYS + F.col("at")).alias("p"), "it", "g").agg(*[F.sum(f"v.{c}").alias(c) for c in ("n", "s", "ss")])
+    grp = F.get(F.array(*map(F.lit, names)), F.col("g"))
+    return sums.where("n > 0").join(small, "p").select("it", "pathway", grp.alias("grp"), "n", "s", "ss")
+
+
+def _numbered_labels(labels: DataFrame) -> tuple[DataFrame, list, np.ndarray]:
+    """(sample_id, i, g), the names of the groups in order (they are few), and how many samples each has."""
+    sizes = labels.where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).orderBy("grp").collect()
+    names = [r["grp"] for r in sizes]
+    known = numbered(labels.where("grp is not null").select("sample_id", "grp"), "sample_id")
+    return cut(known.select("sample_id", "i", (F.array_position(F.array(*map(F.lit, names)), F.col("grp")) - 1).cast("int").alias("g")) if names else known.select("sample_id", "i", F.lit(0).alias("g"))), names, np.array([r["n"] for r in sizes])
+
+
+def permuted_sums(scores: DataFrame, labels: DataFrame, n_permutations: int, seed: int = 42) -> DataFrame:
+    """(it, pathway, grp, n, s, ss) with the labels dealt anew in each iteration: the sample with number i gets the label
+    of the place where i goes, among labels in order of their group."""
+    own, names, sizes = _numbered_labels(labels)
+    upto, n = np.cumsum(sizes), int(sizes.sum())
+    its = np.arange(1, n_permutations + 1)
+
+    def weights(i: np.ndarray, g: np.ndarray, drawn: list) -> Iterator[np.ndarray]:
+        dealt = np.searchsorted(upto, permuted_numbers(i, its, n, seed), "right")
+        for own in range(len(upto)):
+            yield (dealt == own).astype(np.float64)
+
+    return _resampled(scores, own, None, weights, names, n_permutations)
+
+
+def bootstrap_sums(scores: DataFrame, labels: DataFrame, n_bootstrap: int, seed: int = 42) -> DataFrame:
+    """(it, pathway, grp, n, s, ss) of as many samples as there are, drawn with replacement in each iteration.
+
+    First only the block of SAMPLES samples of each draw is told, and counted; which sample of its block a draw takes, the
+    task of the block works out.
+    """
+    own, names, sizes = _numbered_labels(labels)
+    n, its = int(sizes.sum()), np.arange(1, n_bootstrap + 1)
+    spark = scores.sparkSession
+    draws = spark.range(n).select("id", F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("it"))
+    hits = draws.groupBy(F.floor(F.pmod(mixed(F.col("id"), F.col("it"), seed), F.lit(max(1, n))) / SAMPLES).alias("sblock"), "it").agg(F.count(F.lit(1)).alias("c"))
+    told = hits.groupBy("sblock").agg(F.map_from_entries(F.collect_list(F.struct("it", "c"))).alias("m"))  # an entry an iteration
+    told = told.select("sblock", F.transform(F.sequence(F.lit(1), F.lit(n_bootstrap)), lambda it: F.coalesce(F.element_at("m", it), F.lit(0).cast("long"))).alias("drawn"))
+
+    def weights(i: np.ndarray, g: np.ndarray, drawn: list) -> Iterator[np.ndarray]:
+        block = int(i[0]) // SAMPLES
+        size = min(SAMPLES, n - block * SAMPLES)
+        times = np.array(drawn or [0] * n_bootstrap)
+        it = np.repeat(its, times)
+        place = np.arange(len(it)) - np.repeat(np.cumsum(times) - times, times)
+        taken = mixed_numbers(block * SAMPLES + place, it, seed + 1) % size
+        counts = np.bincount((it - 1) * size + taken, minlength=n_bootstrap * size).reshape(n_bootstrap, size)
+        counts = counts[:, i - block * SAMPLES].astype(np.float64)
+        for own in range(len(sizes)):
+            yield counts * (g == own)
+
+    return _resampled(scores, own, told, weights, names, n_bootstrap)
+
+
+def _f_statistic(sums: DataFrame) -> DataFrame:
+    """(it, pathway, f): as anova, from sums about any centre; null without spread or with too few groups or samples."""
+    inside = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
+    between = F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("s") * F.sum("s") / F.sum("n")
+    parts = sums.groupBy("it", "pathway").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.greatest(inside, d(0))).alias("ssw"), between.alias("ssb"))
+    usable = (F.col("k") > 1) & (F.col("n") > F.col("k")) & (F.col("ssw") > 0)
+    f = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k")))
+    return parts.select("it", "pathway", F.when(usable, f).otherwise(d(0)).alias("f"))
+
+
+def permutation_p(scores: DataFrame, labels: DataFrame, n_permutations: int = 1000, seed: int = 42) -> DataFrame:
+    """pathway, f_stat, p = (1 + permutations with at least that F) / (1 + permutations); what differs by less than a part
+    in a thousand million counts as equal."""
     scores = cut(scores)
     seen = cut(anova(scores.join(labels, "sample_id")).select("pathway", "f_stat"))
-    drawn = scores.join(permuted(labels, n_permutations, seed), "sample_id")
-    null = anova(drawn, ("it", "pathway")).select("pathway", F.col("f_stat").alias("f"))
-    hits = null.join(broadcast_if_small(seen, BROADCAST_ROWS), "pathway").groupBy("pathway").agg(F.count_if(F.round("f", 9) >= F.round("f_stat", 9)).alias("hits"))
+    null = _f_statistic(permuted_sums(scores, labels, n_permutations, seed))
+    as_large = F.count_if(F.col("f") >= F.col("f_stat") - F.abs("f_stat") * 1e-9)
+    hits = null.join(broadcast_if_small(seen, BROADCAST_ROWS), "pathway").groupBy("pathway").agg(as_large.alias("hits"))
     return seen.join(hits, "pathway").select("pathway", "f_stat", ((F.col("hits") + 1) / d(n_permutations + 1)).alias("p"))
 
 
-def bootstrap_ci(labelled: DataFrame, n_bootstrap: int = 100, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """pathway, lo, hi: percentiles of the largest absolute d over resamples with replacement.
-
-    Draw i of an iteration is the sample whose number is the mixed one modulo the number of samples. Groups under two
-    draws have no d.
-    """
+def bootstrap_ci(labelled: DataFrame, n_bootstrap: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """pathway, lo, hi: percentiles of the largest absolute d over resamples with replacement. Groups under two draws have
+    no d. labelled (sample_id, grp, pathway, score); a sample has one group."""
     labelled = cut(labelled)
-    each = cut(numbered(labelled.select("sample_id").distinct(), "sample_id"))
-    n = each.count()
-    draws = each.select("i", F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("it"))
-    draws = draws.select("it", F.pmod(mixed(F.col("i"), F.col("it"), seed), F.lit(max(1, n))).alias("i"))
-    drawn = draws.join(broadcast_if_small(each, BROADCAST_ROWS), "i").join(labelled, "sample_id")
-    sizes = max_pairwise_d(drawn, ("it", "pathway"))
+    labels = labelled.select("sample_id", "grp").distinct()
+    sums = bootstrap_sums(labelled.select("sample_id", "pathway", "score"), labels, n_bootstrap, seed)
+    spread = F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), d(0)) / F.nullif(F.col("n") - 1, d(0))
+    one = F.struct("grp", "n", (F.col("s") / F.col("n")).alias("mean"), spread.alias("var"))
+    groups = sums.groupBy("it", "pathway").agg(F.sort_array(F.collect_list(one)).alias("a"))  # an entry a group
+    pairs = groups.select("it", "pathway", F.posexplode("a").alias("i", "x"), "a").select("it", "pathway", "x", F.explode(F.slice("a", F.col("i") + 2, F.size("a"))).alias("y"))
+    size = F.abs(cohens_d(*[F.col(f"{t}.{c}") for t in "xy" for c in ("n", "mean", "var")]))
+    sizes = pairs.groupBy("it", "pathway").agg(F.max(size).alias("effect_size"))
     tail = (1 - level) / 2
-    q = F.percentile("effect_size", F.array(d(tail), d(1 - tail)))
+    q = F.percentile("effect_size", F.array(d(tail), d(1 - tail)))  # a value an iteration
     return sizes.groupBy("pathway").agg(q.alias("q")).select("pathway", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def stratified_downsample(phenotypes: DataFrame, target: int, stratum: str, seed: int = 42) -> DataFrame:
-    """target samples: target // strata of each stratum in a mixed order, then others in that order."""
-    order = [mixed(F.col("sample_id"), F.lit(0), seed), F.col("sample_id")]
-    inside = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
-    strata = phenotypes.agg(F.count_distinct(stratum).alias("s"))
-    ranked = phenotypes.withColumn("r", inside).join(F.broadcast(strata))
-    first = (F.col("r") <= F.floor(F.lit(target) / F.col("s"))).cast("int")
-    # The first `target` of a total order: a sort with a limit, not one task's window.
-    return ranked.orderBy(first.desc(), *order).limit(target).select("sample_id", stratum)
+    """target samples: target // strata of each stratum in a mixed order, then others in that order. No stratum is sorted:
+    what its last sample is, is selected by counts. Rows without a stratum are dealt with as one more."""
+    named = F.to_json(F.struct(F.col(stratum).alias("s")))
+    rows = phenotypes.select("sample_id", stratum, named.alias("__stratum"), mixed(F.col("sample_id"), F.lit(0), seed).alias("__mix"), F.lit(0).alias("__all"))
+    rows = cut(rows)
+    strata = rows.agg(F.count_distinct(stratum)).first()[0]
+    first = cut(smallest(rows, ["__stratum"], "__mix", target // max(1, strata), "sample_id"))
+    more = target - first.count()
+    if more <= 0:
+        return smallest(first, ["__all"], "__mix", target, "sample_id").select("sample_id", stratum)
+    # Behind the last of its stratum, in the order of smallest(): equal ones of both are neither before nor after it.
+    last = cut(first.groupBy("__stratum").agg(F.max(F.struct("__mix", "sample_id")).alias("__last")))
+    others = rows.join(broadcast_if_small(last, BROADCAST_ROWS), "__stratum", "left")
+    others = others.where(F.col("__last").isNull() | (F.struct("__mix", "sample_id") > F.col("__last"))).drop("__last")
+    return first.unionByName(smallest(others, ["__all"], "__mix", more, "sample_id")).select("sample_id", stratum)
 
 
 def folds(samples: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:

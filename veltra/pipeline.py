@@ -21,6 +21,7 @@ from .operators import characterize as CH
 from .operators import clustering as CL
 from .operators import expression as E
 from .operators import qc
+from .operators.order import percentiles
 from .session import cut
 from .sources import genesets, tables, variants
 
@@ -142,7 +143,7 @@ def stratified_run(scores: DataFrame, pcs: DataFrame, config: RunConfig) -> Data
     """Clusters in each half of the first component, beside those of all samples."""
     number = F.regexp_extract("pc", r"(\d+)$", 1).try_cast("int")
     first = pcs.where(F.coalesce(number, F.lit(1)) == 1)
-    middle = first.agg(F.percentile("value", 0.5).alias("middle"))
+    middle = percentiles(first.withColumn("whole", F.lit(1)), ["whole"], "value", [0.5]).select(F.col("q")[0].alias("middle"))
     groups = first.join(F.broadcast(middle)).select("sample_id", F.when(F.col("value") < F.col("middle"), "low").otherwise("high").alias("grp"))
     return CL.stratified(scores, groups, config.n_clusters or config.n_clusters_range[0], config.seed or 0)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import genotype as G
 from ..operators import qc
 from ..session import ensure_checkpoint_dir, table
-from ..sources import annotations, genesets, tables, variants
+from ..sources import annotations, blocks, genesets, tables, variants
 from . import analogue as A
 from .analogue import rounded, with_tables
 from .registry import query
@@ -96,6 +96,32 @@ def vcf_sample_subset(spark, sf):
     return read.genotypes.select("variant_id", "sample_id", "dosage")
 
 
+def vcf_block_folder(spark: SparkSession, sf: str) -> str:
+    """The lines of vcf_file in several block-gzip files, in order of chromosome and position inside each."""
+    body = spark.read.text(vcf_file(spark, sf)).where("not startswith(value, '#')")
+    f = F.split("value", "\t", 3)
+    path = _folder(spark, "vcf-blocks")
+    blocks.write_blocks(body.repartition(4, F.hash("value")).sortWithinPartitions(F.get(f, 0), F.get(f, 1).try_cast("long")), path, VCF_HEADER)
+    return path
+
+
+@query("vcf_blocks", f"""WITH {SITES}{CALLS} SELECT variant_id, 'S' || i AS sample_id, CASE WHEN valid THEN (x = a)::INT + (y = a)::INT ELSE 0 END AS dosage, valid FROM calls""")
+def vcf_blocks(spark, sf):
+    """All calls of the lines, written as block-gzip files and read by ranges of blocks."""
+    return variants.read_vcf(spark, vcf_block_folder(spark, sf), blocks=True).genotypes.select("variant_id", "sample_id", "dosage", "valid")
+
+
+@query(
+    "vcf_blocks_region",
+    f"""WITH {SITES}{CALLS} SELECT variant_id, 'S' || i AS sample_id, CASE WHEN valid THEN (x = a)::INT + (y = a)::INT ELSE 0 END AS dosage FROM calls JOIN (SELECT variant_id, chrom, k FROM named) USING (variant_id)
+ WHERE i IN (2, 7) AND chrom = 'chr5' AND k BETWEEN 30 AND 1500""",
+)
+def vcf_blocks_region(spark, sf):
+    """Two samples of a region, which the reader keeps to."""
+    read = variants.read_vcf(spark, vcf_block_folder(spark, sf), ["S2", "S7"], region=("chr5", 30, 1500), blocks=True)
+    return read.genotypes.select("variant_id", "sample_id", "dosage")
+
+
 @query(
     "vcf_quality_report",
     f"""WITH {SITES}{CALLS}, r AS (SELECT (SELECT count(*) FROM part) AS total_variants, (SELECT count(*) FROM named) AS parsed_variants, (SELECT count(*) FROM part WHERE p_partkey % 50 = 0) AS skipped_variants,

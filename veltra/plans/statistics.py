@@ -465,20 +465,34 @@ def permutation_labels(spark, sf):
     return R.permuted(A.groups(spark, sf), 5)
 
 
+def _dealt(n_permutations: int) -> str:
+    """(it, sample_id, i, n, x): where each sample's number goes in each iteration, one step for each round."""
+    steps = [f", d0 AS (SELECT *, i AS x FROM (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS i, count(*) OVER () AS n FROM samples), range(1, {n_permutations + 1}) t(it))"]
+    for r in range(R.ROUNDS):
+        key = f"(({_mix(_mix(str(r), 'it'), str(r))} % n - x) % n + n) % n"
+        bit = _mix("greatest(x, y)", f"(it * 64 + {r})")
+        steps.append(f"d{r + 1} AS (SELECT sample_id, i, n, it, CASE WHEN {bit} // 65536 % 2 = 1 THEN y ELSE x END AS x FROM (SELECT *, {key} AS y FROM d{r}))")
+    return ",\n".join(steps)
+
+
 @query(
     "permutation_pvalues",
     with_tables(
         "scores",
-        f""", l AS (SELECT sample_id, 'g' || (sample_id % 3) AS grp, it FROM samples, range(0, 21) t(it)),
- r AS (SELECT *, row_number() OVER (PARTITION BY it ORDER BY sample_id) AS i, row_number() OVER (PARTITION BY it ORDER BY CASE WHEN it = 0 THEN 0 ELSE {_mix("sample_id", "it")} END, sample_id) AS j FROM l),
- p AS (SELECT a.it, a.sample_id, b.grp FROM r a JOIN r b ON a.it = b.it AND a.i = b.j),
+        _dealt(1000)
+        + f""", l AS (SELECT sample_id, 'g' || (sample_id % 3) AS grp FROM samples), o AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS x FROM l),
+ p AS (SELECT it, sample_id, grp FROM d{R.ROUNDS} JOIN o USING (x) UNION ALL SELECT 0, sample_id, grp FROM l),
  g AS (SELECT it, pathway, grp, count(*) AS n, avg(score) AS m, var_samp(score) * (count(*) - 1) AS ss FROM p JOIN scores USING (sample_id) GROUP BY 1, 2, 3),
- f AS (SELECT it, pathway, (sum(n * (m - (SELECT avg(score) FROM scores s WHERE s.pathway = g.pathway)) ^ 2) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS f FROM g GROUP BY 1, 2)
- SELECT a.pathway, round(a.f, 6) AS f_stat, (1 + count(*) FILTER (round(b.f, 9) >= round(a.f, 9))) / 21::DOUBLE AS p FROM f a JOIN f b ON a.pathway = b.pathway AND a.it = 0 AND b.it > 0 GROUP BY a.pathway, a.f""",
+ a AS (SELECT pathway, avg(score) AS mu FROM scores GROUP BY 1),
+ f AS (SELECT it, pathway, (sum(n * (m - mu) ^ 2) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS f FROM g JOIN a USING (pathway) GROUP BY 1, 2)
+ SELECT a.pathway, round(a.f, 6) AS f_stat, (1 + count(*) FILTER (b.f >= a.f - a.f * 1e-9)) / 1001::DOUBLE AS p FROM f a JOIN f b ON a.pathway = b.pathway AND a.it = 0 AND b.it > 0 GROUP BY a.pathway, a.f""",
     ),
 )
 def permutation_pvalues(spark, sf):
-    return rounded(R.permutation_p(A.scores(spark, sf), A.groups(spark, sf), 20), "f_stat")
+    return rounded(R.permutation_p(A.scores(spark, sf), A.groups(spark, sf), 1000), "f_stat")
+
+
+_SECOND = _mix(f"(b * {R.SAMPLES} + j)", "it").replace("+ 42)", "+ 43)")
 
 
 @query(
@@ -486,14 +500,16 @@ def permutation_pvalues(spark, sf):
     with_tables(
         "labelled",
         f""", s AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS i, count(*) OVER () AS n FROM samples),
- d AS (SELECT it, {_mix("i", "it")} % n AS i FROM s, range(1, 21) t(it)), l AS (SELECT it, pathway, grp, score FROM d JOIN s USING (i) JOIN labelled USING (sample_id)),
- g AS (SELECT it, pathway, grp, count(*) AS n, avg(score) AS m, var_samp(score) AS v FROM l GROUP BY 1, 2, 3),
+ c AS (SELECT it, ({_mix("i", "it")} % n) // {R.SAMPLES} AS b, any_value(n) AS n, count(*) AS c FROM s, range(1, 1001) t(it) GROUP BY 1, 2),
+ d AS (SELECT it, b * {R.SAMPLES} + {_SECOND} % least({R.SAMPLES}, n - b * {R.SAMPLES}) AS i FROM (SELECT it, b, n, unnest(range(0, c)) AS j FROM c)),
+ w AS (SELECT it, i, count(*) AS w FROM d GROUP BY 1, 2), l AS (SELECT it, pathway, grp, w, score - avg(score) OVER (PARTITION BY pathway) AS x FROM w JOIN s USING (i) JOIN labelled USING (sample_id)),
+ g AS (SELECT it, pathway, grp, sum(w) AS n, sum(w * x) / sum(w) AS m, (sum(w * x * x) - sum(w * x) ^ 2 / sum(w)) / nullif(sum(w) - 1, 0) AS v FROM l GROUP BY 1, 2, 3),
  e AS (SELECT a.it, a.pathway, max(abs(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2))) AS e FROM g a JOIN g b ON a.it = b.it AND a.pathway = b.pathway AND a.grp < b.grp GROUP BY 1, 2)
  SELECT pathway, round(quantile_cont(e, 0.025), 6) AS lo, round(quantile_cont(e, 0.975), 6) AS hi FROM e GROUP BY 1""",
     ),
 )
 def bootstrap_ci(spark, sf):
-    return rounded(R.bootstrap_ci(A.labelled(spark, sf), 20), "lo", "hi")
+    return rounded(R.bootstrap_ci(A.labelled(spark, sf), 1000), "lo", "hi")
 
 
 @query(
@@ -523,7 +539,7 @@ def _sub(name: str) -> str:
  SELECT pathway, p, round(q, 6) AS q, q < 0.05 AS significant, effect_size, lo, hi FROM q JOIN {_sub("max_pairwise_d")} USING (pathway) JOIN {_sub("bootstrap_ci")} USING (pathway)""",
 )
 def statistical_rigor(spark, sf):
-    out = bundles.statistical_rigor(A.scores(spark, sf), A.groups(spark, sf), n_permutations=20, n_bootstrap=20)
+    out = bundles.statistical_rigor(A.scores(spark, sf), A.groups(spark, sf), n_permutations=1000, n_bootstrap=1000)
     return rounded(out, "q", "effect_size", "lo", "hi")
 
 

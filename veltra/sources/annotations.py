@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.genotype import safe_double
 from ..functions.weights import annovar_consequence
 from ..operators.crossref import last_per_key, lookup_by_keys
+from .lines import behind, first_line, ordered_lines
 
 
 def _named(spark: SparkSession, path: str, start: str) -> tuple[DataFrame, list[str]]:
     """(line, f) behind the header that starts with start, and the header's names in lower case."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    header = lines.where(F.startswith("value", F.lit(start))).orderBy("line").limit(1).collect()
-    if not header:
+    lines, is_header = ordered_lines(spark, path), F.startswith("value", F.lit(start))
+    header = first_line(lines, is_header)
+    if header is None:
         raise ValueError(f"no header line that starts with {start}")
-    names = [x.lstrip("#").strip().lower() for x in header[0]["value"].split("\t")]
-    body = lines.where((F.col("line") > header[0]["line"]) & (F.trim("value") != "") & ~F.startswith("value", F.lit("#")))
+    names = [x.lstrip("#").strip().lower() for x in header.split("\t")]
+    body = behind(lines, is_header).where((F.trim("value") != "") & ~F.startswith("value", F.lit("#")))
     return body.select("line", F.split("value", "\t").alias("f")), names
 
 

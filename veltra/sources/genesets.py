@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lines import numbered_lines, ordered_lines
+
 
 class GmtError(ValueError):
     pass
@@ -16,23 +18,16 @@ def parse_gmt(lines: DataFrame) -> DataFrame:
     return f.select(F.col("f")[0].alias("pathway"), F.posexplode(F.slice("f", F.lit(3), F.size("f") - 2)).alias("ord", "gene"))
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return lines.select("line", "value")
-
-
 def read_gmt(spark: SparkSession, path: str) -> DataFrame:
-    """pathway, gene, ord; of sets with one name the last in the file counts. A gene-set file fits one task."""
-    lines = _numbered(spark, path)
-    name = F.split("value", "\t")[0]
-    last = F.row_number().over(Window.partitionBy(name).orderBy(F.col("line").desc()))
+    """pathway, gene, ord; of sets with one name the last in the file counts, wherever the file is split."""
+    lines = ordered_lines(spark, path)
     kept = lines.where("trim(value) != '' and not startswith(ltrim(value), '#') and size(split(value, '\t')) >= 3")
-    return parse_gmt(kept.withColumn("n", last).where("n = 1"))
+    return parse_gmt(kept.groupBy(F.split("value", "\t")[0]).agg(F.max_by("value", "line").alias("value")))
 
 
 def validate_gmt(spark: SparkSession, path: str) -> DataFrame:
     """Like read_gmt, strictly: raises GmtError with the first five problems."""
-    lines = _numbered(spark, path).where("trim(value) != '' and not startswith(ltrim(value), '#')")
+    lines = numbered_lines(spark, path).where("trim(value) != '' and not startswith(ltrim(value), '#')")
     f = F.split("value", "\t")
     genes = F.filter(F.transform(F.slice(f, F.lit(3), F.greatest(F.lit(0), F.size(f) - 2)), lambda g: F.trim(g)), lambda g: g != "")
     rows = lines.select("line", f.alias("f"), F.trim(f[0]).alias("name"), F.when(F.size(f) >= 3, genes).otherwise(F.array().cast("array<string>")).alias("genes"))
@@ -63,4 +58,4 @@ def read_reactome(spark: SparkSession, path: str, species: str = "Homo sapiens")
     """pathway, gene, ord of sets whose description names the species or whose name or description has its prefix."""
     prefix, f = SPECIES.get(species, "\0"), F.split("value", "\t")
     hit = F.lower(f[1]).contains(species.lower()) | f[0].startswith(prefix) | f[1].startswith(prefix)
-    return parse_gmt(_numbered(spark, path).where("size(split(value, '\t')) >= 3").where(hit))
+    return parse_gmt(spark.read.text(path).where("size(split(value, '\t')) >= 3").where(hit))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.genotype import safe_double
 from ..operators.crossref import last_per_key
+from .lines import behind, first_line, ordered_lines
 
 
 class TableError(ValueError):
@@ -72,13 +73,13 @@ def read_clinvar(spark: SparkSession, path: str) -> DataFrame:
     The header is the first line that names Symbol, with or without #. A combined column stands for two separate ones.
     Of lines with one symbol the last counts; lines shorter than the header are left out.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    header = lines.where("contains(value, 'Symbol')").orderBy("line").limit(1).collect()
-    if not header:
+    lines, has_symbol = ordered_lines(spark, path), F.contains("value", F.lit("Symbol"))
+    header = first_line(lines, has_symbol)
+    if header is None:
         raise TableError("no header with Symbol")
-    names = [x.strip().lstrip("#").lower() for x in header[0]["value"].split("\t")]
+    names = [x.strip().lstrip("#").lower() for x in header.split("\t")]
     f = F.split("value", "\t")
-    rows = lines.where((F.col("line") > header[0]["line"]) & (F.size(f) >= len(names)) & (F.trim("value") != "")).select("line", f.alias("f"))
+    rows = behind(lines, has_symbol).where((F.size(f) >= len(names)) & (F.trim("value") != "")).select("line", f.alias("f"))
 
     def number(*wanted: str):
         for w in wanted:

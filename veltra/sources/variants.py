@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
+from . import blocks as B
 
 
 class VcfError(ValueError):
@@ -27,19 +28,35 @@ class VcfTables:
     genotypes: DataFrame
 
 
-def read_vcf(spark: SparkSession, path: str, sample_subset: list[str] | None = None, missing_as_null: bool = False, sparse: bool = False) -> VcfTables:
+def _lines(spark: SparkSession, path: str, sample_subset: list[str] | None, blocks: bool | None) -> tuple[DataFrame, list[str]]:
+    """(value, chrom, pos) of all lines, and the samples whose calls they have."""
+    if blocks is None:
+        blocks = path.endswith((".gz", ".bgz", ".bgzf")) and B.is_blocks(path)
+    if blocks:
+        names, lines = B.header_samples(path), B.block_lines(spark, path, sample_subset)
+        return lines, [n for n in names if sample_subset is None or n in set(sample_subset)] if names else []
+    f = F.split("value", "\t", 3)
+    lines = spark.read.text(path).select("value", F.get(f, 0).alias("chrom"), F.get(f, 1).try_cast("long").alias("pos"))
+    header = lines.where("startswith(value, '#CHROM')").limit(1).collect()
+    return lines, header[0]["value"].split("\t")[9:] if header else []
+
+
+def read_vcf(
+    spark: SparkSession, path: str, sample_subset: list[str] | None = None, missing_as_null: bool = False, sparse: bool = False, region: tuple[str, int, int] | None = None, blocks: bool | None = None
+) -> VcfTables:
     """The tables of a file or folder of files with the same header. Text is split by Spark; the header is one line.
 
+    A block-gzip file (told by its suffix and first bytes, or blocks) is read by ranges of blocks, and only the wanted
+    samples and the region leave the reader. region: chromosome, first and last position.
+
     Lines under nine fields are left out of the tables. An allele that is missing or no number makes a call invalid:
     dosage 0, or null with missing_as_null. An INFO list with an element for each allele gives each its own.
     """
-    lines = spark.read.text(path)
-    header = lines.where("startswith(value, '#CHROM')").limit(1).collect()
-    if not header:
-        raise VcfError("no #CHROM line")
-    names = header[0]["value"].split("\t")[9:]
-    if not names:
-        raise VcfError("no sample in the #CHROM line")
+    lines, names = _lines(spark, path, sample_subset, blocks)
+    if not names and not (sample_subset is not None and blocks):
+        raise VcfError("no #CHROM line with a sample")
+    if region is not None:
+        lines = lines.where((F.col("chrom") == region[0]) & (F.col("pos") >= region[1]) & (F.col("pos") <= region[2]))
     wanted = None if sample_subset is None else set(sample_subset)
     chosen = [(i, n) for i, n in enumerate(names) if wanted is None or n in wanted]
     body = lines.where("trim(value) != '' and not startswith(value, '#')").select(F.split("value", "\t").alias("f"))

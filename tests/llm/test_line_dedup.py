@@ -128,5 +128,14 @@ def test_parity_bounds_the_edits(spark):
             b[at : at + rng.randint(0, 1)] = rng.choice(["", "e", "a"])
         pairs.append((a, "".join(b)))
     df = spark.createDataFrame(pairs, "a string, b string")
-    bits = F.bit_count(line_dedup.parity(F.col("a")).bitwiseXOR(line_dedup.parity(F.col("b"))))
-    assert df.where(bits > 8).count() == 0
+    of = lambda c: line_dedup.parity(line_dedup.wide(F.col(c)))
+    assert df.where(F.bit_count(of("a").bitwiseXOR(of("b"))) > 8).count() == 0
+
+
+def test_a_very_long_line_in_several_documents(spark):
+    """Its parity is taken in linear work: 300,000 characters, eight variants."""
+    rng = random.Random(12)
+    line = "".join(rng.choices("abcdefgh é🙂", k=300_000))
+    rows = [(i, line[:150_000] + "xy"[i % 2] * (i % 3) + line[150_000:] + "\nshort") for i in range(8)]
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(len(t) > 1000 for t in kept.values()) == 1

@@ -9,24 +9,18 @@ from veltra.llm.tokens import tokenizer_path
 
 from .test_decontaminate import plain as plain_leaks
 from .test_line_dedup import plain as plain_lines
-from .test_simhash_dedup import plain_components
+from .test_near_copies import plain_groups
 from .util import docs
 
 SF = "/root/testdata/sf0.001"
 
 
-def fingerprint(text):
-    from veltra.llm.simhash_dedup import fingerprint
-
-    return fingerprint(text, 5)
-
-
 def test_run_against_plain_stages(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     predict = langid.Classifier(langid.learn_outside_fold(table)).predict
     rows = [(r.doc_id, r.text) for r in table.collect() if not predict(r.text)[3]]
     rows = [(i, t) for i, t, *_ in plain_lines(spark, rows)]
-    groups = plain_components([i for i, _ in rows], [fingerprint(t) for _, t in rows])
+    groups = plain_groups([i for i, _ in rows], [t for _, t in rows])  # five-word shingles, Jaccard similarity of 0.8
     rows = [r for r, g in zip(rows, groups) if r[0] == g]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     leaks = {i for i, _ in plain_leaks(rows, items)}

@@ -170,11 +170,12 @@ def automaton(a: Column, b: Column, edits: int) -> Column:
     return (diagonal >= 0) & (diagonal < width) & let(end, accepted)
 
 
-def parity(line: Column) -> Column:
+def parity(u: Column) -> Column:
     """64 bits: whether an odd number of the line's pairs of characters has that hash. An edit takes away and puts in at
-    most two pairs, so that it turns at most four bits."""
-    pair = lambda i: F.pmod(F.xxhash64(F.substring(line, i, F.lit(2))), F.lit(64)).cast("int")
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(line) - 1))
+    most two pairs, so that it turns at most four bits. u: the line in wide characters, in which a pair is found by its
+    place, so that the work is linear in the length of a line."""
+    pair = lambda i: F.pmod(F.xxhash64(part(u, i, F.lit(2))), F.lit(64)).cast("int")
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), wide_length(u) - 1))
     return F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), pair(i))))
 
 
@@ -220,7 +221,7 @@ def near_pairs(lines: DataFrame, found: DataFrame, edits: int) -> DataFrame:
     wanted = cut(roles.groupBy("lid").agg(F.max("n").alias("most")))
     some = lines.select(*identity(), "line").join(broadcast_if_small(wanted, BROADCAST_ROWS), "lid")
     texts = some.groupBy("lid", "check").agg(F.first("line").alias("line"), F.first("most").alias("most"))
-    texts = cut(texts.withColumn("parity", F.when(F.col("most") > FEW, parity(F.col("line")))))
+    texts = cut(texts.withColumn("parity", F.when(F.col("most") > FEW, let(wide(F.col("line")), parity))))
     marked = roles.join(texts.groupBy("lid").agg(F.min("parity").alias("parity"), F.count(F.lit(1)).alias("texts")), "lid")
     r = marked.where("asks or n > 1").select("key", "asks", F.col("lid").alias("r"), F.col("parity").alias("rp"), F.col("texts").alias("rt"))
     s = marked.where("not asks").select("key", F.col("lid").alias("s"), F.col("parity").alias("sp"), F.col("texts").alias("st"))

@@ -13,6 +13,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -561,23 +562,60 @@ def regress_out(scores: DataFrame, pcs: DataFrame, n_pcs: int = 10, confounded:
     wide = pcs.where(number <= n_pcs).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct(number.alias("i"), "value"))).alias("v"))
     x = wide.select("sample_id", F.concat(F.array(F.lit(1.0).cast("double")), F.transform("v", lambda p: p["value"])).alias("x"))
     joined = scores.join(x, "sample_id")
-    terms = joined.select("pathway", "score", F.posexplode("x").alias("i", "xi"), "x").select("pathway", "i", "score", "xi", F.posexplode("x").alias("j", "xj"))
-    xx = terms.groupBy("pathway", "i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("xx"), F.sum(F.col("xi") * F.col("score")).alias("xy"))
-    fit = xx.groupBy("pathway").applyInPandas(_solve, "pathway string, beta array<double>")
+    parts = joined.select("pathway", F.col("score").cast("double"), "x").mapInArrow(_gram_blocks, "pathway string, k int, terms array<double>")
+    fit = parts.groupBy("pathway").applyInPandas(_solve, "pathway string, beta array<double>")  # a row a task that has some
+    fit = broadcast_if_small(cut(fit), 1_000_000)
     dot = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0).cast("double"), lambda s, v: s + v)
-    res = joined.join(F.broadcast(fit), "pathway").select("sample_id", "pathway", "score", (F.col("score") - dot).alias("res"))
+    res = joined.join(fit, "pathway").select("sample_id", "pathway", "score", (F.col("score") - dot).alias("res"))
     stats = res.groupBy("pathway").agg(F.avg("res").alias("mu"), F.stddev_samp("res").alias("sd"), F.var_pop("res").alias("vr"), F.var_pop("score").alias("vs"))
     r2 = F.greatest(F.lit(0.0), F.coalesce(1 - F.try_divide(F.col("vr"), F.col("vs")), F.lit(0.0)))
     z = (F.col("res") - F.col("mu")) / F.when(F.col("sd") > 1e-12, F.col("sd")).otherwise(F.lit(1.0))
-    return res.join(F.broadcast(stats), "pathway").select("sample_id", "pathway", z.alias("score"), r2.alias("r2"), (r2 > confounded).alias("confounded"))
+    return res.join(broadcast_if_small(cut(stats), 1_000_000), "pathway").select("sample_id", "pathway", z.alias("score"), r2.alias("r2"), (r2 > confounded).alias("confounded"))
+
+
+def _gram_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pathway, score, x) -> for each pathway of a task the products of x with itself and with the score, summed up: the
+    rows of a batch that belong to a pathway are one block of a matrix, multiplied as a whole."""
+    sums: dict[str, np.ndarray] = {}
+
+    def result() -> pa.RecordBatch:
+        ks = [x.shape[0] for x in sums.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(ks, pa.int32()), pa.array([x.ravel() for x in sums.values()], pa.list_(pa.float64()))], ["pathway", "k", "terms"])
+
+    for batch in batches:
+        whole = batch.filter(pc.and_(batch.column(0).is_valid(), batch.column(1).is_valid()))
+        if not whole.num_rows:
+            continue
+        names, rows = whole.column(0).dictionary_encode(), whole.column(2)
+        size = np.asarray(rows.value_lengths())
+        wide = np.zeros((whole.num_rows, int(size.max()) + 1))
+        wide[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.nan_to_num(np.asarray(rows.flatten().cast(pa.float64())))
+        wide[:, -1] = np.asarray(whole.column(1))
+        codes = np.asarray(names.indices)
+        order = np.argsort(codes, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+            m = wide[part]
+            gram, name = np.ascontiguousarray(m[:, :-1].T @ m), names.dictionary[codes[part[0]]].as_py()
+            sums[name] = _added(sums[name], gram) if name in sums else gram
+        if len(sums) > 20_000:
+            yield result()
+            sums.clear()
+    yield result()
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of k by k + 1 blocks of any k; the last column is that of the score."""
+    if len(a) < len(b):
+        a, b = b, a
+    out, k = a.copy(), len(b)
+    out[:k, :k] += b[:, :-1]
+    out[:k, -1] += b[:, -1]
+    return out
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    k = int(pdf["i"].max()) + 1
-    a, b = np.zeros((k, k)), np.zeros(k)
-    a[pdf["i"], pdf["j"]] = pdf["xx"]
-    b[pdf["i"]] = pdf["xy"]
-    return pd.DataFrame({"pathway": [pdf["pathway"].iloc[0]], "beta": [np.linalg.lstsq(a, b, rcond=None)[0].tolist()]})
+    total = reduce(_added, (np.asarray(t).reshape(k, k + 1) for k, t in zip(pdf["k"], pdf["terms"], strict=True)))
+    return pd.DataFrame({"pathway": [pdf["pathway"].iloc[0]], "beta": [np.linalg.lstsq(total[:, :-1], total[:, -1], rcond=None)[0].tolist()]})
 
 
 def stratified(scores: DataFrame, groups: DataFrame, k: int, seed: int = 42) -> DataFrame:

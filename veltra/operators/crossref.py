@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import d
+from .set_join import most_similar
 
 
 def clinvar_coverage(membership: DataFrame, summary: DataFrame) -> DataFrame:
@@ -24,18 +25,11 @@ def clinvar_coverage(membership: DataFrame, summary: DataFrame) -> DataFrame:
 
 def best_jaccard(left: DataFrame, right: DataFrame, min_overlap: float = 0.1) -> DataFrame:
     """pathway, match, jaccard of the best of right's sets (of equals the first by name); match is null under min_overlap.
-
-    Only sets with a common gene meet. Both tables are (pathway, gene).
-    """
+    Both tables are (pathway, gene); genes are compared in upper case."""
     a = left.select("pathway", F.upper("gene").alias("gene")).distinct()
     b = right.select(F.col("pathway").alias("match"), F.upper("gene").alias("gene")).distinct()
-    na, nb = a.groupBy("pathway").agg(F.count(F.lit(1)).alias("na")), b.groupBy("match").agg(F.count(F.lit(1)).alias("nb"))
-    common = a.join(b, "gene").groupBy("pathway", "match").agg(F.count(F.lit(1)).alias("c")).join(nb, "match").join(na, "pathway")
-    j = common.withColumn("j", F.col("c") / (F.col("na") + F.col("nb") - F.col("c")))
-    best = j.groupBy("pathway").agg(F.min(F.struct((-F.col("j")).alias("neg"), F.col("match"))).alias("b"))
-    out = na.select("pathway").join(best, "pathway", "left")
-    value = F.coalesce(-F.col("b.neg"), d(0))
-    return out.select("pathway", F.when(value >= min_overlap, F.col("b.match")).alias("match"), value.alias("jaccard"))
+    best = most_similar(a, b)
+    return best.select("pathway", F.when(F.col("jaccard") >= min_overlap, F.col("match")).alias("match"), "jaccard")
 
 
 def lookup_by_keys(rows: DataFrame, annotations: DataFrame, keys: list[Column], values: list[str], id_col: str = "variant_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bundles
@@ -232,6 +232,25 @@ def stream_burden_equals_batch(spark, sf):
     return A.rounded(B.gene_burden(A.variants(spark, sf), dosages), "burden")
 
 
+@query("stream_keyed_burden", with_tables("burden", "SELECT sample_id, gene, round(burden, 6) AS burden FROM burden"))
+def stream_keyed_burden(spark, sf):
+    """All purchases as a stream of observations in which every file comes twice: capping and weighting are in the state."""
+    from ..functions.weights import pipeline_weight
+    from ..streaming.keyed import run_capped
+
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("sample_id"))
+    one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey")  # numbers of lines repeat within an order
+    event = F.concat_ws("-", "l_orderkey", "l_linenumber", F.row_number().over(one))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("variant_id"), event.alias("event"))
+    weighted = A.variants(spark, sf).select("variant_id", "gene", pipeline_weight(F.col("consequence"), F.col("cadd")).alias("weight"))
+    seen = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(weighted, "variant_id").select("sample_id", "gene", "variant_id", "event", "weight")
+    folder = f"{ensure_checkpoint_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    for _ in range(2):
+        seen.repartition(3, "event").write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    return A.rounded(run_capped(stream, folder), "burden")
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

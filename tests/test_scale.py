@@ -89,6 +89,46 @@ def test_report_of_cohorts(spark, tmp_path):
     assert "don't replicate" in (tmp_path / "r.md").read_text()
 
 
+def test_validation_text():
+    gates = [{"name": "label_shuffle", "metric": 0.05, "threshold": 0.15, "passed": True}, {"name": "bootstrap", "metric": None, "threshold": 0.8, "passed": False}]
+    text = pipeline.validation_text(gates)
+    assert "| label_shuffle | 0.0500 | 0.1500 | yes |" in text and "| bootstrap | - | 0.8000 | no |" in text
+    assert text.endswith("Not passed: bootstrap. The subtypes should not be relied on.")
+    assert pipeline.validation_text(gates[:1]).endswith("All 1 gates passed.")
+    assert pipeline.validation_text([], "no burdens") == "No gate was run: no burdens." and pipeline.validation_text([]) == "No gate was run."
+
+
+def test_reference_data_sets_are_kept_and_unpacked(tmp_path, monkeypatch):
+    import io
+    import zipfile
+
+    from veltra.sources import datasets
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("readme.txt", "x")
+        z.writestr("sets.gmt", "A\tb\tC\n")
+    asked = []
+
+    def opened(url, timeout):
+        asked.append(url)
+        return io.BytesIO(packed.getvalue() if url.endswith(".zip") else b"#Symbol\n")
+
+    monkeypatch.setattr(datasets.urllib.request, "urlopen", opened)
+    for _ in range(2):
+        path = datasets.fetch("reactome_pathways", str(tmp_path / "cache"))
+        assert path.endswith("sets.gmt") and open(path).read() == "A\tb\tC\n"
+    assert len(asked) == 1
+    plain = datasets.fetch("clinvar_gene_summary", str(tmp_path / "cache"))
+    assert open(plain).read() == "#Symbol\n" and datasets.fetch("clinvar_gene_summary", str(tmp_path / "cache"), force=True) == plain
+    assert len(asked) == 3
+
+
+def test_memory_of_a_run():
+    small, large = bundles.memory_estimate(10, 100, 5, 2), bundles.memory_estimate(1000, 100_000, 5, 2)
+    assert set(small) == set(large) and all(0 <= small[k] <= large[k] for k in small)
+
+
 def test_progress():
     told, time = [], iter(range(0, 100, 2))
     p = Progress(4, lambda *x: told.append(x), clock=lambda: next(time))

@@ -147,3 +147,25 @@ def test_lines_keep_their_order(spark, tmp_path, small_blocks):
     assert [r.value for r in rows] == [f"line {i}" for i in range(400)]
     assert lines.first_line(lines.ordered_lines(spark, str(tmp_path / "a.txt")), F.col("value").endswith("7")) == "line 7"
     assert lines.first_line(lines.ordered_lines(spark, str(tmp_path / "a.txt")), F.lit(False)) is None
+
+
+def test_calls_by_table_function(spark, tmp_path):
+    from veltra.functions.table_functions import register_table_functions
+
+    text = [HEADER, *body(40), "chr1\t7\trs7\tA\tC,G\t.\tPASS\tCADD=3,x;GENE=.;FLAG\tGT:DP\t0/1:3\t1|2:4\t2/2\t./1\t1\t0/0", "chr1\t5\tshort", ""]
+    (tmp_path / "a.vcf").write_text("\n".join(text))
+    register_table_functions(spark)
+    run = lambda call: spark.sql(f"SELECT * FROM vcf_calls(TABLE({{t}}), {call})", t=spark.read.text(str(tmp_path / "a.vcf")))
+    names = ",".join(f"S{i}" for i in range(6))
+    df = run(f"samples => '{names}', info => 'CADD double, GENE, FLAG string, NONE int'")
+    assert df.dtypes[5:] == [("allele", "int"), ("cadd", "double"), ("gene", "string"), ("flag", "string"), ("none", "bigint"), ("sample_id", "string"), ("dosage", "int"), ("valid", "boolean")]
+    got = sorted(map(tuple, df.where("variant_id like 'rs7%'").select("variant_id", "cadd", "gene", "flag", "sample_id", "dosage", "valid").collect()))
+    dosages = {"rs7_1": (1, 1, 0, 0, 0, 0), "rs7_2": (0, 1, 2, 0, 0, 0)}
+    assert got == [(v, 3.0 if v == "rs7_1" else None, None, "true", f"S{i}", d, i not in (3, 4)) for v, ds in dosages.items() for i, d in enumerate(ds)]
+    plain = variants.read_vcf(spark, str(tmp_path / "a.vcf")).genotypes
+    assert sorted(map(tuple, plain.select("variant_id", "sample_id", "dosage", "valid").collect())) == sorted(map(tuple, df.select("variant_id", "sample_id", "dosage", "valid").collect()))
+    for bad in ("samples => ''", "samples => 'S0', info => 'CADD date'", "samples => string(rand())"):
+        with pytest.raises(Exception, match="vcf_calls|samples|INFO|constant"):
+            run(bad).collect()
+    with pytest.raises(Exception, match="column named value"):
+        spark.sql("SELECT * FROM vcf_calls(TABLE(SELECT 1 AS other), samples => 'S0')").collect()

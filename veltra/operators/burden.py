@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import d, pipeline_weight
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, cut, few
 from .order import average_ranks, percentiles
 
 BROADCAST_ROWS = 1_000_000
@@ -32,22 +32,18 @@ def known_membership(membership: DataFrame, genes: DataFrame, min_genes: int = 2
     return known.join(sizes, "pathway")
 
 
-def on_all_samples(sums: DataFrame, samples: DataFrame, pathways: list[str], value: str) -> DataFrame:
-    """One row for each sample and pathway, null where sums has none. pathways: names from the gene sets, a short list."""
-    axis = samples.select("sample_id").distinct()
-    grid = axis.withColumn("pathway", F.explode(F.array(*map(F.lit, pathways)))) if pathways else axis.withColumn("pathway", F.lit("")).limit(0)
+def on_all_samples(sums: DataFrame, samples: DataFrame, pathways: DataFrame, value: str) -> DataFrame:
+    """One row for each sample and pathway, null where sums has none. The names go to the samples as one row."""
+    names = pathways.select("pathway").distinct().agg(F.collect_list("pathway").alias("__names"))
+    axis = samples.select("sample_id").distinct().join(F.broadcast(names))
+    grid = axis.select("sample_id", F.explode("__names").alias("pathway"))
     return grid.join(sums.select("sample_id", "pathway", value), ["sample_id", "pathway"], "left")
 
 
-def pathway_names(known: DataFrame) -> list[str]:
-    return sorted(r["pathway"] for r in known.select("pathway").distinct().collect())
-
-
 def pathway_scores(burden: DataFrame, membership: DataFrame, samples: DataFrame, method: str = "mean", min_genes: int = 2) -> DataFrame:
     """Scores of all samples: mean, size_normalized (mean over the root of the number of genes) or median of the burdens.
     burden is read twice: materialise it first."""
     known = cut(known_membership(membership, burden, min_genes))  # read three times
-    names = pathway_names(known)
     members = broadcast_if_small(known, BROADCAST_ROWS)
     joined = burden.join(members, "gene")
     if method == "median":
@@ -61,7 +57,7 @@ def pathway_scores(burden: DataFrame, membership: DataFrame, samples: DataFrame,
         size = F.col("n") if method == "mean" else F.col("n") * F.sqrt(F.col("n").cast("double"))
         sums = joined.groupBy("sample_id", "pathway", "n").agg(F.sum("burden").alias("s"))
         sums = sums.select("sample_id", "pathway", (F.col("s") / size).alias("score"))
-    out = on_all_samples(sums, samples, names, "score")
+    out = on_all_samples(sums, samples, known, "score")
     return out.select("sample_id", "pathway", F.coalesce("score", d(0)).alias("score"))
 
 
@@ -74,13 +70,12 @@ def column_stats(scores: DataFrame) -> DataFrame:
 
 def with_stats(scores: DataFrame, stats: DataFrame, on: str | list[str] = "pathway") -> DataFrame:
     """Join summary rows back: one a pathway, or a pathway and group, broadcast after a check of their number."""
-    return scores.join(broadcast_if_small(cut(stats), BROADCAST_ROWS), on)
+    return scores.join(few(stats, BROADCAST_ROWS), on)
 
 
 def drop_constant(scores: DataFrame) -> DataFrame:
     stats = column_stats(scores)
-    spread = cut(stats.where("sd > 0").select("pathway"))
-    return scores.join(broadcast_if_small(spread, BROADCAST_ROWS), "pathway", "left_semi")
+    return scores.join(few(stats.where("sd > 0").select("pathway"), BROADCAST_ROWS), "pathway", "left_semi")
 
 
 def zscores(scores: DataFrame) -> DataFrame:

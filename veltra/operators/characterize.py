@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf
 from ..functions.weights import d
+from ..session import few
 from .inference import benjamini_hochberg, kruskal_wallis, one_against_rest
 
 
@@ -21,7 +22,7 @@ def enrichment(labelled: DataFrame, alpha: float = 0.05) -> DataFrame:
     h = kruskal_wallis(labelled).withColumn("p", F.when(F.col("df") >= 1, chi2_sf(F.col("h"), F.col("df").cast("double"))))
     p = F.coalesce(F.when(~F.isnan("p"), F.col("p")), d(1))
     q = benjamini_hochberg(h.select("pathway", p.alias("p")))
-    out = enrichment_order(one_against_rest(labelled)).join(F.broadcast(q), "pathway", "left").na.fill(1.0, ["p", "q"])
+    out = enrichment_order(one_against_rest(labelled)).join(few(q), "pathway", "left").na.fill(1.0, ["p", "q"])
     return out.withColumn("significant", F.col("q") < alpha)
 
 
@@ -50,7 +51,8 @@ def gene_contributions(burden: DataFrame, groups: DataFrame, top_n: int = 20) ->
 
 def heatmap(labelled: DataFrame) -> DataFrame:
     """Mean scores, a row for each group and a column for each pathway."""
-    return labelled.groupBy("grp").pivot("pathway").agg(F.avg("score"))
+    names = sorted(r["pathway"] for r in labelled.select("pathway").distinct().collect())  # the columns; given, they have no limit
+    return labelled.groupBy("grp").pivot("pathway", names).agg(F.avg("score"))
 
 
 def top_variance(scores: DataFrame, n: int = 10) -> DataFrame:

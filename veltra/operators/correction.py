@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import d
+from ..session import few
 from .inference import anova
 
 
 def _stats(batched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows by pathway (grand, total_sd) and by pathway and batch (n, mean, sd): few, so they are broadcast back."""
+    """Rows by pathway (grand, total_sd) and by pathway and batch (n, mean, sd): summaries that are joined back."""
     whole = batched.groupBy("pathway").agg(F.avg("score").alias("grand"), F.stddev_samp("score").alias("total_sd"))
     parts = batched.groupBy("pathway", "batch").agg(
         F.count("score").alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd")
@@ -19,7 +20,7 @@ def _stats(batched: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _joined(batched: DataFrame, parts: DataFrame) -> DataFrame:
-    return batched.join(F.broadcast(parts), ["pathway", "batch"])
+    return batched.join(few(parts), ["pathway", "batch"])
 
 
 def _out(df: DataFrame, score) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.weights import d
+from ..session import few
 from .order import average_ranks
 
 
@@ -46,7 +47,7 @@ def members_of(expression: DataFrame, membership: DataFrame, min_genes: int) ->
     genes = expression.select("gene").distinct()
     known = membership.join(genes, "gene").select("pathway", "gene").distinct()
     sizes = known.groupBy("pathway").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_genes)
-    return F.broadcast(known.join(sizes, "pathway"))
+    return few(known.join(sizes, "pathway"))
 
 
 def mean_z(expression: DataFrame, membership: DataFrame, min_genes: int = 2) -> DataFrame:

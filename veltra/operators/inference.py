@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.weights import d
+from ..session import few
 from .order import average_ranks
 
 
@@ -60,7 +61,7 @@ def one_against_rest(labelled: DataFrame) -> DataFrame:
     total = labelled.groupBy("pathway").agg(
         F.count("score").alias("tn"), F.avg("score").alias("tmean"), F.var_samp("score").alias("tvar")
     )
-    j = sums.join(F.broadcast(total), "pathway")
+    j = sums.join(few(total), "pathway")
     n, m, v, tn, tm, tv = (F.col(c) for c in ("n", "mean", "var", "tn", "tmean", "tvar"))
     rn = tn - n
     rm = F.try_divide(tn * tm - n * m, rn)
@@ -74,7 +75,7 @@ def one_against_rest(labelled: DataFrame) -> DataFrame:
 def kruskal_wallis(labelled: DataFrame) -> DataFrame:
     """pathway, h, df: tie-corrected; groups under two samples are left out. h is null where all values are equal."""
     big = labelled.groupBy("pathway", "grp").agg(F.count(F.lit(1)).alias("ng")).where("ng >= 2")
-    ranked = average_ranks(labelled.join(F.broadcast(big.select("pathway", "grp")), ["pathway", "grp"], "left_semi"), ["pathway"], "score")
+    ranked = average_ranks(labelled.join(few(big.select("pathway", "grp")), ["pathway", "grp"], "left_semi"), ["pathway"], "score")
     by_group = ranked.groupBy("pathway", "grp").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("ng"))
     sums = by_group.groupBy("pathway").agg(
         F.sum(F.col("r") * F.col("r") / F.col("ng")).alias("q"), F.sum("ng").cast("double").alias("n"), F.count(F.lit(1)).alias("k")
@@ -115,7 +116,7 @@ def regress_out_one(scores: DataFrame, covariate: DataFrame) -> DataFrame:
         F.regr_slope("score", "x").alias("slope"), F.regr_intercept("score", "x").alias("icept"), F.regr_r2("score", "x").alias("r2")
     )
     residual = F.col("score") - F.col("icept") - F.col("slope") * F.col("x")
-    left = joined.join(F.broadcast(fit), "pathway").withColumn("res", residual)
+    left = joined.join(few(fit), "pathway").withColumn("res", residual)
     stats = left.groupBy("pathway").agg(F.avg("res").alias("mu"), F.stddev_samp("res").alias("sd"))
     z = (F.col("res") - F.col("mu")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(d(1))
-    return left.join(F.broadcast(stats), "pathway").select("sample_id", "pathway", z.alias("score"), F.greatest(F.col("r2"), d(0)).alias("r2"))
+    return left.join(few(stats), "pathway").select("sample_id", "pathway", z.alias("score"), F.greatest(F.col("r2"), d(0)).alias("r2"))

@@ -75,8 +75,8 @@ def run(spark: SparkSession, config: RunConfig, write: bool = True) -> RunResult
         scores = B.zscores(B.pathway_scores(burden, membership, samples))
     scores = cut(scores)
     n = samples.count()
-    names = B.pathway_names(scores)
-    if len(names) < 2:
+    n_pathways = scores.select("pathway").distinct().count()
+    if n_pathways < 2:
         raise ValueError("fewer than two pathways have scores that differ")
     low, high = config.n_clusters_range
     if n < 2 * (config.n_clusters or high):
@@ -111,7 +111,7 @@ def run(spark: SparkSession, config: RunConfig, write: bool = True) -> RunResult
     k = clusters.select("cluster").distinct().count()
     null_ari, stability, calibration = 0.15, 0.8, {}
     if config.validation_calibrate and config.validation_run_gates:
-        found = CL.calibrate(spark, n, k, config.validation_alpha, d=len(names)).first()
+        found = CL.calibrate(spark, n, k, config.validation_alpha, d=n_pathways).first()
         null_ari, stability = found["null_ari"], found["stability"]
         calibration = {"null_ari": round(null_ari, 4), "stability": round(stability, 4)}
     null_ari = config.validation_null_ari_max if config.validation_null_ari_max is not None else null_ari
@@ -119,14 +119,14 @@ def run(spark: SparkSession, config: RunConfig, write: bool = True) -> RunResult
     gate_rows, gates_left_out = None, None
     if config.validation_run_gates and burden is None:
         gates_left_out = "gates need burdens, which an expression matrix doesn't have"
-    elif config.validation_run_gates and n * len(names) > CL.MAX_CELLS:
-        gates_left_out = f"{n} samples by {len(names)} pathways are too many for the fits of the gates"
+    elif config.validation_run_gates and n * n_pathways > CL.MAX_CELLS:
+        gates_left_out = f"{n} samples by {n_pathways} pathways are too many for the fits of the gates"
     elif config.validation_run_gates:
         gate_rows = CL.gates(scores, clusters, burden, membership, k, config.validation_n_permutations, config.validation_n_bootstrap, null_ari, stability, seed, pcs)
     enriched = CH.enrichment(labelled)
     genes = None if burden is None else CH.gene_contributions(burden, clusters.select("sample_id", F.col("cluster").cast("string").alias("grp")))
     report = {
-        "pipeline_name": config.name, "input_type": config.input_type, "seed": config.seed, "n_samples": n, "n_pathways": len(names), "n_clusters": k,
+        "pipeline_name": config.name, "input_type": config.input_type, "seed": config.seed, "n_samples": n, "n_pathways": n_pathways, "n_clusters": k,
         "data_quality": quality, "ancestry": ancestry, "calibration": calibration, "ground_truth": truth,
         "clusters": [r.asDict() for r in assignments.groupBy("cluster_id", "cluster_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence")).orderBy("cluster_id").collect()],
         "validation_gates": [] if gate_rows is None else [r.asDict() for r in gate_rows.collect()],
@@ -190,7 +190,7 @@ def chi2_threshold(p: float) -> float:
 def write_outputs(spark: SparkSession, config: RunConfig, result: RunResult, started: float) -> None:
     """CSV tables, report.json, report.md and metadata.json in the output folder, through Spark's file systems."""
     out = config.output_dir
-    csv = lambda df, name: df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/{name}.csv")
+    csv = lambda df, name: df.write.mode("overwrite").option("header", True).csv(f"{out}/{name}.csv")
     tables.write_wide(result.scores, f"{out}/pathway_scores.csv")
     csv(result.assignments, "subtype_assignments")
     csv(result.enrichment, "pathway_enrichment")
@@ -212,12 +212,22 @@ def text(spark: SparkSession, path: str, content: str) -> None:
     stream.close()
 
 
+def validation_text(gates: list[dict[str, Any]], left_out: str | None = None) -> str:
+    """The gates of a run (name, metric, threshold, passed) as a Markdown table, with what they say together."""
+    if not gates:
+        return "No gate was run" + (f": {left_out}." if left_out else ".")
+    figure = lambda x: "-" if x is None else f"{x:.4f}"
+    lines = ["| gate | value | threshold | passed |", "|-|-|-|-|"]
+    lines += [f"| {g['name']} | {figure(g['metric'])} | {figure(g['threshold'])} | {'yes' if g['passed'] else 'no'} |" for g in gates]
+    failed = [g["name"] for g in gates if not g["passed"]]
+    said = f"Not passed: {', '.join(failed)}. The subtypes should not be relied on." if failed else f"All {len(gates)} gates passed."
+    return "\n".join([*lines, "", said])
+
+
 def markdown(report: dict[str, Any]) -> str:
     lines = [f"# {report['pipeline_name']}", "", f"{report['n_samples']} samples, {report['n_pathways']} pathways, {report['n_clusters']} clusters.", "", "| cluster | label | samples | confidence |", "|-|-|-|-|"]
     lines += [f"| {c['cluster_id']} | {c['cluster_label']} | {c['n']} | {c['mean_confidence']} |" for c in report["clusters"]]
-    if report["validation_gates"]:
-        lines += ["", "| gate | value | threshold | passed |", "|-|-|-|-|"]
-        lines += [f"| {g['name']} | {g['metric']:.4f} | {g['threshold']:.4f} | {g['passed']} |" for g in report["validation_gates"]]
+    lines += ["", "## Validation", "", validation_text(report["validation_gates"], report.get("validation_gates_left_out"))]
     if report["ground_truth"]:
         lines += ["", f"Agreement with the planted subtypes: {report['ground_truth']['adjusted_rand_index']}."]
     return "\n".join([*lines, "", report["disclaimer"], ""])

@@ -96,6 +96,22 @@ def vcf_sample_subset(spark, sf):
     return read.genotypes.select("variant_id", "sample_id", "dosage")
 
 
+@query(
+    "vcf_calls_sql",
+    f"""WITH {SITES}{CALLS} SELECT variant_id, gene, cadd, 'S' || i AS sample_id, dosage FROM (SELECT c.*, CASE WHEN valid THEN (x = c.a)::INT + (y = c.a)::INT ELSE 0 END AS dosage, CASE WHEN z % 7 = 0 THEN NULL ELSE b END AS gene, (z + c.a - 1)::DOUBLE AS cadd
+ FROM calls c JOIN (SELECT variant_id, z, b FROM named) USING (variant_id)) WHERE dosage > 0""",
+)
+def vcf_calls_sql(spark, sf):
+    """The lines through the table function, in SQL: its columns follow from the INFO keys that are asked for."""
+    from ..functions.table_functions import register_table_functions
+
+    register_table_functions(spark)
+    names = ",".join(f"S{i}" for i in range(N_SAMPLES))
+    return spark.sql(
+        f"SELECT variant_id, gene, cadd, sample_id, dosage FROM vcf_calls(TABLE({{lines}}), samples => '{names}', info => 'GENE, CADD double') WHERE dosage > 0", lines=spark.read.text(vcf_file(spark, sf))
+    )
+
+
 def vcf_block_folder(spark: SparkSession, sf: str) -> str:
     """The lines of vcf_file in several block-gzip files, in order of chromosome and position inside each."""
     body = spark.read.text(vcf_file(spark, sf)).where("not startswith(value, '#')")

@@ -74,6 +74,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Summary rows (one a pathway, gene or batch) to be joined back: computed once, and broadcast only after a check of
+    their number."""
+    return broadcast_if_small(cut(df), max_rows)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint, only if the (already materialised) side has at most max_rows rows; else a shuffle join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -106,4 +106,5 @@ def read_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 
 def write_wide(scores: DataFrame, path: str) -> None:
     """A row for each sample, a column for each pathway."""
-    scores.groupBy("sample_id").pivot("pathway").agg(F.first("score")).write.mode("overwrite").option("header", True).csv(path)
+    names = sorted(r["pathway"] for r in scores.select("pathway").distinct().collect())  # the header; given, it has no limit
+    scores.groupBy("sample_id").pivot("pathway", names).agg(F.first("score")).write.mode("overwrite").option("header", True).csv(path)

@@ -12,7 +12,9 @@ lists of usual names and a seed; their number is a parameter. No page of a query
 
 from __future__ import annotations
 
+import hashlib
 import html
+import json
 import math
 import random
 import re
@@ -27,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .numeric import minimise
-from .shared import table
+from .shared import shared_dir, table
 
 # HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What they hold is no text of the page: scripts, styles, form controls, another document, names of drawings.
-RAW = frozenset("script style template textarea title iframe select datalist desc metadata annotation annotation-xml".split())
+RAW = frozenset("script noscript style template textarea title iframe select datalist desc metadata annotation annotation-xml".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote button center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr label legend li main menu nav ol option p pre search section summary "
@@ -412,7 +414,7 @@ PARTS = {
 GOOD = "content article post entry story text body main page copy detail news blog single hentry prose".split()
 
 
-def labelled_pages(n: int = 1000, seed: int = 7) -> list[tuple[str, list[bool]]]:
+def labelled_pages(n: int = 1500, seed: int = 7) -> list[tuple[str, list[bool]]]:
     """n pages of random layouts and the labels of their runs in page order."""
     rng = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbgk"
@@ -426,12 +428,19 @@ def labelled_pages(n: int = 1000, seed: int = 7) -> list[tuple[str, list[bool]]]
     def prose(a: int, b: int) -> str:
         return " ".join(words(1, 18).capitalize() + rng.choice(". . . ! ?".split()) for _ in range(rng.randint(a, b)))
 
+    def odd() -> str:
+        """Text as few people write it: no stop in a hundred words, one behind each, bars between words, a word repeated."""
+        some = [word() for _ in range(rng.choice([2, 6, 15, 40, 120]))]
+        some = rng.choice([some, [rng.choice(some)] * len(some), [x.upper() + rng.choice(["!!", ".", ","]) for x in some], [x for y in some for x in (y, "|")]])
+        return " ".join(some)
+
     def names(part: str, p: float = 0.85) -> str:
         chosen = rng.choice(PARTS[part].split())
         if rng.random() > p:
             return ""
-        style = rng.choice(["{}", "{}", "{}-{}", "{}_{}", "site-{}", "{} {}"])
-        return f' {rng.choice(["class", "class", "id"])}="{style.format(chosen, word())}"'
+        style = rng.choice(["{}", "{}", "{}-{}", "{}_{}", "site-{}", "{} {}", "{}-{}", "{1}-{0}"])
+        beside = rng.choice(GOOD) if rng.random() < 0.4 else word()  # main-menu, page-footer: the part is what counts
+        return f' {rng.choice(["class", "class", "id"])}="{style.format(chosen, beside)}"'
 
     def good(p: float = 0.7) -> str:
         return f' {rng.choice(["class", "id"])}="{rng.choice(GOOD)}"' if rng.random() < p else ""
@@ -456,6 +465,17 @@ def labelled_pages(n: int = 1000, seed: int = 7) -> list[tuple[str, list[bool]]]
                 block("li", "", f'<a href="/{word()}">{words(1, 4)}</a>', False)
             out.append("</ul>")  # noqa: B023
 
+        def reading_list() -> None:
+            """Links that belong to the article: a plain list in it, under a heading or not."""
+            if rng.random() < 0.5:
+                block(rng.choice(["h2", "h3", "p"]), "", words(1, 3).capitalize(), True)
+            list_tag = rng.choice(["ul", "ul", "ol"])
+            out.append(f"<{list_tag}>")  # noqa: B023
+            for _ in range(rng.randint(1, 5)):
+                link = f'<a href="/{word()}">{words(1, 6)}</a>'
+                block("li", "", link if rng.random() < 0.8 else f"{link}, {words(1, 5)}", True)
+            out.append(f"</{list_tag}>")  # noqa: B023
+
         def boilerplate(part: str) -> None:
             tag = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form"}.get(part, "div")
             if rng.random() < 0.3:
@@ -513,7 +533,7 @@ def labelled_pages(n: int = 1000, seed: int = 7) -> list[tuple[str, list[bool]]]
         if rng.random() < 0.7:
             headed = rng.random() < 0.2
             out.append("<header>" * headed)
-            block(rng.choice(["h1", "h1", "h2"]), "", words(1, 12).capitalize() + rng.choice(["", "", "."]), True)
+            block(rng.choice(["h1", "h1", "h2"]), "", odd() if rng.random() < 0.2 else words(1, 12).capitalize() + rng.choice(["", "", "."]), True)
             if headed and rng.random() < 0.7:
                 block(rng.choice(["p", "div"]), names("share"), words(2, 5).capitalize(), False)
             out.append("</header>" * headed)
@@ -534,22 +554,33 @@ def labelled_pages(n: int = 1000, seed: int = 7) -> list[tuple[str, list[bool]]]
                 text = prose(1, rng.choice([1, 2, 3, 5, 8])) if rng.random() < 0.8 else words(1, 10).capitalize() + "."
                 if rng.random() < 0.25:
                     text = f'{words(2, 9)} <a href="{word()}">{words(1, 3)}</a> {text}'
-                block("p", "", text, True)
-            elif r < 0.86:
+                block("p", "", odd() if rng.random() < 0.08 else text, True)
+            elif r < 0.85:
                 block(rng.choice(["h2", "h3"]), "", words(1, 8).capitalize(), True)
             elif r < 0.91:
-                out.append("<ul>")
-                for _ in range(rng.randint(2, 5)):
-                    block("li", "", words(2, 14) + rng.choice(["", "."]), True)
-                out.append("</ul>")
+                list_tag = rng.choice(["ul", "ul", "ol"])
+                out.append(f"<{list_tag}>")
+                longest = rng.choice([4, 14])
+                for _ in range(rng.randint(2, 7)):
+                    block("li", "", words(1, longest) + rng.choice(["", "."]), True)
+                out.append(f"</{list_tag}>")
+            elif r < 0.94:
+                reading_list()
             elif r < 0.95:
-                block("blockquote", "", prose(1, 3), True)
+                out.append("<details>")
+                block("summary", "", words(1, 9).capitalize(), True)
+                block("p", "", prose(1, 3), True)
+                out.append("</details>")
             elif r < 0.97:
+                block("blockquote", "", prose(1, 3), True)
+            elif r < 0.98:
                 out.append("<figure><img src=a>")
                 block("figcaption", "", words(2, 12), True)
                 out.append("</figure>")
             else:
                 block("pre", "", words(3, 20), True)
+        if rng.random() < 0.15:
+            reading_list()
         if k in spots:
             boilerplate(spots[k])
         out.append(f"</{tag}>")
@@ -565,10 +596,26 @@ def labelled_pages(n: int = 1000, seed: int = 7) -> list[tuple[str, list[bool]]]
 
 
 @lru_cache(maxsize=4)
-def default_model(n_pages: int = 1000, seed: int = 7) -> TreeModel:
+def default_model(n_pages: int = 1500, seed: int = 7) -> TreeModel:
     return train(labelled_pages(n_pages, seed))
 
 
+def stored_model(spark: SparkSession, n_pages: int = 1500, seed: int = 7) -> TreeModel:
+    """default_model, fitted once for a shared folder: kept there as one line of JSON, under a digest of this module and of
+    the parameters, so that another generator or other features get another model."""
+    with open(__file__, "rb") as f:
+        digest = hashlib.sha256(f.read() + f"{n_pages} {seed}".encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/html-model-{digest}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        weights, edges = json.loads(spark.read.text(path).first()["value"])
+        return TreeModel(weights, tuple(tuple(map(tuple, e)) for e in edges))
+    model = default_model(n_pages, seed)
+    line = json.dumps([model.weights, model.edges])
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return model
+
+
 def extract_pages(pages: DataFrame, model: TreeModel, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """pages without html_col, and two more columns: the text and n_chars, its code points.
 
@@ -591,7 +638,7 @@ def extract_pages(pages: DataFrame, model: TreeModel, html_col: str = "html", ou
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), default_model())
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), stored_model(spark))
 
 
 QUERIES = {"op2_html_extract": op2_html_extract}

@@ -58,7 +58,8 @@ class WordEncoder:
         self.young: dict[str, bytes] = {}
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.plain = self._plain() or self.tokenizer
+        self.whole = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        self.bare = self._bare()
 
     def _refuse_if_unfit(self, path: str) -> None:
         """An error for a tokenizer that keeps white space in its ids, or whose pieces cross it."""
@@ -67,27 +68,33 @@ class WordEncoder:
             if ids(text) != [i for word in text.split() for i in ids(word)]:
                 raise ValueError(f"{path} does not drop white space: texts can't be encoded word by word")
 
-    def _plain(self):
-        """The same model without normalizer and pattern, for words that either leaves as they are: lower-case letters of
+    def _bare(self) -> tuple | None:
+        """What takes the place of normalizer and pattern for words that either leaves as they are: lower-case letters of
         Latin-1, or a tail. None if the tokenizer isn't of the kind that cuts runs of letters and of other marks."""
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import normalizers, pre_tokenizers
 
         rules = json.loads(self.tokenizer.to_str())
         steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
-        if [x["type"] for x in steps] != ["Split", "ByteLevel"] or not steps[0]["pattern"].get("Regex", "").endswith(RUNS):
+        if [x["type"] for x in steps] != ["Split", "ByteLevel"] or not steps[0]["pattern"].get("Regex", "").endswith(RUNS) or None in self.whole:
             return None
-        plain = Tokenizer.from_str(self.tokenizer.to_str())
-        plain.normalizer = normalizers.Sequence([])
-        plain.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
-        return plain
-
-    def _encoded(self, tokenizer, words: list[str]) -> dict[str, bytes]:
-        """The ids of distinct words, many at a time; words that would be taken for a separator, or hold one, by themselves."""
-        ids = lambda x: tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids
+        cut = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        return normalizers.Sequence([]), pre_tokenizers.Sequence(cut)
+
+    def _encoded(self, bare: bool, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words, many at a time; words that would be taken for a separator, or hold one, by themselves.
+        bare: without normalizer and pattern; one tokenizer does both, since its vocabulary is what takes memory."""
+        if bare:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.bare
+        try:
+            return self._ids_of(bare, words)
+        finally:
+            if bare:
+                self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.whole
+
+    def _ids_of(self, bare: bool, words: list[str]) -> dict[str, bytes]:
+        ids = lambda x: self.tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids
         found = {}
-        if tokenizer is self.tokenizer:
+        if not bare:
             odd = [w for w in words if self.mark is None or "\x01" in w or "<|" in w or not w]
             found = {w: np.array(ids(w), self.dtype).tobytes() for w in odd}
             words = [w for w in words if w not in found] if odd else words
@@ -104,12 +111,12 @@ class WordEncoder:
                 start = end + size
         return found
 
-    def _lookup(self, tokenizer, words: list[str]) -> list[bytes]:
+    def _lookup(self, bare: bool, words: list[str]) -> list[bytes]:
         values = list(map(self.young.get, words))
         absent = [i for i, v in enumerate(values) if v is None]
         if absent:
             known = list(map(self.old.get, [words[i] for i in absent]))
-            found = self._encoded(tokenizer, [words[i] for i, v in zip(absent, known, strict=True) if v is None])
+            found = self._encoded(bare, [words[i] for i, v in zip(absent, known, strict=True) if v is None])
             for i, v in zip(absent, known, strict=True):
                 w = words[i]
                 values[i] = v = found[w] if v is None else v
@@ -127,7 +134,7 @@ class WordEncoder:
         """
         values, units = [b""], np.zeros((len(words), 2), np.int64)
         simple = np.zeros(len(words), bool)
-        if self.plain is not self.tokenizer:
+        if self.bare:
             stems = pc.utf8_rtrim(words, characters=TAILS)
             lows, lengths = pc.utf8_lower(stems), np.asarray(pc.binary_length(words))
             tail = lengths - np.asarray(pc.binary_length(stems))
@@ -136,7 +143,7 @@ class WordEncoder:
             simple = np.asarray(pc.utf8_is_alpha(lows)) & (beyond[starts + lengths] == beyond[starts]) & (tail <= 8)
             own = lows.filter(pa.array(simple)).dictionary_encode()
             units[simple, 0] = np.asarray(own.indices) + len(values)
-            values += self._lookup(self.plain, own.dictionary.to_pylist())
+            values += self._lookup(True, own.dictionary.to_pylist())
             code, ends = np.zeros(len(words), np.uint64), starts + lengths
             for k in range(8):
                 here = np.flatnonzero(simple & (tail > k))
@@ -144,9 +151,9 @@ class WordEncoder:
             kinds, which = np.unique(code, return_inverse=True)
             tails = [int(x).to_bytes(8, "big").lstrip(b"\0").decode() for x in kinds]
             units[simple, 1] = (which + len(values))[simple]
-            values += [self._lookup(self.plain, [x])[0] if x else b"" for x in tails]
+            values += [self._lookup(True, [x])[0] if x else b"" for x in tails]
         units[~simple, 0] = np.arange(len(values), len(values) + int((~simple).sum()))
-        values += self._lookup(self.tokenizer, words.filter(pa.array(~simple)).to_pylist())
+        values += self._lookup(False, words.filter(pa.array(~simple)).to_pylist())
         ids = np.frombuffer(b"".join(values), self.dtype)
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // ids.itemsize
         return laid_out(ids, sizes, units.ravel()), sizes[units].sum(axis=1)

@@ -70,14 +70,14 @@ def permuted(labels: DataFrame, n_permutations: int, seed: int = 42) -> DataFram
 
 
 _SUMS = pa.schema([("pblock", pa.int64()), ("it", pa.int32()), ("g", pa.int32()), *((c, pa.list_(pa.float64())) for c in ("n", "s", "ss"))])
-_BLOCK = "pblock long, part int, sblock long, i long, g int, places array<int>, xs array<double>, drawn array<long>"
 
 #: (numbers of a block of samples, groups of them, what the block was told) -> iterations by samples for each group.
 Weights = Callable[[np.ndarray, np.ndarray, list], Iterator[np.ndarray]]
 
 
 def _products(weights: Weights, n_groups: int, iterations: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of _BLOCK sorted by pblock, part and sblock -> sums of all that a task has of a block of pathways."""
+    """(pblock, part, sblock, i, g, places, xs, drawn) in that order -> sums of all that a task has of a block of pathways.
+    A row is a sample's scores of a block of pathways, or what is told of a block of samples."""
 
     def add(sums: np.ndarray, rows: list[tuple]) -> None:
         told = [r for r in rows if r[3] is not None]
@@ -138,8 +138,8 @@ def _resampled(scores: DataFrame, labels: DataFrame, told: DataFrame | None, wei
     sblock = F.floor(F.col("i") / SAMPLES)
     vectors = vectors.select("pblock", sblock.alias("sblock"), "i", "g", F.col("v.at").alias("places"), F.col("v.x").alias("xs"), F.lit(None).cast("array<long>").alias("drawn"))
     if told is not None:
-        blocks = axis.select(block).distinct()
-        head = told.join(F.broadcast(blocks)).select("pblock", "sblock", F.lit(-1).cast("long").alias("i"), F.lit(-1).alias("g"), *[F.lit(None).cast(t).alias(c) for c, t in (("places", "array<int>"), ("xs", "array<double>"))], "drawn")
+        last = max(0, axis.count() - 1) // PATHWAYS
+        head = told.withColumn("pblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).select("pblock", "sblock", F.lit(-1).cast("long").alias("i"), F.lit(-1).alias("g"), *[F.lit(None).cast(t).alias(c) for c, t in (("places", "array<int>"), ("xs", "array<double>"))], "drawn")
         vectors = vectors.unionByName(head)
     vectors = vectors.withColumn("part", F.pmod(F.xxhash64("sblock"), F.lit(PARTS)).cast("int")).select("pblock", "part", "sblock", "i", "g", "places", "xs", "drawn")
     tasks = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -34,7 +34,7 @@ from .shared import shared_dir, table
 # HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What they hold is no text of the page: scripts, styles, form controls, another document, names of drawings.
-RAW = frozenset("script noscript style template textarea title iframe select datalist desc metadata annotation annotation-xml".split())
+RAW = frozenset("script style template textarea title iframe select datalist desc metadata annotation annotation-xml".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote button center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr label legend li main menu nav ol option p pre search section summary "
@@ -123,9 +123,10 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, dict[str, str], bool]
         at = page.find("<", found[1] if sent is None else sent)
 
 
-def parse(page: str) -> list[Node]:
+def parse(page: str, scripting: bool = False) -> list[Node]:
     """Nodes in page order; the first is the root, a parent stands before its children. What an element with the attribute
-    hidden, or with a style that hides it, holds is not on the page. The work is linear in the page's length."""
+    hidden, or with a style that hides it, holds is not on the page; nor, with scripting, as in a browser, what noscript
+    holds. The work is linear in the page's length."""
     nodes = [Node(-1, "#root")]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, with the node that their text belongs under
     open_at: dict[str, list[int]] = {}  # for each tag the depths at which it is open
@@ -185,7 +186,7 @@ def parse(page: str) -> list[Node]:
             elif depth and (tag in ROWS or depth >= nearest(CELLS)):
                 pop_to(depth)
             continue
-        if tag in RAW:
+        if tag in RAW or (scripting and tag == "noscript"):
             if not alone:
                 close = raw_end(tag).search(page, end)
                 done = go_on = (page.find(">", close.end()) + 1 if close else 0) or len(page)
@@ -316,7 +317,7 @@ class TreeModel:
 def extract(page: str | None, model: TreeModel) -> str:
     if not page:
         return ""
-    nodes = parse(page)
+    nodes = parse(page, scripting=True)
     kept = (x.text for x, p in zip(nodes, model.marginals(nodes), strict=True) if x.is_text and p >= 0.5)
     return "\n".join(t for t in kept if t)
 

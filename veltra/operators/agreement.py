@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import d
 from ..session import cut
-
+from . import mlkit as K
 
 
 def contingency(labels: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -78,23 +82,55 @@ def cluster_quality(points: DataFrame) -> DataFrame:
     return ch.select(value.alias("calinski_harabasz")).join(F.broadcast(db))
 
 
-def silhouette(points: DataFrame, block: int = 512) -> DataFrame:
-    """id, silhouette with plain distances: every point against all, in blocks of at most about ``block`` points of a label.
+def silhouette(points: DataFrame, block: int = 2048) -> DataFrame:
+    """id, silhouette with plain distances: every point against all. Null features have 0, and count for none.
 
-    A point and a block give one sum: not a row for each pair of points. The work grows with the square of the number of
-    points, as the measure's definition does.
+    About ``block`` points are a matrix, and four times as many one that they are compared with: a pair of such matrices
+    gives a sum for each point and label, not a row for each pair of points. The work grows with the square of the number
+    of points, as the measure's definition does; a task holds two matrices.
     """
-    points = cut(points.select("id", "label", "features"))
-    number = F.greatest(F.lit(1), F.ceil(F.lit(points.count()) / block)).cast("long")
-    blocks = points.groupBy(F.col("label").alias("l"), F.pmod(F.xxhash64("id"), number).alias("blk")).agg(F.collect_list("features").alias("members"))
-    far = F.aggregate("members", d(0), lambda s, m: s + F.sqrt(squared_distance(F.col("features"), m)))
-    sums = points.crossJoin(blocks).select("id", "label", "l", far.alias("s"), F.size("members").alias("n"))
-    by_label = sums.groupBy("id", "label", "l").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    own = F.max(F.when(F.col("l") == F.col("label"), F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise(d(-1))))
-    other = F.min(F.when(F.col("l") != F.col("label"), F.col("s") / F.col("n")))
+    spark, known = points.sparkSession, F.col("features").isNotNull()
+    points = cut(points.select("id", "label", F.col("features").cast("array<double>").alias("features")))
+    sizes = {r["label"]: r["n"] for r in points.where(known).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = sorted(sizes, key=lambda v: (v is None, v))
+    codes, n = spark.createDataFrame([(i, v) for i, v in enumerate(names)], f"code int, l {points.schema['label'].dataType.simpleString()}"), sum(sizes.values())
+    size, k, mean = np.array([sizes[v] for v in names], float), len(names), None
+    if n:
+        found = points.where(known).select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect()
+        mean = np.array([r["m"] for r in sorted(found, key=lambda r: r["i"])])
+    coded = points.where(known).join(F.broadcast(codes), F.col("label").eqNullSafe(F.col("l"))).select("id", "code", "features")
+
+    def packed(each: int, name: str) -> DataFrame:
+        number = max(1, -(-n // each))
+        rows = coded.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(number)))
+        return rows.groupBy("b").agg(F.collect_list(F.struct("id", "code", "features")).alias(name)).select(name)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one, other = (batch.column(c).slice(row, 1).flatten() for c in (0, 1))
+                x, of = (np.asarray(c.field("features").flatten(), float).reshape(len(c), -1) - mean for c in (one, other))
+                found = K.distance_sums(x, of, np.eye(k)[np.asarray(other.field("code"))])
+                lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, k, dtype=np.int32), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([one.field("id"), one.field("code"), lists], ["id", "code", "s"])
+
+    key = points.schema["id"].dataType.simpleString()
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "4")  # a row is two matrices
+    try:
+        tasks = 2 * spark.sparkContext.defaultParallelism
+        pairs = packed(block, "one").repartition(tasks).crossJoin(packed(4 * block, "other").coalesce(2))
+        parts = cut(pairs.mapInArrow(sums, f"id {key}, code int, s array<double>"))
+    finally:
+        conf.set(name, before)
+    total = F.element_at(F.array(*[F.lit(float(v)) for v in size]), F.col("l") + 1) if k else F.lit(None).cast("double")
+    by_label = parts.select("id", "code", F.posexplode("s").alias("l", "s")).groupBy("id", "code", "l").agg(F.sum("s").alias("s"))
+    own = F.max(F.when(F.col("l") == F.col("code"), F.when(total > 1, F.col("s") / (total - 1)).otherwise(d(-1))))
+    other = F.min(F.when(F.col("l") != F.col("code"), F.col("s") / total))
     ab = by_label.groupBy("id").agg(own.alias("a"), other.alias("b"))
     s = F.when(F.col("a") < 0, d(0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), d(0)))
-    return ab.select("id", s.alias("silhouette"))
+    return ab.select("id", s.alias("silhouette")).unionByName(points.where(~known).select("id", d(0).alias("silhouette")))
 
 
 def profiles(scores: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from collections.abc import Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,14 +53,43 @@ def genes_are_rows(first_column: list[str], header: list[str], n_rows: int) -> b
 
 
 def read_expression(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, gene, value) of a matrix in either orientation; what is no number counts as 0."""
-    wide = _csv(spark, path)
-    key, *names = wide.columns
-    labels = [str(r[0]) for r in wide.select(key).limit(100).collect()]
-    flip = genes_are_rows(labels, names, wide.count())
-    long = wide.unpivot([key], names, "name", "text")
-    sample, gene = ("name", key) if flip else (key, "name")
-    return long.select(F.col(sample).cast("string").alias("sample_id"), F.col(gene).cast("string").alias("gene"), safe_double(F.col("text")).alias("value"))
+    """(sample_id, gene, value) of a matrix in either orientation; what is no number counts as 0. A row of the file may
+    have any number of cells: a line becomes cells where it is read, and columns never are columns of a table."""
+    sep = "\t" if re.search(r"\.(tsv|txt)(\.gz)?$", path) else ","
+    lines = ordered_lines(spark, path).where(F.length(F.trim("value")) > 0)
+    head = spark.read.text(path).where(F.length(F.trim("value")) > 0).first()
+    if head is None:
+        raise TableError("no header")
+    names = _fields(head["value"], sep)[1:]
+    rows = behind(lines, F.col("value") == head["value"]).select("value")
+    labels = [r[0] for r in rows.mapInArrow(partial(_first_cells, sep=sep), "label string").limit(100).collect()]
+    flip = genes_are_rows([str(x) for x in labels], names, rows.count())
+    shared = spark.sparkContext.broadcast(names)  # the names of the other side
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(shared.value, pa.string())
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                key, *found = _fields(value, sep)
+                found = (found + [None] * len(names))[: len(names)]
+                for at in range(0, len(found), 10_000):
+                    part = pa.array(found[at : at + 10_000], pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([key or None] * len(part), pa.string()), names[at : at + 10_000], part], ["key", "name", "text"])
+
+    long = rows.mapInArrow(cells, "key string, name string, text string")
+    sample, gene = ("name", "key") if flip else ("key", "name")
+    return long.select(F.col(sample).alias("sample_id"), F.col(gene).alias("gene"), safe_double(F.col("text")).alias("value"))
+
+
+def _fields(line: str, sep: str) -> list[str]:
+    """The cells of a line; quotes as Spark's reader takes them."""
+    csv.field_size_limit(2**31 - 1)
+    return next(csv.reader([line], delimiter=sep, escapechar="\\", doublequote=False), [""])
+
+
+def _first_cells(batches: Iterator[pa.RecordBatch], sep: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([_fields(v, sep)[0] or None for v in batch.column(0).to_pylist()], pa.string())], ["label"])
 
 
 def read_components(spark: SparkSession, path: str) -> DataFrame:

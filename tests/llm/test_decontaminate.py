@@ -1,3 +1,4 @@
+import inspect
 import random
 import re
 from collections import Counter
@@ -178,3 +179,8 @@ def test_how_many_pairs_the_index_passes(spark):
             near += close
             assert found or not close
     assert 0.95 < passed / total < 0.99 and 0.4 < near / total < 0.5
+
+
+def test_all_windows_are_tried_unless_asked_otherwise():
+    for f in (decontaminate.found_pairs, decontaminate.decontaminate):
+        assert inspect.signature(f).parameters["tries"].default is None

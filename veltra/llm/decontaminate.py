@@ -25,8 +25,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A similarity of 0.8 differs in 13 bits on average, with a deviation of 3.2; blocks within 3 bits reach up to 31.
 RADIUS = 31
-#: Windows that are tried to an item's length between two places where it may start.
-TRIES = 64
 LANES = 0x0000000100000001
 BROADCAST_ROWS = 2_000_000
 
@@ -100,15 +98,16 @@ def found_pairs(
     item_text_col: str = "text",
     similarity: float = SIMILARITY,
     radius: int = RADIUS,
-    tries: int | None = TRIES,
+    tries: int | None = None,
 ) -> DataFrame:
     """(id, item_id, similarity, start, n_words) of each document and item that it holds: the best window, the first of
     equals; start counts words from 0.
 
     Null and empty texts, and items without words, match nothing. A document with fewer words than an item is one
     window. Rows that share an id (or have none) are reported together, but windows never mix their texts; repeated rows
-    are one. Texts and items may have any length: of items over ``tries`` shingles not every window between two alignments
-    is tried, but ``tries`` to an item's length; tries=None tries every window that shares a shingle with the item.
+    are one. Texts and items may have any length, and every window that shares a shingle with an item is tried. tries, a
+    number, is a faster way that may miss some: of items over ``tries`` shingles only ``tries`` windows to an item's length
+    are tried, and those between alignments more than half of it apart are not.
     Empty tables give an empty result. radius=64 verifies whatever shares a seed.
     """
     scored = scored_windows(docs, benchmark, id_col, text_col, item_col, item_text_col, similarity, radius, tries)
@@ -226,7 +225,7 @@ def decontaminate(
     item_text_col: str = "text",
     similarity: float = SIMILARITY,
     radius: int = RADIUS,
-    tries: int | None = TRIES,
+    tries: int | None = None,
 ) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item. Rows that share an id are judged each by its own text;
     rows without an id cannot be told apart later, so that all of them go if one holds an item."""

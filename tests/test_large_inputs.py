@@ -3,8 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from veltra.operators import agreement, mlkit
+from veltra.operators import agreement, clustering, mlkit
 from veltra.sources import tables
 from veltra.streaming import keyed
 
@@ -66,3 +67,17 @@ def test_a_batch_asks_for_one_state_a_sample():
         out = list(p.handleInputRows((1,), iter([part[:30], part[30:]]), None))
         assert out == [] if again else dict(zip(out[0]["gene"], out[0]["burden"], strict=True)) == {f"G{g}": 6.0 for g in range(5)}
     assert calls == ["get", "update", "get"]
+
+
+def test_components_of_more_samples_than_a_matrix_holds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    groups = rng.random((4, 300))
+    g = rng.binomial(2, groups[np.arange(80) % 4])
+    df = spark.createDataFrame([(f"v{j}", i, int(g[i, j])) for i in range(80) for j in range(300) if g[i, j]], "variant_id string, sample_id int, dosage int")
+    samples = spark.range(80).select(F.col("id").cast("int").alias("sample_id"))
+    key = lambda df: {(r.sample_id, r.pc): (r.value, r.ratio) for r in df.collect()}
+    whole = key(clustering.ancestry_components(df, samples, 3))
+    monkeypatch.setattr(clustering, "MAX_CELLS", 100)
+    found = key(clustering.ancestry_components(df, samples, 3))
+    assert found.keys() == whole.keys()
+    assert all(found[c] == pytest.approx(whole[c], abs=1e-3) for c in whole)

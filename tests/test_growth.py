@@ -32,3 +32,23 @@ def test_points_of_a_small_file_are_dealt_out(spark):
     scores = labelled(spark).drop("grp").coalesce(1)
     sizes = [r["count"] for r in clustering.wide(scores, ["p0", "p1", "p2"]).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 400 and max(sizes) < 200
+
+
+def test_enrichment_reads_the_scores_once(spark):
+    rows = labelled(spark)
+    watched, seen = counted(spark, rows)
+    found = {(r.pathway, r.grp): (r.effect_size, r.p) for r in characterize.enrichment(watched).collect()}
+    assert seen.value == 1200 and len(found) == 9
+
+
+def test_ranks_of_counted_scores(spark):
+    """Kruskal-Wallis from rows that stand for equal scores, against ranks of all rows; a group of one is left out."""
+    rows = labelled(spark).unionByName(spark.createDataFrame([(900, "lone", "p1", 0.3), (901, "g1", "p2", None)], "sample_id long, grp string, pathway string, score double"))
+    found = {r.pathway: (r.h, r.df) for r in inference.kruskal_wallis(rows).collect()}
+    table = rows.where("grp <> 'lone' and score is not null").toPandas()
+    for p, t in table.groupby("pathway"):
+        rank, n = t["score"].rank().to_numpy(), len(t)
+        q = sum(rank[(t["grp"] == g).to_numpy()].sum() ** 2 / (t["grp"] == g).sum() for g in set(t["grp"]))
+        ties = t["score"].value_counts().to_numpy().astype(float)
+        h = (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - (ties**3 - ties).sum() / (n**3 - n))
+        assert found[p] == (pytest.approx(h), 2), p

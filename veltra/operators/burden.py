@@ -20,9 +20,15 @@ BROADCAST_ROWS = 1_000_000
 def gene_burden(variants: DataFrame, genotypes: DataFrame, weight: Column | None = None) -> DataFrame:
     """Sum of dosage times weight for each sample and gene; rows without gene or dosage don't count."""
     w = pipeline_weight(F.col("consequence"), F.col("cadd")) if weight is None else weight
-    weighted = variants.where("gene is not null and gene != ''").select("variant_id", "gene", w.alias("weight"))
+    return gene_burdens(variants, genotypes, {"burden": w})
+
+
+def gene_burdens(variants: DataFrame, genotypes: DataFrame, weights: dict[str, Column]) -> DataFrame:
+    """gene_burden for several weights, a column for each."""
+    own = [w.alias(f"__{i}") for i, w in enumerate(weights.values())]
+    weighted = variants.where("gene is not null and gene != ''").select("variant_id", "gene", *own)
     carried = genotypes.where("dosage > 0").join(weighted, "variant_id")
-    return carried.groupBy("sample_id", "gene").agg(F.sum(F.col("dosage") * F.col("weight")).alias("burden"))
+    return carried.groupBy("sample_id", "gene").agg(*[F.sum(F.col("dosage") * F.col(f"__{i}")).alias(name) for i, name in enumerate(weights)])
 
 
 def known_membership(membership: DataFrame, genes: DataFrame, min_genes: int = 2) -> DataFrame:
@@ -43,24 +49,35 @@ def on_all_samples(sums: DataFrame, samples: DataFrame, pathways: DataFrame, val
 def pathway_scores(burden: DataFrame, membership: DataFrame, samples: DataFrame, method: str = "mean", min_genes: int = 2) -> DataFrame:
     """Scores of all samples: mean, size_normalized (mean over the root of the number of genes) or median of the burdens.
     burden is read twice: materialise it first."""
+    if method != "median":
+        return mean_scores(burden, membership, samples, ["burden"], method, min_genes).withColumnRenamed("burden", "score")
     known = cut(known_membership(membership, burden, min_genes))  # read three times
     members = broadcast_if_small(known, BROADCAST_ROWS)
     joined = burden.join(members, "gene")
-    if method == "median":
-        # Zeros that aren't stored come first: the median is at fixed places among the stored values.
-        stored = joined.groupBy("sample_id", "pathway", "n").agg(F.array_sort(F.collect_list("burden")).alias("v"))
-        at = lambda i: F.when(i < 0, d(0)).otherwise(F.get("v", i))
-        zeros = (F.col("n") - F.size("v")).cast("int")
-        low, high = ((F.col("n") - 1) / 2).cast("int"), (F.col("n") / 2).cast("int")
-        sums = stored.select("sample_id", "pathway", ((at(low - zeros) + at(high - zeros)) / 2).alias("score"))
-    else:
-        size = F.col("n") if method == "mean" else F.col("n") * F.sqrt(F.col("n").cast("double"))
-        sums = joined.groupBy("sample_id", "pathway", "n").agg(F.sum("burden").alias("s"))
-        sums = sums.select("sample_id", "pathway", (F.col("s") / size).alias("score"))
+    # Zeros that aren't stored come first: the median is at fixed places among the stored values.
+    stored = joined.groupBy("sample_id", "pathway", "n").agg(F.array_sort(F.collect_list("burden")).alias("v"))
+    at = lambda i: F.when(i < 0, d(0)).otherwise(F.get("v", i))
+    zeros = (F.col("n") - F.size("v")).cast("int")
+    low, high = ((F.col("n") - 1) / 2).cast("int"), (F.col("n") / 2).cast("int")
+    sums = stored.select("sample_id", "pathway", ((at(low - zeros) + at(high - zeros)) / 2).alias("score"))
     out = on_all_samples(sums, samples, known, "score")
     return out.select("sample_id", "pathway", F.coalesce("score", d(0)).alias("score"))
 
 
+def mean_scores(burden: DataFrame, membership: DataFrame, samples: DataFrame, columns: list[str], method: str = "mean", min_genes: int = 2) -> DataFrame:
+    """sample_id, pathway and columns: scores of all samples from each of the columns of burden, by mean or size_normalized.
+    A zero for each sample and pathway is added up with the burdens, so that nothing has to be joined."""
+    known = cut(known_membership(membership, burden, min_genes))  # read twice
+    carried = burden.where("sample_id is not null").join(broadcast_if_small(known, BROADCAST_ROWS), "gene")
+    names = known.select("pathway", "n").distinct().agg(F.collect_list(F.struct("pathway", "n")).alias("__names"))
+    axis = samples.select("sample_id").distinct().join(F.broadcast(names)).select("sample_id", F.inline("__names"))
+    axis = axis.select("sample_id", "pathway", "n", F.lit(True).alias("__there"), *[d(0).alias(c) for c in columns])
+    rows = carried.select("sample_id", "pathway", "n", F.lit(False).alias("__there"), *columns).unionByName(axis)
+    sums = rows.groupBy("sample_id", "pathway", "n").agg(F.max("__there").alias("__there"), *[F.sum(c).alias(c) for c in columns]).where("__there")
+    size = F.col("n") if method == "mean" else F.col("n") * F.sqrt(F.col("n").cast("double"))
+    return sums.select("sample_id", "pathway", *[(F.col(c) / size).alias(c) for c in columns])
+
+
 def column_stats(scores: DataFrame) -> DataFrame:
     """A row for each pathway: mu, sd (n - 1), lo, hi. Partial sums are combined, so a pathway is never one task's input."""
     return scores.groupBy("pathway").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf
 from ..functions.weights import d
-from ..session import few
+from ..session import cut, few
 from .inference import benjamini_hochberg, kruskal_wallis, one_against_rest
 
 
@@ -19,6 +19,7 @@ def enrichment_order(rest: DataFrame) -> DataFrame:
 
 def enrichment(labelled: DataFrame, alpha: float = 0.05) -> DataFrame:
     """one_against_rest with p and q of the Kruskal-Wallis test over the groups, significant, place. p is 1 where the test isn't defined."""
+    labelled = cut(labelled)
     h = kruskal_wallis(labelled).withColumn("p", F.when(F.col("df") >= 1, chi2_sf(F.col("h"), F.col("df").cast("double"))))
     p = F.coalesce(F.when(~F.isnan("p"), F.col("p")), d(1))
     q = benjamini_hochberg(h.select("pathway", p.alias("p")))

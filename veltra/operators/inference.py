@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.weights import d
-from ..session import few
+from ..session import cut, few
 from .order import average_ranks
 
 
@@ -21,7 +21,7 @@ def group_stats(labelled: DataFrame, by: tuple[str, ...] = ("pathway",)) -> Data
 
 def anova(labelled: DataFrame, by: tuple[str, ...] = ("pathway",)) -> DataFrame:
     """pathway (or all of by), k, n, f_stat and eta2; 0 where there is no spread or are too few groups or samples."""
-    stats = group_stats(labelled, by)
+    stats = cut(group_stats(labelled, by))  # read three times
     total = stats.groupBy(*by).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand")
     )
@@ -44,7 +44,13 @@ def cohens_d(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Col
 
 def max_pairwise_d(labelled: DataFrame, by: tuple[str, ...] = ("pathway",)) -> DataFrame:
     """pathway (or all of by), effect_size: the largest absolute d over all pairs of groups."""
-    a, b = group_stats(labelled, by).alias("a"), group_stats(labelled, by).alias("b")
+    return largest_d(group_stats(labelled, by), by)
+
+
+def largest_d(stats: DataFrame, by: tuple[str, ...] = ("pathway",)) -> DataFrame:
+    """max_pairwise_d from counts, means and variances (by, grp, n, mean, var), which are worked out once."""
+    stats = cut(stats)
+    a, b = stats.alias("a"), stats.alias("b")
     same = F.col("a.grp") < F.col("b.grp")
     for c in by:
         same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
@@ -74,18 +80,19 @@ def one_against_rest(labelled: DataFrame) -> DataFrame:
 
 def kruskal_wallis(labelled: DataFrame) -> DataFrame:
     """pathway, h, df: tie-corrected; groups under two samples are left out. h is null where all values are equal."""
-    big = labelled.groupBy("pathway", "grp").agg(F.count(F.lit(1)).alias("ng")).where("ng >= 2")
-    ranked = average_ranks(labelled.join(few(big.select("pathway", "grp")), ["pathway", "grp"], "left_semi"), ["pathway"], "score")
-    by_group = ranked.groupBy("pathway", "grp").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("ng"))
+    # Equal scores of a group are one row; what comes after it reads such rows, and ranks them once.
+    counted = cut(labelled.groupBy("pathway", "grp", "score").agg(F.count(F.lit(1)).alias("c")))
+    big = counted.groupBy("pathway", "grp").agg(F.sum("c").alias("ng")).where("ng >= 2")
+    ranked = average_ranks(counted.join(few(big.select("pathway", "grp")), ["pathway", "grp"], "left_semi"), ["pathway"], "score", "c")
+    # A sample in a tie of t adds t * t - 1; over the tie that is t ** 3 - t.
+    tie = F.sum(F.col("c") * (F.col("ties").cast("double") * F.col("ties") - 1)).alias("tie")
+    by_group = cut(ranked.groupBy("pathway", "grp").agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").alias("ng"), tie))
     sums = by_group.groupBy("pathway").agg(
-        F.sum(F.col("r") * F.col("r") / F.col("ng")).alias("q"), F.sum("ng").cast("double").alias("n"), F.count(F.lit(1)).alias("k")
+        F.sum(F.col("r") * F.col("r") / F.col("ng")).alias("q"), F.sum("ng").cast("double").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("tie").alias("tie")
     )
-    # A sample in a tie of t adds t * t - 1; over the tie that is t ** 3 - t.
-    ties = ranked.groupBy("pathway").agg(F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("tie"))
-    j = sums.join(ties, "pathway")
     n = F.col("n")
     h = d(12) / (n * (n + 1)) * F.col("q") - 3 * (n + 1)
-    return j.select("pathway", F.try_divide(h, 1 - F.col("tie") / (n * n * n - n)).alias("h"), (F.col("k") - 1).alias("df"))
+    return sums.select("pathway", F.try_divide(h, 1 - F.col("tie") / (n * n * n - n)).alias("h"), (F.col("k") - 1).alias("df"))
 
 
 def benjamini_hochberg(tests: DataFrame, monotone: bool = True, by: list[str] | None = None) -> DataFrame:

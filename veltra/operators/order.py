@@ -38,13 +38,14 @@ def running_totals(df: DataFrame, by: list[str], order: str, amount: str) -> Dat
     return both.withColumn("upto", F.col("__before") + F.col("__upto")).drop("__part", "__before", "__upto")
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def average_ranks(df: DataFrame, by: list[str], value: str, times: str | None = None) -> DataFrame:
     """Adds rank (ties get their mean), n and ties. Equal values are counted before they are ordered.
+    With times, a row counts as so many.
 
     The ranks go back to the rows by group and value. Of the heavy ones there are few, whatever the size of df: they are
     broadcast, so that no task gets all rows of a frequent value. Rows whose group or value is null are left out.
     """
-    counts = df.where(" and ".join(f"`{c}` is not null" for c in (*by, value))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+    counts = df.where(" and ".join(f"`{c}` is not null" for c in (*by, value))).groupBy(*by, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("ties"))
     totals = running_totals(counts, by, value, "ties")
     mean = (F.col("upto") - (F.col("ties") - 1) / 2).cast("double")
     ranks = cut(totals.select(*by, value, mean.alias("rank"), F.col("total").alias("n"), "ties"))

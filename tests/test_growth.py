@@ -52,3 +52,24 @@ def test_ranks_of_counted_scores(spark):
         ties = t["score"].value_counts().to_numpy().astype(float)
         h = (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - (ties**3 - ties).sum() / (n**3 - n))
         assert found[p] == (pytest.approx(h), 2), p
+
+
+def test_weight_schemes_read_the_genotypes_once(spark):
+    variants = spark.createDataFrame([(v, f"G{v % 4}", ("frameshift_variant", "missense_variant", "synonymous_variant")[v % 3], float(3 * v)) for v in range(12)], "variant_id long, gene string, consequence string, cadd double")
+    genotypes = spark.createDataFrame([(s, v, 1 + (s * v) % 2) for s in range(60) for v in range(12) if (s * 7 + v * v) % 3], "sample_id long, variant_id long, dosage int")
+    sets = spark.createDataFrame([("a", "G0"), ("a", "G1"), ("b", "G2"), ("b", "G3"), ("b", "G3"), ("c", "G1")], "pathway string, gene string")
+    groups = spark.range(63).select(F.col("id").alias("sample_id"), F.concat(F.lit("g"), (F.col("id") % 2).cast("string")).alias("grp"))
+    watched, seen = counted(spark, genotypes)
+    found = {(r.scheme, r.pathway): r.effect_size for r in bundles.weight_sensitivity(variants, watched, sets, groups).collect()}
+    assert seen.value == genotypes.count() and len(found) == 10
+    from veltra.functions.weights import scheme_weight
+    from veltra.operators import burden as B
+
+    for scheme in ("default", "uniform"):
+        own = B.gene_burden(variants, genotypes, scheme_weight(F.col("consequence"), F.col("cadd"), scheme)).toPandas()
+        cells = {(r.sample_id, r.gene): r.burden for r in own.itertuples()}
+        for p, genes in (("a", ["G0", "G1"]), ("b", ["G2", "G3", "G3"])):
+            x = np.array([sum(cells.get((s, g), 0.0) for g in genes) / len(genes) for s in range(63)])
+            a, b = x[::2], x[1::2]
+            pooled = ((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / (len(x) - 2)
+            assert found[scheme, p] == pytest.approx(abs(a.mean() - b.mean()) / np.sqrt(pooled))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.weights import SCHEMES, scheme_weight
+from ..session import cut
 from . import burden as B
 from . import clustering as CL
 from . import crossref as X
@@ -20,22 +21,23 @@ from .agreement import adjusted_rand, normalized_mutual_information
 
 def statistical_rigor(scores: DataFrame, groups: DataFrame, alpha: float = 0.05, n_permutations: int = 1000, n_bootstrap: int = 1000, seed: int = 42) -> DataFrame:
     """pathway, p, q, significant, effect_size, lo, hi: permutation test, false-discovery control, largest d and its interval."""
-    labelled = scores.join(groups, "sample_id")
+    scores = cut(scores)
+    labelled = cut(scores.join(groups, "sample_id"))
     tests = I.benjamini_hochberg(R.permutation_p(scores, groups, n_permutations, seed).select("pathway", "p"))
     out = tests.join(I.max_pairwise_d(labelled), "pathway").join(R.bootstrap_ci(labelled, n_bootstrap, seed=seed), "pathway")
     return out.select("pathway", "p", "q", (F.col("q") < alpha).alias("significant"), "effect_size", "lo", "hi")
 
 
 def weight_sensitivity(variants: DataFrame, genotypes: DataFrame, membership: DataFrame, groups: DataFrame, schemes: Iterable[str] = tuple(SCHEMES)) -> DataFrame:
-    """scheme, pathway, effect_size of the scores that each weight scheme gives."""
-    samples = groups.select("sample_id")
-
-    def one(scheme: str) -> DataFrame:
-        burden = B.gene_burden(variants, genotypes, scheme_weight(F.col("consequence"), F.col("cadd"), scheme))
-        scores = B.pathway_scores(burden, membership, samples)
-        return I.max_pairwise_d(scores.join(groups, "sample_id")).select(F.lit(scheme).alias("scheme"), "pathway", "effect_size")
-
-    return reduce(DataFrame.unionByName, map(one, schemes))
+    """scheme, pathway, effect_size of the scores that each weight scheme gives. The schemes are columns: genotypes, burdens
+    and scores are gone through once for all of them."""
+    schemes = list(schemes)
+    weights = {s: scheme_weight(F.col("consequence"), F.col("cadd"), s) for s in schemes}
+    burden = cut(B.gene_burdens(variants, genotypes, weights))
+    labelled = B.mean_scores(burden, membership, groups.select("sample_id"), schemes).join(groups, "sample_id")
+    stats = [F.struct(F.lit(s).alias("scheme"), F.count(s).alias("n"), F.avg(s).alias("mean"), F.var_samp(s).alias("var")) for s in schemes]
+    each = labelled.groupBy("pathway", "grp").agg(F.array(*stats).alias("s")).select("pathway", "grp", F.inline("s"))
+    return I.largest_d(each, ("scheme", "pathway")).select("scheme", "pathway", "effect_size")
 
 
 def is_robust(values: DataFrame, column: str, threshold: float = 0.1) -> DataFrame:

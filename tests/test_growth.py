@@ -73,3 +73,41 @@ def test_weight_schemes_read_the_genotypes_once(spark):
             a, b = x[::2], x[1::2]
             pooled = ((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / (len(x) - 2)
             assert found[scheme, p] == pytest.approx(abs(a.mean() - b.mean()) / np.sqrt(pooled))
+
+
+def plain(i, iterations, n, seed=42):
+    it = iterations[:, None]
+    x = np.broadcast_to(i, (len(it), len(i)))
+    for r in range(resample.ROUNDS):
+        turn = np.full_like(it, r)
+        key = resample.mixed_numbers(resample.mixed_numbers(turn, it, seed), turn, seed) % n
+        other = (key - x) % n
+        bit = resample.mixed_numbers(np.maximum(x, other), it * 64 + r, seed) // 65536 % 2
+        x = np.where(bit == 1, other, x)
+    return x
+
+
+def test_permuted_numbers_are_the_plain_ones_in_less_time():
+    for n in (1, 2, 1000, 5_400_000, resample.PRIME):
+        i = np.unique(np.minimum(n - 1, np.concatenate([np.arange(min(n, 70)), n - 1 - np.arange(min(n, 30))])))
+        its = np.concatenate([np.arange(1, 40), [10**6, 3 * 10**7]])
+        assert (resample.permuted_numbers(i, its, n) == plain(i, its, n)).all()
+    i, its, took = np.arange(1024) + 70_000, np.arange(1, 401), []
+    for f in (plain, resample.permuted_numbers):
+        began = time.process_time()
+        f(i, its, 5_400_000)
+        took.append(time.process_time() - began)
+    assert took[1] < 0.7 * took[0]
+    with pytest.raises(ValueError, match="more than"):
+        resample.permuted_numbers(i, its, resample.PRIME + 1)
+
+
+@pytest.mark.parametrize("draws", [1 << 24, 1000])
+def test_draws_of_blocks_are_told_without_rows(spark, monkeypatch, draws):
+    monkeypatch.setattr(resample, "DRAWS", draws)
+    n, its = 3000, 5
+    found = {(r.it, r.sblock): r.c for r in resample._hits(spark, n, its, 42).collect()}
+    for it in range(1, its + 1):
+        want = np.bincount(resample.mixed_numbers(np.arange(n), np.full(n, it)) % n // resample.SAMPLES)
+        assert [found[it, b] for b in range(3)] == want.tolist()
+    assert resample._hits(spark, 0, its, 42).count() == 0

@@ -111,3 +111,33 @@ def test_draws_of_blocks_are_told_without_rows(spark, monkeypatch, draws):
         want = np.bincount(resample.mixed_numbers(np.arange(n), np.full(n, it)) % n // resample.SAMPLES)
         assert [found[it, b] for b in range(3)] == want.tolist()
     assert resample._hits(spark, 0, its, 42).count() == 0
+
+
+def test_blocks_are_dealt_in_equal_shares(spark, monkeypatch):
+    """Each task has one part of the blocks of samples, and emits no more columns than there are pathways."""
+    monkeypatch.setattr(resample, "SAMPLES", 8)
+    monkeypatch.setattr(resample, "PARTS", 6)
+    rows, products, emitted = labelled(spark, 240), resample._products, spark.sparkContext.accumulator(0)
+
+    def watched(*args):
+        run = products(*args)
+
+        def look(batches):
+            for b in run(batches):
+                emitted.add(1)
+                assert set(np.diff(b.column(3).offsets.to_numpy())) == {3}
+                yield b
+
+        return look
+
+    monkeypatch.setattr(resample, "_products", watched)
+    sums = resample.permuted_sums(rows.drop("grp"), rows.select("sample_id", "grp").distinct(), 4)
+    assert {(r.it, r.pathway): r.n for r in sums.groupBy("it", "pathway").agg(F.sum("n").alias("n")).collect()} == {(t, f"p{j}"): 240 for t in range(1, 5) for j in range(3)}
+    assert emitted.value == 6 * 3  # tasks by groups
+
+
+def test_statistics_read_the_scores_once(spark):
+    rows = labelled(spark, 120)
+    watched, seen = counted(spark, rows.drop("grp"))
+    out = bundles.statistical_rigor(watched, rows.select("sample_id", "grp").distinct(), n_permutations=10, n_bootstrap=10).collect()
+    assert seen.value == 360 and len(out) == 3

@@ -21,10 +21,15 @@ from .agreement import adjusted_rand, normalized_mutual_information
 
 def statistical_rigor(scores: DataFrame, groups: DataFrame, alpha: float = 0.05, n_permutations: int = 1000, n_bootstrap: int = 1000, seed: int = 42) -> DataFrame:
     """pathway, p, q, significant, effect_size, lo, hi: permutation test, false-discovery control, largest d and its interval."""
-    scores = cut(scores)
-    labelled = cut(scores.join(groups, "sample_id"))
-    tests = I.benjamini_hochberg(R.permutation_p(scores, groups, n_permutations, seed).select("pathway", "p"))
-    out = tests.join(I.max_pairwise_d(labelled), "pathway").join(R.bootstrap_ci(labelled, n_bootstrap, seed=seed), "pathway")
+    scores, groups = cut(scores), cut(groups.select("sample_id", "grp"))
+    labelled = scores.join(groups, "sample_id")
+    stats = cut(I.group_stats(labelled))
+    of = drawn_from = R.matrix(scores, groups)
+    # Resamples are drawn from the samples that have scores, each once; where these are all, the matrix is the same.
+    if not of.rows.select("i").distinct().count() == groups.where("grp is not null").distinct().count() == of.sizes.sum():
+        drawn_from = R.matrix(scores, labelled.select("sample_id", "grp").distinct())
+    tests = I.benjamini_hochberg(R.permutation_p_of(I.f_statistics(stats), of, n_permutations, seed).select("pathway", "p"))
+    out = tests.join(I.largest_d(stats), "pathway").join(R.bootstrap_ci_of(drawn_from, n_bootstrap, seed=seed), "pathway")
     return out.select("pathway", "p", "q", (F.col("q") < alpha).alias("significant"), "effect_size", "lo", "hi")
 
 

@@ -21,7 +21,12 @@ def group_stats(labelled: DataFrame, by: tuple[str, ...] = ("pathway",)) -> Data
 
 def anova(labelled: DataFrame, by: tuple[str, ...] = ("pathway",)) -> DataFrame:
     """pathway (or all of by), k, n, f_stat and eta2; 0 where there is no spread or are too few groups or samples."""
-    stats = cut(group_stats(labelled, by))  # read three times
+    return f_statistics(group_stats(labelled, by), by)
+
+
+def f_statistics(stats: DataFrame, by: tuple[str, ...] = ("pathway",)) -> DataFrame:
+    """anova from counts, means and variances (by, grp, n, mean, var)."""
+    stats = cut(stats)  # read three times
     total = stats.groupBy(*by).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand")
     )

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veltra.operators import bundles, characterize, clustering, inference, resample
+from veltra.operators.burden import mean_scores
 
 
 def counted(spark, df):
@@ -188,3 +189,14 @@ def test_statistics_make_the_matrix_once(spark, monkeypatch):
         size = {r.pathway: r.effect_size for r in inference.max_pairwise_d(rows).collect()}
         assert {k: v.p for k, v in found.items()} == p
         assert all((v.lo, v.hi, v.effect_size) == pytest.approx((*ci[k], size[k])) for k, v in found.items())
+
+
+def test_scores_are_added_up_by_number(spark):
+    """The name of a pathway is not met by each burden; a gene listed twice counts twice, samples without burdens have zeros."""
+    burden = spark.createDataFrame([(s, f"G{g}", float(s + g)) for s in range(5) for g in range(4)], "sample_id long, gene string, burden double")
+    sets = spark.createDataFrame([("a", "G0"), ("a", "G1"), ("a", "G1"), ("b", "G2"), ("b", "none"), ("b", "G3"), ("c", "G3")], "pathway string, gene string")
+    out = mean_scores(burden, sets, spark.range(7).select(F.col("id").alias("sample_id")), ["burden"])
+    dealt = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(sample_id" in x and ", 4)" in x]
+    assert dealt and not any("pathway" in x for x in dealt)
+    found = {(r.sample_id, r.pathway): r.burden for r in out.collect()}
+    assert found == pytest.approx({(s, p): v if s < 5 else 0 for s in range(7) for p, v in (("a", (3 * s + 2) / 3), ("b", (2 * s + 5) / 2))})

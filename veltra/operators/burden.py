@@ -68,14 +68,18 @@ def mean_scores(burden: DataFrame, membership: DataFrame, samples: DataFrame, co
     """sample_id, pathway and columns: scores of all samples from each of the columns of burden, by mean or size_normalized.
     A zero for each sample and pathway is added up with the burdens, so that nothing has to be joined."""
     known = cut(known_membership(membership, burden, min_genes))  # read twice
-    carried = burden.where("sample_id is not null").join(broadcast_if_small(known, BROADCAST_ROWS), "gene")
-    names = known.select("pathway", "n").distinct().agg(F.collect_list(F.struct("pathway", "n")).alias("__names"))
-    axis = samples.select("sample_id").distinct().join(F.broadcast(names)).select("sample_id", F.inline("__names"))
-    axis = axis.select("sample_id", "pathway", "n", F.lit(True).alias("__there"), *[d(0).alias(c) for c in columns])
-    rows = carried.select("sample_id", "pathway", "n", F.lit(False).alias("__there"), *columns).unionByName(axis)
-    sums = rows.groupBy("sample_id", "pathway", "n").agg(F.max("__there").alias("__there"), *[F.sum(c).alias(c) for c in columns]).where("__there")
+    # Numbers instead of names, since each burden meets them.
+    pathways = cut(known.select("pathway", "n").distinct().withColumn("__p", F.monotonically_increasing_id()))
+    members = cut(known.join(pathways, ["pathway", "n"]).select("gene", "__p"))
+    carried = burden.where("sample_id is not null").join(broadcast_if_small(members, BROADCAST_ROWS), "gene")
+    numbers = pathways.agg(F.collect_list("__p").alias("__numbers"))
+    axis = samples.select("sample_id").distinct().join(F.broadcast(numbers)).select("sample_id", F.explode("__numbers").alias("__p"))
+    axis = axis.select("sample_id", "__p", F.lit(True).alias("__there"), *[d(0).alias(c) for c in columns])
+    rows = carried.select("sample_id", "__p", F.lit(False).alias("__there"), *columns).unionByName(axis)
+    sums = rows.groupBy("sample_id", "__p").agg(F.max("__there").alias("__there"), *[F.sum(c).alias(c) for c in columns]).where("__there")
+    named = sums.join(broadcast_if_small(pathways, BROADCAST_ROWS), "__p")
     size = F.col("n") if method == "mean" else F.col("n") * F.sqrt(F.col("n").cast("double"))
-    return sums.select("sample_id", "pathway", *[(F.col(c) / size).alias(c) for c in columns])
+    return named.select("sample_id", "pathway", *[(F.col(c) / size).alias(c) for c in columns])
 
 
 def column_stats(scores: DataFrame) -> DataFrame:

@@ -75,3 +75,25 @@ def test_capped_burden_ignores_replays(spark, tmp_path):
     assert run(rows) == want
     assert run(rows[:4]) == want  # the same observations again, in a later run that goes on from the state
     assert run([(2, "A", 10, "e7", 0.5), (1, "A", 10, "e8", 0.5)]) == {**want, (2, "A"): 1.0}
+
+
+@pytest.mark.parametrize("cap", [1, 3])
+def test_capped_burden_keeps_few_states_for_many_samples(spark, tmp_path, monkeypatch, cap):
+    monkeypatch.setattr(keyed, "BUCKETS", 8)
+    rng = np.random.default_rng(cap)
+    schema = "sample_id long, gene string, variant_id long, event string, weight double"
+    kinds = [(int(s), f"G{v % 4}", int(v)) for s, v in zip(rng.integers(0, 300, 600), rng.integers(0, 40, 600), strict=True)]
+    seen = [(*kinds[i], f"e{e}", kinds[i][2] / 8) for i, e in zip(rng.integers(0, 600, 3000), rng.integers(0, 4, 3000), strict=True)]
+    folder = str(tmp_path / "run")
+    for part in (seen[:2000], seen[1000:]):
+        spark.createDataFrame(part, schema).repartition(3).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+        got = {(r.sample_id, r.gene): r.burden for r in keyed.run_capped(stream, folder, cap).collect()}
+    events, want = {}, {}
+    for s, g, v, e, w in seen:
+        events.setdefault((s, g, v, w), set()).add(e)
+    for (s, g, _, w), of in events.items():
+        want[s, g] = want.get((s, g), 0.0) + w * min(cap, len(of))
+    assert got == want
+    states = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "counted").load()
+    assert states.count() == 8

@@ -241,13 +241,16 @@ def stream_keyed_burden(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("sample_id"))
     one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey")  # numbers of lines repeat within an order
     event = F.concat_ws("-", "l_orderkey", "l_linenumber", F.row_number().over(one))
-    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("variant_id"), event.alias("event"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey")  # for the window and the join
+    lines = lines.select("l_orderkey", F.col("l_partkey").alias("variant_id"), event.alias("event"))
     weighted = A.variants(spark, sf).select("variant_id", "gene", pipeline_weight(F.col("consequence"), F.col("cadd")).alias("weight"))
     seen = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(weighted, "variant_id").select("sample_id", "gene", "variant_id", "event", "weight")
     folder = f"{ensure_checkpoint_dir(spark)}/keyed-{uuid.uuid4().hex}"
-    for _ in range(2):
-        seen.repartition(3, "event").write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    # Four thirds of the files of a copy at a time, so that a batch holds some of them twice and the next one the rest.
+    share = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+    seen.repartition(3 * share, "event").write.parquet(f"{folder}/in")
+    spark.read.schema(seen.schema).parquet(f"{folder}/in").repartition(3 * share, "event").write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 4 * share).parquet(f"{folder}/in")
     return A.rounded(run_capped(stream, folder), "burden")
 
 

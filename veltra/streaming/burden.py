@@ -33,5 +33,4 @@ def run_once(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     if not query.recentProgress and query.lastProgress is None:
         return spark.createDataFrame([], stream.schema)
     written = spark.read.schema(stream.schema.add("batch", "integer")).parquet(out)
-    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-    return last.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
+    return written.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])  # one row of a key in a batch
